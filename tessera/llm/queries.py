@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, warc
+from . import cnn, minhash, packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_minhash": minhash.op2_minhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_sharding": sharding.op4_sharding,
+    "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_classifier": cnn.op9_quality_classifier,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
