@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded_batches
 from .labelled import score_rows, sigmoid, training_sample
 from .tokens_np import parts
 
@@ -49,8 +50,11 @@ def pair_tables(filters: np.ndarray) -> list[np.ndarray]:
     return [(filters[k][:, None] + filters[k + 1][None]).reshape(65536, -1).astype(np.float32) for k in range(0, WIDTH, 2)]
 
 
-def half_maxima(data: np.ndarray, tables: list[np.ndarray], block: int = 64) -> np.ndarray:
-    """Every filter's maximum over each half-chunk."""
+def half_maxima(data: np.ndarray, first: np.ndarray, tables: list[np.ndarray], block: int = 64) -> np.ndarray:
+    """Every filter's maximum over each half-chunk. At the end of a text a filter sees padding, never the next text."""
+    padding = sum(t[0] for t in tables)
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
     pairs = data[:-1].astype(np.int32) * 256 + data[1:]
     n = (len(data) - WIDTH) // HALF
     out = np.empty((n, tables[0].shape[1]), np.float32)
@@ -59,7 +63,9 @@ def half_maxima(data: np.ndarray, tables: list[np.ndarray], block: int = 64) ->
         y = tables[0].take(pairs[lo:hi], 0)
         y += tables[1].take(pairs[lo + 2 : hi + 2], 0)
         y += tables[2].take(pairs[lo + 4 : hi + 4], 0)
-        out[at : at + block] = y.reshape(-1, HALF, y.shape[1]).max(1)
+        y = y.reshape(-1, HALF, y.shape[1])
+        y[last[at : at + block], HALF - WIDTH + 1 :] = padding
+        out[at : at + block] = y.max(1)
     return out
 
 
@@ -98,7 +104,10 @@ class Model:
                 n = int(first[i + 1] - first[i]) - 1
                 for k in np.unique(np.linspace(0, n - 1, min(n, FIT_CHUNKS)).astype(int)):
                     at = (first[i] + k) * HALF
-                    chunks.append(laid[at : at + 2 * HALF + WIDTH])
+                    chunk = laid[at : at + 2 * HALF + WIDTH].copy()
+                    if k == n - 1:
+                        chunk[2 * HALF :] = 0
+                    chunks.append(chunk)
                     owner.append(row + i)
         chunks, owner = np.stack(chunks), np.array(owner)
         begins = np.searchsorted(owner, np.arange(len(y) + 1))
@@ -151,7 +160,7 @@ class Model:
         tables, out = pair_tables(self.p["filters"]), [np.zeros(0)]
         for _, data, offsets in parts(texts):
             laid, first = layout(data, offsets)
-            halves = half_maxima(laid, tables)
+            halves = half_maxima(laid, first, tables)
             pooled = np.maximum(halves[:-1], halves[1:])
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:-1]
             inside = np.ones(len(pooled), bool)
@@ -175,6 +184,7 @@ def keep_rows(docs: DataFrame, model: Model, text: str = "text", limit: float =
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(batch.schema.get_field_index(text))) >= limit))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

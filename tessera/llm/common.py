@@ -25,6 +25,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts can be long, and Spark bounds Arrow batches by 10,000 rows: lower that, and the bytes, for the session, unless it has less already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it: later plans start from files, so a lost executor costs one task, not the lineage."""
     path = new_path(df.sparkSession, name)
@@ -57,3 +65,20 @@ def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, spre
     inner = Window.partitionBy(group, "__slice").orderBy(*order)
     ranked = cut.withColumn("__i", F.row_number().over(inner) - 1)
     return ranked.join(starts, [group, "__slice"]).withColumn(name, (F.col("__start") + F.col("__i")).cast("long")).drop("__slice", "__start", "__i")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows before, in one total order, without one task: a range sort, then sums by partition.
+
+    The sums per partition go to the driver: one number for each partition.
+    """
+    spark = df.sparkSession
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    at, starts = 0, []
+    for part, total in ranged.groupBy("__part").agg(F.sum(value)).orderBy("__part").collect():
+        starts.append((part, at))
+        at += total
+    table = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))  # one row per partition
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(before), F.lit(0))
+    return ranged.withColumn("__own", own).join(table, "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__own", "__start")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import bounded_batches, materialize, new_path
 
 CRLF = "\r\n"
 RESPONSE, REVISIT = "response", "revisit"
@@ -149,6 +149,7 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
                     schema=pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("block", pa.binary())]),
                 )
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parsed, "record_id string, record_type string, payload_digest string, block binary")
 
