@@ -53,11 +53,25 @@ class Transducer:
     unknown: int
     prefix: bool = True
     escape: bool = True
+    halves: dict[str, tuple[str, str]] | None = None
     paths: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
+        if self.kind == "bpe" and self.halves is None:
+            self.halves = self._halves()
+        self.edges: tuple[dict, dict] = {}, {}
+        # pieces that don't come after their halves in the order of merging, and what is made of such: their neighbours are found by merging, all others' by their edges
+        worth = lambda p: float("inf") if len(p) == 1 else self.score[self.ids[p]]
+        self.unordered: set[str] = set()
+        for piece, (a, b) in sorted((self.halves or {}).items(), key=lambda x: len(x[0])):
+            if min(worth(a), worth(b)) <= worth(piece) or a in self.unordered or b in self.unordered:
+                self.unordered.add(piece)
+        ends: dict[str, set[int]] = {}
+        for piece in self.halves or ():
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         used = set("".join(self.ids))
         self.outside = "".join(chr(c) for c in range(128) if chr(c) not in used)
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -67,7 +81,7 @@ class Transducer:
         self.floor = min((self.score[i] for i in self.ids.values()), default=0.0) - 10
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("kind", "pieces", "ids", "score", "byte_id", "unknown", "prefix", "escape")}
+        return {k: getattr(self, k) for k in ("kind", "pieces", "ids", "score", "byte_id", "unknown", "prefix", "escape", "halves")}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -91,49 +105,87 @@ class Transducer:
                 yield begin, i
 
     # weights
-    def merged(self, text: str) -> list[str]:
-        """Symbols after merging characters by score, leftmost first among equals."""
-        symbols = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Symbols after merging characters by score, leftmost first among equals; and the last two that were merged."""
+        symbols, last = list(text), None
         ids, score = self.ids, self.score
         while len(symbols) > 1:
-            best = None
-            for k in range(len(symbols) - 1):
-                i = ids.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or score[i] > best[0]):
-                    best = score[i], k
-            if best is None:
+            found = [(-score[i], k) for k in range(len(symbols) - 1) if (i := ids.get(symbols[k] + symbols[k + 1])) is not None]
+            if not found:
                 break
-            k = best[1]
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-        return symbols
+            k = min(found)[1]
+            last = symbols[k], symbols[k + 1]
+            symbols[k : k + 2] = ["".join(last)]
+        return symbols, last
+
+    def _halves(self) -> dict[str, tuple[str, str]]:
+        """The two symbols of which merging makes each longer piece; pieces that merging never makes are left out."""
+        out = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                symbols, last = self.merged(piece)
+                if symbols == [piece]:
+                    out[piece] = last
+        return out
+
+    def edge(self, symbol: str, side: int) -> list[tuple[str, float, float]]:
+        """What stands at one edge (0: left, 1: right) of a symbol while it is merged: (part, score at which it appears, score at which it goes)."""
+        known = self.edges[side].get(symbol)
+        if known is None:
+            known, part, until = [], symbol, float("-inf")
+            while part in self.halves:
+                worth = self.score[self.ids[part]]
+                known.append((part, worth, until))
+                part, until = self.halves[part][side], worth
+            known.append((part, float("inf"), until))
+            self.edges[side][symbol] = known
+        return known
 
     def together(self, a: str, b: str) -> bool:
+        """Whether merging a's and b's characters side by side leaves exactly the two: no merge across them comes while both of its parts stand there."""
         key = a, b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
+            by_merging = a in self.unordered or b in self.unordered
+            known = self.pairs[key] = self.merged(a + b)[0] == [a, b] if by_merging else self._together(a, b)
         return known
 
+    def _together(self, a: str, b: str) -> bool:
+        ids, score = self.ids, self.score
+        for x, appears, goes in self.edge(a, 1):
+            for y, also_appears, also_goes in self.edge(b, 0):
+                i = ids.get(x + y)
+                # of equal scores the left one merges first: x's own merge before this one, this one before y's
+                if i is not None and appears > score[i] > goes and also_appears > score[i] >= also_goes:
+                    return False
+        return True
+
     # shortest path
     def path(self, part: str) -> list[int]:
         return self._bpe(part) if self.kind == "bpe" else self._unigram(part)
 
     def _bpe(self, part: str) -> list[int]:
-        n = len(part)
-        last: list = [None] * (n + 1)  # the symbol on the one finite path to each position
+        """``last``: the symbol on the one finite path to each position."""
+        n, halves, lengths, pairs = len(part), self.halves, self.lengths, self.pairs
+        last: list = [None] * (n + 1)
         last[0] = ""
         for end in range(1, n + 1):
-            for begin, _ in self.arcs(part, end):
-                before, piece = last[begin], part[begin:end]
-                if before is not None and (self.together(before, piece) if before else len(piece) == 1 or self.merged(piece) == [piece]):
-                    last[end] = piece
-                    break
+            for size in lengths.get(part[end - 2 : end], ()) if end > 1 else ():
+                if size <= end:
+                    piece, before = part[end - size : end], last[end - size]
+                    if piece in halves and before is not None:
+                        ok = not before or pairs.get((before, piece))
+                        if ok is None:
+                            ok = self.together(before, piece)
+                        if ok:
+                            last[end] = piece
+                            break
             else:
-                # a character that is no piece, or one that its neighbour would merge with
-                char = part[end - 1]
-                if char not in self.ids and last[end - 1] is not None and (not last[end - 1] or self.together(last[end - 1], char)):
+                # one character, a piece or not; barred if its neighbour would merge with it
+                char, before = part[end - 1], last[end - 1]
+                if before is not None and (not before or self.together(before, char)):
                     last[end] = char
         out, end = [], n
         if last[n] is None:
