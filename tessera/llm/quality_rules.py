@@ -26,6 +26,7 @@ SYMBOLS = "#*$%&|<>"
 #: Rule limits. MAX_REPEAT and MIN_WORDS are the base rules, the others only tell a host's standing.
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 10, 20, 10, 30
 HOST_LIMIT, PRIOR_WEIGHT = 0.6, 20.0
+SMALL_HOSTS = 50_000  # of at most some tens of bytes each
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -91,21 +92,23 @@ def host_verdicts(docs: DataFrame, host: str = "source", failed: str = "any_fail
     return hosts.join(F.broadcast(prior)).withColumn("host_rate", shrunk).withColumn("host_kept", shrunk <= limit).drop("alpha", "weight")  # prior: one row
 
 
-def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The input's columns with counts, base_failed and kept. The counts are written once; both the host sums and the result read them."""
-    scored = materialize(rule_counts(docs, text), "rules")
-    verdicts = host_verdicts(scored, host, limit=limit).select(host, "host_kept")
+def judged(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """Written counts with kept. Verdicts are sent to all tasks if there are at most ``SMALL_HOSTS`` of them; beyond, hosts are joined by a shuffle that AQE may split."""
+    verdicts = materialize(host_verdicts(scored, host, limit=limit).select(host, "host_kept"), "hosts")
+    if verdicts.count() <= SMALL_HOSTS:
+        verdicts = F.broadcast(verdicts)
     kept = ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))
     return scored.join(verdicts, host, "left").withColumn("kept", kept).drop("host_kept", "any_failed")
 
 
+def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The input's columns with counts, base_failed and kept. The counts are written once; both the host sums and the result read them."""
+    return judged(materialize(rule_counts(docs, text), "rules"), host, limit).select(*docs.columns, *COUNTS, "base_failed", "kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select("doc_id", "text", "source")
-    scored = materialize(rule_counts(slim).drop("text"), "rules")
-    verdicts = host_verdicts(scored).select("source", "host_kept")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))
-    return scored.join(verdicts, "source", "left").select("doc_id", *COUNTS, "base_failed", kept.alias("kept"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return judged(materialize(rule_counts(docs).drop("text"), "rules")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 ORACLE_SQL = f"""
