@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_text
 
 SIZE, OVERLAP = 800, 160
+SENT_SPANS = 2000
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: str = "source", text: str = "text") -> DataFrame:
@@ -32,15 +33,35 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct("text").alias("n_texts"), F.sum(F.length("text")).alias("n_chars"), F.max("i").cast("long").alias("last_i"))
 
 
+def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts (source, body), wanted (span_id, span), both normalised, to the (span_id, source) where a body holds a span.
+
+    Up to ``SENT_SPANS`` spans are sent to all tasks and every body is searched
+    for each. Beyond, a span is looked for only where its rarest inner word
+    stands: inner words lie between spaces in the span, so they are whole words
+    of any body that holds it. Spans without an inner word are searched plainly.
+    """
+    if wanted.limit(SENT_SPANS + 1).count() <= SENT_SPANS:
+        return texts.join(F.broadcast(wanted), F.contains("body", "span")).select("span_id", "source")
+    inner = wanted.withColumn("w", F.split("span", " ")).withColumn("w", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
+    words = inner.select("span_id", F.explode(F.array_distinct("w")).alias("word"))
+    held = texts.select("source", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    # a span with a word that no text has is in none, so such words rank first and meet nothing
+    ranked = words.join(df, "word", "left").groupBy("span_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("rarest"))
+    likely = held.join(ranked.select("span_id", F.col("rarest.word").alias("word")), "word").select("span_id", "source")
+    found = likely.join(wanted, "span_id").join(texts, "source").where(F.contains("body", "span")).select("span_id", "source")
+    short = inner.where("w is null").select("span_id", "span")
+    return found.unionByName(texts.join(short, F.contains("body", "span")).select("span_id", "source"))
+
+
 def validate_contexts(spans: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """spans (span_id, span) to span_id, status: OK in one chunk, SPLIT in a document but no chunk, MISSING in no document.
 
-    Substrings have no equi-join; the spans are the small side and documents are
-    read once. Chunks are looked at only for spans that some document holds.
+    Chunks are looked at only in documents that hold a span, joined by source.
     """
     wanted = spans.select("span_id", norm_text(F.col("span")).alias("span"))
-    whole = docs.select(F.col("source").cast("string").alias("source"), norm_text(F.col("text")).alias("body"))
-    found = whole.join(wanted, F.contains("body", "span")).select("span_id", "source")
+    found = occurrences(docs.select(F.col("source").cast("string").alias("source"), norm_text(F.col("text")).alias("body")), wanted)
     parts = chunks.select("source", norm_text(F.col("text")).alias("piece"))
     inside = found.join(wanted, "span_id").join(parts, "source").where(F.contains("piece", "span")).select("span_id").distinct()
     flags = wanted.select("span_id").join(found.select("span_id").distinct().withColumn("doc", F.lit(True)), "span_id", "left").join(inside.withColumn("chunk", F.lit(True)), "span_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_tokens, tokens
 
 K1, B = 1.5, 0.75
+SENT_TERMS = 100_000
 DIGITS = 9  # scores equal to so many digits are ties, whatever the order of their sums
 
 
@@ -22,11 +23,24 @@ class Index:
     totals: DataFrame
 
 
-def build(chunks: DataFrame) -> Index:
-    """Chunks without a token count in the number of chunks and the average length."""
+def asked_terms(questions: DataFrame, strip: bool = True) -> DataFrame:
+    """(qid, term) with repeats."""
+    return questions.select("qid", F.explode(content_tokens(F.col("question")) if strip else tokens(F.col("question"))).alias("term"))
+
+
+def build(chunks: DataFrame, only: DataFrame | None = None) -> Index:
+    """Chunks without a token count in the number of chunks and the average length.
+
+    With ``only`` (term) the index holds no other terms: for questions that are known
+    beforehand, tokens are filtered before their shuffle. Up to ``SENT_TERMS`` terms are
+    sent to all tasks; more are joined as Spark sees fit.
+    """
     split = chunks.select("source", "i", "chunk_id", tokens(F.col("text")).alias("t"))
     totals = split.agg(F.count("*").alias("n_chunks"), F.avg(F.size("t")).alias("avg_len"))
     each = split.select("source", "i", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if only is not None:
+        terms = only.select("term").distinct()
+        each = each.join(F.broadcast(terms) if terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS else terms, "term", "left_semi")
     postings = each.groupBy("source", "i", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,13 +53,17 @@ def scores(index: Index, questions: DataFrame, strip: bool = True) -> DataFrame:
 
     Postings meet only the questions' terms; the sum is partial before its shuffle.
     """
-    asked = questions.select("qid", F.explode(content_tokens(F.col("question")) if strip else tokens(F.col("question"))).alias("term"))
-    weights = asked.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
+    weights = asked_terms(questions, strip).groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
     hit = index.postings.join(weights, "term").crossJoin(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hit.groupBy("qid", "source", "i", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def search_once(chunks: DataFrame, questions: DataFrame, k: int, strip: bool = True, position: list[str] | None = None) -> DataFrame:
+    """``search`` over an index of the questions' terms only."""
+    return search(build(chunks, asked_terms(questions, strip)), questions, k, strip, position)
+
+
 def search(index: Index, questions: DataFrame, k: int, strip: bool = True, position: list[str] | None = None) -> DataFrame:
     """The k best chunks with a positive score of each question: rank from 1, ties by corpus position."""
     order = [F.desc("score"), *(position or [F.length("source"), F.col("source"), F.col("i")])]

@@ -68,7 +68,7 @@ def strip_stopwords(spark, d):
 
 
 def bm25(spark, d, k=fusion.K, strip=True):
-    return lexical.search(lexical.build(chunked(spark, d)), questions(spark, d), k, strip)
+    return lexical.search_once(chunked(spark, d), questions(spark, d), k, strip)
 
 
 def bm25_topk(spark, d):
@@ -178,7 +178,7 @@ def poison(spark, d) -> DataFrame:
 def poison_served(spark, d):
     corpus = security.poisoned_copy(chunked(spark, d), poison(spark, d))
     place = [F.when(F.col("source") == security.POISON, 1).otherwise(0), F.length("source"), F.col("source"), F.col("i"), F.col("chunk_id")]
-    found = lexical.search(lexical.build(corpus), questions(spark, d), fusion.K, position=place)
+    found = lexical.search_once(corpus, questions(spark, d), fusion.K, position=place)
     return security.poison_served(found, questions(spark, d))
 
 

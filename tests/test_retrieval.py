@@ -42,6 +42,16 @@ def test_validate(spark):
     assert got == {1: "OK", 2: "SPLIT", 3: "MISSING", 4: "OK"}
 
 
+@pytest.mark.parametrize("sent", [1000, 1])
+def test_occurrences(spark, monkeypatch, sent):
+    monkeypatch.setattr(chunks, "SENT_SPANS", sent)
+    r = random.Random(8)
+    bodies = [" ".join(r.choice("ab abc b ca the x".split()) for _ in range(r.randint(0, 14))) for _ in range(30)]
+    wanted = ["", "ab", "b c", "the x", "ab b ca", "abc the x b", "nowhere ab x", "x"] + [b[3:15].strip() for b in bodies if len(b) > 18]
+    found = chunks.occurrences(spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "source string, body string"), spark.createDataFrame(list(enumerate(wanted)), "span_id long, span string"))
+    assert {(x.span_id, int(x.source)) for x in found.collect()} == {(n, i) for n, w in enumerate(wanted) for i, b in enumerate(bodies) if w in b}
+
+
 def bm25(corpus, question, strip):
     split = lambda t: re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", t.lower())
     words = [split(t) for t in corpus]
@@ -65,8 +75,11 @@ def test_bm25(spark, strip):
     r = random.Random(1)
     corpus = [" ".join(r.choice("alpha beta gamma delta the of risk".split()) for _ in range(r.randint(0, 12))) for _ in range(25)] + ["", "alpha beta", "alpha beta"]
     asked = ["the alpha alpha of risk", "unknown words", "", "gamma delta"]
-    index = lexical.build(chunks.chunk_documents(docs(spark, *[t or None for t in corpus])).unionByName(spark.createDataFrame([("25", 0, "25-0", ""), *[(str(i), 0, f"{i}-0", "") for i, t in enumerate(corpus[:25]) if not t]], "source string, i int, chunk_id string, text string")))
+    corpus_df = (chunks.chunk_documents(docs(spark, *[t or None for t in corpus])).unionByName(spark.createDataFrame([("25", 0, "25-0", ""), *[(str(i), 0, f"{i}-0", "") for i, t in enumerate(corpus[:25]) if not t]], "source string, i int, chunk_id string, text string")))
+    index = lexical.build(corpus_df)
     q = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    cols = ["qid", "rank", "chunk_id", "score"]
+    assert sorted(lexical.search_once(corpus_df, q, 5, strip).select(cols).collect()) == sorted(lexical.search(index, q, 5, strip).select(cols).collect())
     got = {}
     for x in lexical.search(index, q, 5, strip).collect():
         got.setdefault(x.qid, []).append((x["rank"], int(x.source), x.score))

@@ -165,6 +165,15 @@ def test_splits(spark):
         splits.in_split(df, part, "dev")
 
 
+def test_selection(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(40)], "g int, k int")
+    one = splits.one_per_group(df, "g", "k", 3)
+    assert sorted((r.g, r.k % 4) for r in one.collect()) == [(g, g) for g in range(4)]
+    assert sorted(one.collect()) == sorted(splits.one_per_group(df.repartition(3), "g", "k", 3).collect())
+    some = splits.sample_rows(df, "k", 10, 1, df.where("k < 20"))
+    assert some.count() == 10 and some.where("k < 20").count() == 0 and sorted(some.collect()) == sorted(splits.sample_rows(df.repartition(5), "k", 10, 1, df.where("k < 20")).collect())
+
+
 def test_security(spark):
     df = spark.createDataFrame([("old", "a", True), ("old", "a", False), ("old", "b", False), ("new", "a", False)], "prompt string, attack string, obeyed boolean")
     got = {r.prompt: (r.probes, r.obeyed, r.attacks, r.attacks_obeyed) for r in security.attack_success(df).collect()}
@@ -204,3 +213,29 @@ def test_exercises(spark):
     values = spark.createDataFrame([(0, i, v) for i, v in enumerate([2, -3, 0, 4])] + [(1, i, v) for i, v in enumerate([2, -3, 5])] + [(2, 0, 0), (2, 1, 0)], "g int, i int, v int")
     assert {(x.g, x.i): x.product for x in exercises.product_except_self(values, "g", "i", "v").collect()} == {(0, 0): 0, (0, 1): 0, (0, 2): -24, (0, 3): 0, (1, 0): -15, (1, 1): 10, (1, 2): -6, (2, 0): 0, (2, 1): 0}
     assert tuple(exercises.two_sum(values.where("g = 1"), "i", "v", 2).first()) == (1, 2)
+
+
+def test_reports(spark):
+    from tessera.operators import reports
+
+    rows = spark.createDataFrame([(False, 1.0), (None, 0.5), (True, 0.0), (False, None), (False, 0.0)], "declined boolean, score double")
+    assert tuple(reports.gold_alignment(rows).first()) == (3, 0.5, 1, 1, 1)
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (3,)], "k int")
+    assert sorted(tuple(r) for r in reports.set_difference(a, b).collect()) == [(1, "gone"), (2, "gone"), (3, "new")]
+    whole = spark.createDataFrame([(i,) for i in range(4)], "k int")
+    assert {r.k: r.parts for r in reports.partition_check(whole, [whole.where("k < 2"), whole.where("k in (1, 2)")], "k").collect()} == {1: 2, 3: 0}
+    cases = spark.createDataFrame([("c", "refused", True), ("d", "refused", None)], "case string, axis string, value boolean")
+    got = spark.createDataFrame([("c", "refused", False)], "case string, axis string, value boolean")
+    assert {r.case: r.same for r in reports.calibration_cases(cases, got).collect()} == {"c": False, "d": True}
+
+
+def test_entries_by_content(spark):
+    record = "rec long, axis string, model string, question string, answer string, retrieved array<struct<source:string,text:string>>"
+    rows = spark.createDataFrame([(1, "refused", "m", "q", "a", [("s", "t")]), (2, "refused", "m", "q", "other", [("s", "t")]), (3, "refused", "m", "q", None, [("s", "t")])], record)
+    shapes = spark.createDataFrame([("x", "3"), ("x", "2")], "mode string, prompt_version string")
+    cache = O.content_keys(rows.where("rec = 1"), shapes).select("key", "mode", "prompt_version", F.col("prompt_version").alias("judged"), (F.col("prompt_version") == "3").alias("decision"))
+    entries = O.entries_for(rows, cache)
+    assert sorted((r.rec, r.age, r.version, r.decision) for r in entries.collect()) == [(1, 1, "3", True), (1, 2, "2", False)]
+    assert tuple(O.freshness(rows, entries).first()) == (3, 1, 0, 2)
+    assert sorted(r.rec for r in O.to_judge(rows, entries).collect()) == [2, 3]
+    assert {r.rec: (r.refused, r.conflict) for r in O.axis_decisions(rows.select("rec"), entries).collect()} == {1: (True, True), 2: (None, None), 3: (None, None)}
