@@ -40,6 +40,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and white texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

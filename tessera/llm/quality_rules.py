@@ -8,8 +8,8 @@ passes the base rules and its host's shrunk rate is at most ``host_limit``.
 
 Defined cases: a null or white text has no words and fails the base rules; a
 null source belongs to no host, so only the base rules decide; repeated rows
-count and are returned as often as they occur; of further columns none is read
-(the pipeline's stage hands them through); an empty table gives an empty result.
+count and are returned as often as they occur; further columns are handed through,
+whatever their names; an empty table gives an empty result.
 With one host, or hosts of equal rates, the prior has no spread to fit, and
 ``PRIOR_WEIGHT`` pseudo-documents at the mean rate stand in.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words
+from .common import free_name, let, materialize, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -54,8 +54,8 @@ def window_hashes(w: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), window)).otherwise(F.array().cast("array<bigint>"))
 
 
-def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with the rule counts of whole texts and base_failed and any_failed appended."""
+def rule_counts(docs: DataFrame, text: str = "text", name: str = "rules") -> DataFrame:
+    """The input with one more column: a struct of the rule counts of whole texts, base_failed and any_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = let(
@@ -63,21 +63,17 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), let(window_hashes(w), repeat_words).alias("again")),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    step = docs.withColumn("__words", of_words).withColumn("__lines", of_lines)
-    counts = {
-        "n_words": F.col("__words.n"),
-        "word_chars": F.col("__words.chars"),
-        "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
-        "n_dup_lines": F.col("__lines.dup"),
-        "n_repeat_words": F.col("__words.again"),
-    }
-    step = step.select(*docs.columns, F.col("__lines.n").alias("__n_lines"), *[c.cast("long").alias(k) for k, c in counts.items()])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES * F.col("__n_lines"))
-    return step.withColumn("base_failed", failed).withColumn("any_failed", failed | soft).drop("__n_lines")
-
-
-def host_verdicts(docs: DataFrame, host: str = "source", failed: str = "any_failed", limit: float = HOST_LIMIT) -> DataFrame:
+    symbols = F.length(body) - F.length(F.translate(body, SYMBOLS, ""))
+    w, x, all_ = free_name(docs, "w"), free_name(docs, "x"), docs.columns
+    step = docs.withColumns({w: of_words, x: of_lines})
+    n, again, dup, n_lines, chars = F.col(f"{w}.n"), F.col(f"{w}.again"), F.col(f"{x}.dup"), F.col(f"{x}.n"), F.col(f"{w}.chars")
+    failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT * n)
+    soft = (100 * symbols > MAX_SYMBOLS * chars) | (100 * dup > MAX_DUP_LINES * n_lines)
+    counts = [c.cast("long").alias(k) for k, c in zip(COUNTS, (n, chars, symbols, dup, again), strict=True)]
+    return step.select(*all_, F.struct(*counts, failed.alias("base_failed"), (failed | soft).alias("any_failed")).alias(name))
+
+
+def host_verdicts(docs: DataFrame, host: str = "source", failed: str = "rules.any_failed", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per host: n, failures, shrunk rate, host_kept. The prior comes from two more sums over the hosts, never from rows."""
     hosts = docs.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_n"), F.count_if(failed).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_n")
@@ -92,23 +88,41 @@ def host_verdicts(docs: DataFrame, host: str = "source", failed: str = "any_fail
     return hosts.join(F.broadcast(prior)).withColumn("host_rate", shrunk).withColumn("host_kept", shrunk <= limit).drop("alpha", "weight")  # prior: one row
 
 
-def judged(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Written counts with kept. Verdicts are sent to all tasks if there are at most ``SMALL_HOSTS`` of them; beyond, hosts are joined by a shuffle that AQE may split."""
-    verdicts = materialize(host_verdicts(scored, host, limit=limit).select(host, "host_kept"), "hosts")
-    if verdicts.count() <= SMALL_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))
-    return scored.join(verdicts, host, "left").withColumn("kept", kept).drop("host_kept", "any_failed")
+def judged(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT, drop_text: bool = False) -> tuple[DataFrame, str, Column]:
+    """(the input with the struct of its counts, that struct's name, the verdict kept).
+
+    The counts are written once; the host sums and the result read them.
+    Verdicts are sent to all tasks if there are at most ``SMALL_HOSTS`` of them;
+    beyond, hosts are joined by a shuffle that AQE may split.
+    """
+    name, own, verdict = free_name(docs, "rules"), free_name(docs, "rules_host"), free_name(docs, "host_kept")
+    scored = rule_counts(docs, text, name)
+    scored = materialize(scored.drop(text) if drop_text else scored, "rules")
+    hosts = host_verdicts(scored, host, f"{name}.any_failed", limit)
+    hosts = materialize(hosts.select(F.col(host).alias(own), F.col("host_kept").alias(verdict)), "hosts")
+    if hosts.count() <= SMALL_HOSTS:
+        hosts = F.broadcast(hosts)
+    return scored.join(hosts, F.col(host) == F.col(own), "left"), name, ~F.col(f"{name}.base_failed") & F.coalesce(F.col(verdict), F.lit(True))
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The input's columns with counts, base_failed and kept. The counts are written once; both the host sums and the result read them."""
-    return judged(materialize(rule_counts(docs, text), "rules"), host, limit).select(*docs.columns, *COUNTS, "base_failed", "kept")
+    """The input's columns with counts, base_failed and kept; columns of the input with these names give way."""
+    scored, name, kept = judged(docs, text, host, limit)
+    added = (*COUNTS, "base_failed", "kept")
+    own = [c for c in docs.columns if c.lower() not in added]
+    return scored.select(*own, *[F.col(f"{name}.{k}").alias(k) for k in added[:-1]], kept.alias("kept"))
+
+
+def keep_rows(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows that are kept, with the input's columns as they were."""
+    scored, _, kept = judged(docs, text, host, limit)
+    return scored.where(kept).select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judged(materialize(rule_counts(docs).drop("text"), "rules")).select("doc_id", *COUNTS, "base_failed", "kept")
+    scored, name, kept = judged(docs, drop_text=True)
+    return scored.select("doc_id", *[f"{name}.{k}" for k in (*COUNTS, "base_failed")], kept.alias("kept"))
 
 
 ORACLE_SQL = f"""

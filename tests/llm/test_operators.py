@@ -215,6 +215,11 @@ def test_quality_rules(spark):
     assert not got[2000].base_failed and not got[2000].kept  # its host falls
     assert all(r.kept == (not r.base_failed) for r in got.values() if r.source != "junk")
     assert quality_rules.apply_rules(plain(spark, [])).count() == 0
+    clash = table(spark, rows).withColumn("rules", F.lit("own")).withColumn("kept", F.lit("own")).withColumn("w", F.lit(1)).withColumn("host_kept", F.lit(2))
+    out = quality_rules.keep_rows(clash)
+    assert out.columns == clash.columns
+    assert {r.doc_id for r in out.collect()} == {i for i, r in got.items() if r.kept} and {(r.rules, r.kept, r.n_words) for r in out.collect()} == {("own", "own", -1)}
+    assert {(r.doc_id, r.kept, r.n_words) for r in quality_rules.apply_rules(clash).collect()} == {(r.doc_id, r.kept, r.n_words) for r in got.values()}
 
 
 # 4
