@@ -27,9 +27,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,8 @@ from .common import bounded_batches
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
-KEPT, KEPT_PAIRS = 250_000, 400_000
+KEPT, KEPT_PAIRS = 1_000_000, 1_000_000  # some 500 MB a worker at most
+CHAR = 1 << 20  # symbols that are no piece are numbered from here by their character
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -68,10 +69,16 @@ class Transducer:
         for piece, (a, b) in sorted((self.halves or {}).items(), key=lambda x: len(x[0])):
             if min(worth(a), worth(b)) <= worth(piece) or a in self.unordered or b in self.unordered:
                 self.unordered.add(piece)
-        ends: dict[str, set[int]] = {}
+        # every ending of a piece that merging makes, with the piece's id, or -1 for what is an ending only
+        self.endings: dict[str, int] = {}
         for piece in self.halves or ():
-            ends.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+            for k in range(len(piece) - 1):
+                self.endings.setdefault(piece[k:], -1)
+            self.endings[piece] = self.ids[piece]
+        # bytes that are no text of their own stand as lone surrogates until all are joined
+        self.shown = list(self.pieces)
+        for byte, i in enumerate(self.byte_id):
+            self.shown[i] = chr(byte) if byte < 128 else chr(0xDC00 + byte)
         used = set("".join(self.ids))
         self.outside = "".join(chr(c) for c in range(128) if chr(c) not in used)
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -141,15 +148,16 @@ class Transducer:
             self.edges[side][symbol] = known
         return known
 
-    def together(self, a: str, b: str) -> bool:
-        """Whether merging a's and b's characters side by side leaves exactly the two: no merge across them comes while both of its parts stand there."""
-        key = a, b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            by_merging = a in self.unordered or b in self.unordered
-            known = self.pairs[key] = self.merged(a + b)[0] == [a, b] if by_merging else self._together(a, b)
+    def symbol(self, i: int) -> str:
+        return self.pieces[i] if i < CHAR else chr(i - CHAR)
+
+    def together(self, left: int, right: int) -> bool:
+        """Whether merging two symbols' characters side by side leaves exactly the two: no merge across them comes while both of its parts stand there."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        a, b = self.symbol(left), self.symbol(right)
+        by_merging = a in self.unordered or b in self.unordered
+        known = self.pairs[left << 21 | right] = self.merged(a + b)[0] == [a, b] if by_merging else self._together(a, b)
         return known
 
     def _together(self, a: str, b: str) -> bool:
@@ -167,35 +175,45 @@ class Transducer:
         return self._bpe(part) if self.kind == "bpe" else self._unigram(part)
 
     def _bpe(self, part: str) -> list[int]:
-        """``last``: the symbol on the one finite path to each position."""
-        n, halves, lengths, pairs = len(part), self.halves, self.lengths, self.pairs
-        last: list = [None] * (n + 1)
-        last[0] = ""
+        """``last``: the symbol on the one finite path to each position; -1 at the start, -2 where there is none."""
+        n, endings, pairs, ids = len(part), self.endings, self.pairs, self.ids
+        last = [-1] + [-2] * n
         for end in range(1, n + 1):
-            for size in lengths.get(part[end - 2 : end], ()) if end > 1 else ():
-                if size <= end:
-                    piece, before = part[end - size : end], last[end - size]
-                    if piece in halves and before is not None:
-                        ok = not before or pairs.get((before, piece))
-                        if ok is None:
-                            ok = self.together(before, piece)
-                        if ok:
-                            last[end] = piece
-                            break
-            else:
-                # one character, a piece or not; barred if its neighbour would merge with it
-                char, before = part[end - 1], last[end - 1]
-                if before is not None and (not before or self.together(before, char)):
-                    last[end] = char
-        out, end = [], n
-        if last[n] is None:
+            found, size = [], 2
+            while size <= end:
+                i = endings.get(part[end - size : end])
+                if i is None:
+                    break
+                if i >= 0:
+                    found.append((size, i))
+                size += 1
+            char = part[end - 1]
+            found.reverse()
+            # a character alone, a piece or not, comes last: it is barred if its neighbour would merge with it
+            found.append((1, ids.get(char, CHAR + ord(char))))
+            for size, i in found:
+                before = last[end - size]
+                if before == -2:
+                    continue
+                if before >= 0:
+                    ok = pairs.get(before << 21 | i)
+                    if not (self.together(before, i) if ok is None else ok):
+                        continue
+                last[end] = i
+                break
+        if last[n] == -2:
             raise ValueError(f"no path through {part[:80]!r}")
+        out, end = [], n
         while end:
-            symbol = last[end]
-            i = self.ids.get(symbol)
-            out.append([i] if i is not None else self.fallback(symbol))
-            end -= len(symbol)
-        return [i for ids in out[::-1] for i in ids]
+            i = last[end]
+            if i < CHAR:
+                out.append(i)
+                end -= len(self.pieces[i])
+            else:
+                out += self.fallback(chr(i - CHAR))[::-1]
+                end -= 1
+        out.reverse()
+        return out
 
     def _unigram(self, part: str) -> list[int]:
         n = len(part)
@@ -231,21 +249,12 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """Back through the transducer: runs of byte pieces are UTF-8, marks are spaces, the first mark is the prefix. Bad bytes give U+FFFD."""
-        pieces, low, high = self.pieces, self.byte_id[0] if self.byte_id else 0, self.byte_id[-1] if self.byte_id else -1
-        if not any(low <= i <= high for i in ids):
-            text = "".join([pieces[i] for i in ids])
-        else:
-            parts, run = [], bytearray()
-            for i in ids:
-                if low <= i <= high:
-                    run.append(i - low)
-                    continue
-                if run:
-                    parts.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                parts.append(pieces[i])
-            parts.append(run.decode("utf-8", "replace"))
-            text = "".join(parts)
+        text = "".join(map(self.shown.__getitem__, ids))
+        if self.byte_id:
+            try:
+                text.encode()
+            except UnicodeEncodeError:
+                text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         if self.prefix and text.startswith(MARK):
             text = text[1:]
         return text.replace(MARK, " ") if self.escape else text
@@ -326,8 +335,8 @@ def summarise(docs: DataFrame, model: Transducer, doc_id: str = "doc_id", text:
                 for t in part.column(1).to_pylist():
                     t = t or ""
                     ids = fst.encode(t)
-                    flat = array("i", ids).tobytes()
-                    row = len(ids), sum(low <= i <= high for i in set(ids)) and sum(low <= i <= high for i in ids), zlib.crc32(flat), fst.decode(ids) == t
+                    flat = np.array(ids, "<i4")
+                    row = len(ids), int(((flat >= low) & (flat <= high)).sum()), zlib.crc32(flat.tobytes()), fst.decode(ids) == t
                     for to, v in zip(out, row, strict=True):
                         to.append(v)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
