@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,7 +110,7 @@ def strip_thinking(text: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def format_chunks(retrieved: Column) -> Column:
@@ -162,12 +165,8 @@ def repair_ligatures(text: Column, table: dict[str, str] | None = None) -> Colum
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC: no built-in function has it, so an Arrow-batched one does."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        import unicodedata
-
         return column.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     return run(text)

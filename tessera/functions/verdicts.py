@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def read_reply(axis: str, reply: str | None) -> dict:
 
 def parse_verdict(axis: Column, raw: Column) -> Column:
     """A ``VERDICT`` struct. Nested objects and strings need a state machine, so an Arrow-batched function reads them."""
-    import pandas as pd
-
     @F.pandas_udf(VERDICT)
     def run(axes: pd.Series, replies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_reply(a, r) for a, r in zip(axes, replies, strict=True)], columns=["ok", "error", "flags", "texts"])

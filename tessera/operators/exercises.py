@@ -57,7 +57,11 @@ def product_except_self(rows: DataFrame, by: str, pos: str, value: str) -> DataF
 def longest_without_repeat(text: Column) -> Column:
     """Length of the longest run of characters without a repeat: one fold that keeps where the current run begins."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
-    step = lambda a, c: F.struct(F.concat(F.substring_index(a["run"], c, -1), c).alias("run"), F.greatest(a["best"], F.length(F.concat(F.substring_index(a["run"], c, -1), c))).alias("best"))
+
+    def step(a: Column, c: Column) -> Column:
+        run = F.concat(F.call_function("substring_index", a["run"], c, F.lit(-1)), c)
+        return F.struct(run.alias("run"), F.greatest(a["best"], F.length(run)).alias("best"))
+
     return F.aggregate(letters, F.struct(F.lit("").alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"])
 
 
