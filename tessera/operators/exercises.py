@@ -87,8 +87,9 @@ def to_integer(text: Column) -> Column:
 
 def sudoku_conflicts(cells: DataFrame) -> DataFrame:
     """cells (row, col, digit): digits that stand twice in a row, column or box."""
-    box = (F.floor(F.col("row") / 3) * 3 + F.floor(F.col("col") / 3)).cast("long")
-    units = F.array(F.struct(F.lit("row").alias("unit"), F.col("row").cast("long").alias("at")), F.struct(F.lit("col"), F.col("col").cast("long")), F.struct(F.lit("box"), box))
+    box = (F.floor(F.col("row") / 3) * 3 + F.floor(F.col("col") / 3))
+    unit = lambda name, at: F.struct(F.lit(name).alias("unit"), at.cast("long").alias("at"))
+    units = F.array(unit("row", F.col("row")), unit("col", F.col("col")), unit("box", box))
     each = cells.where("digit is not null").select("digit", F.explode(units).alias("u"))
     return each.groupBy("u.unit", "u.at", "digit").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -67,7 +67,7 @@ def wilson_interval(spark, d):
 
 
 def mcnemar_exact(spark, d):
-    cells = decided(spark, d).groupBy("refusal_type").agg(F.count_if("refused and not fabricated").alias("b"), F.count_if("not refused and fabricated").alias("c"))
+    cells = decided(spark, d).groupBy("refusal_type").agg(F.count_if(F.expr("refused and not fabricated")).alias("b"), F.count_if(F.expr("not refused and fabricated")).alias("c"))
     return cells.select("refusal_type", "b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
 
 
