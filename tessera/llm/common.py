@@ -40,6 +40,24 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are sent to all tasks at most, at some tens of bytes each; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+
+
+def sent_if_few(ids: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
+    """(a written table of ids, marked to be sent to all tasks if it has at most ``most`` rows; whether it is)."""
+    few = ids.count() <= (SENT_IDS if most is None else most)
+    return (F.broadcast(ids) if few else ids), few
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and no later plan reads."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores in front as it takes to clash with no column."""
     taken = {c.lower() for c in df.columns}
