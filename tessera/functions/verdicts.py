@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship_package
 from .text import strip_thinking
 
 #: The fields of each axis in the order of the contract; boolean ones are mandatory.
@@ -81,6 +82,7 @@ def parse_verdict(axis: Column, raw: Column) -> Column:
     def run(axes: pd.Series, replies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_reply(a, r) for a, r in zip(axes, replies, strict=True)], columns=["ok", "error", "flags", "texts"])
 
+    ship_package(SparkSession.active())
     return run(axis, strip_thinking(raw))
 
 

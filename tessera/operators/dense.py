@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship_package
+
 DIGITS = 9
 QUESTION_BYTES = 8 << 20
 
@@ -60,6 +62,7 @@ def search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "l2sq
     n, dims = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if k < 1 or not n:
         return spark.createDataFrame([], schema)
+    ship_package(spark)
     groups, out = -(-n * dims * 8 // QUESTION_BYTES), None
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("embedding").isNotNull())
     for g in range(groups):
