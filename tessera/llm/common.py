@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship_package
+
 #: Words are runs of characters outside this class.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -26,7 +28,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts can be long, and Spark bounds Arrow batches by 10,000 rows: lower that, and the bytes, for the session, unless it has less already."""
+    """Before Python runs on whole texts: Spark bounds Arrow batches by 10,000 rows; lower that, and the bytes, for the session, unless it has less already. Workers get the package."""
+    ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = str(spark.conf.get(key)).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
