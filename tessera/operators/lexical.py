@@ -37,12 +37,14 @@ def build(chunks: DataFrame, only: DataFrame | None = None) -> Index:
     """
     split = chunks.select("source", "i", "chunk_id", tokens(F.col("text")).alias("t"))
     totals = split.agg(F.count("*").alias("n_chunks"), F.avg(F.size("t")).alias("avg_len"))
-    each = split.select("source", "i", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    each = split.select("source", "i", "chunk_id", "t", F.explode(F.array_distinct("t")).alias("term"))
     if only is not None:
         terms = only.select("term").distinct()
         each = each.join(F.broadcast(terms) if terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS else terms, "term", "left_semi")
-    postings = each.groupBy("source", "i", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # a chunk is one row, so its term counts need no shuffle; document frequencies are summed before theirs
+    tf = F.size("t") - F.size(F.array_remove("t", F.col("term")))
+    postings = each.select("source", "i", "chunk_id", "term", tf.cast("long").alias("tf"), F.size("t").alias("len"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = df.crossJoin(F.broadcast(totals)).select("term", "df", idf.alias("idf"))  # totals: one row
     return Index(postings, terms, totals)

@@ -15,7 +15,7 @@ from ..functions import verdicts as V
 from ..operators import exercises as X
 from ..operators import gates, security, splits, trace
 from ..operators import verdicts as O
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 CANARY, URL = "k\": 7", "http://"
 
@@ -23,7 +23,8 @@ CANARY, URL = "k\": 7", "http://"
 def decided(spark: SparkSession, d: str) -> DataFrame:
     """One row per document with the decisions that its labels stand for; unlabelled ones have none."""
     labels = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("refused"), (F.col("toxic") == 1).alias("fabricated"))
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("refusal_type"), "lang", F.col("text").alias("answer")).join(labels, "doc_id", "left")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    return docs.select("doc_id", F.col("source").alias("refusal_type"), "lang", F.col("text").alias("answer")).join(labels, "doc_id", "left")
 
 
 def phrase_refusals(spark, d):

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import dense, fusion, lexical, metrics, security
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 SWEEP = [(1000, 200), (800, 160), (500, 100), (300, 60)]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
 
 
 def chunked(spark: SparkSession, d: str) -> DataFrame:

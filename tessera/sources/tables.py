@@ -20,6 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """Deal a small table out to all cores if its files are fewer, since a file of one row group is one task. Larger tables stay as their files are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size <= most and len(rows.inputFiles()) < cores else rows
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store Spark reads it from."""
     jvm = spark.sparkContext._jvm
