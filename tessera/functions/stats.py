@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,32 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided McNemar p; 1 for no discordant pair. Binomial terms run up from 2^-n, so no coefficient overflows below n = 1000."""
-    n, k = b + c, F.least(b, c).cast("int")
+    """Exact two-sided McNemar p at any n = b + c; 1 for no discordant pair.
+
+    Binomial terms are summed from the largest, i = min(b, c), down and relative
+    to it, so none underflows; its own logarithm scales the sum at the end. The
+    term j places down is at most exp(-j^2 / (n + 1)) of the largest, so those
+    after 7 sqrt(n) + 50 are together below a double's last digit.
+    """
+    n, k = (b.cast("double") + c.cast("double")), F.least(b, c).cast("double")
+    last = F.least(k, F.floor(7 * F.sqrt(n)) + 50).cast("int")
     fold = F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum")),
-        lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+        F.sequence(F.lit(0), last),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda a, j: F.struct((a["term"] * (k - j) / (n - k + j + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
         lambda a: a["sum"],
     )
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * fold))
+    off = (n - 2 * k) / n  # how far k lies below n / 2
+    level = F.log(n / (2 * math.pi * k * (n - k))) / 2 - k * F.log1p(-off) - (n - k) * F.log1p(off)
+    largest = F.when(k == 0, -n * math.log(2)).otherwise(level + _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(largest + F.log(2 * fold))))
+
+
+def _stirling_rest(m: Column) -> Column:
+    """ln m! less Stirling's formula, for whole m from 1 on: a table below 16, the series from there."""
+    few = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - math.log(2 * math.pi) / 2) for i in range(1, 16)])
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m * m)) / (m * m)) / (m * m)) / m
+    return F.when(m < 16, F.get(few, m.cast("int") - 1)).otherwise(series)
 
 
 def kappa(yes_yes: Column, yes_no: Column, no_yes: Column, no_no: Column) -> Column:

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,19 @@ def test_published_statistics(spark):
         assert m(b, c) == pytest.approx(min(1, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n), rel=1e-9)
 
 
+def test_mcnemar_beyond_the_range_of_doubles(spark):
+    """2^-n is 0 in doubles from n = 1,075 on; the reference is exact at any n. Beyond what big integers can check in time, the normal tail."""
+    pairs = [(600, 600), (540, 536), (560, 640), (700, 600), (1000, 1300), (2500, 2600), (0, 1074), (3, 1500), (15, 40), (16, 16), (10**6, 10**6 + 2000), (5 * 10**9, 5 * 10**9 + 10**5)]
+    got = [r.p for r in spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()]
+    for (b, c), p in zip(pairs, got, strict=True):
+        n, k = b + c, min(b, c)
+        if n < 10_000:
+            want = min(1, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+            assert p == pytest.approx(want, rel=1e-9, abs=1e-300), (b, c)
+        else:
+            assert p == pytest.approx(math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel=1e-4), (b, c)
+
+
 def test_confusion_and_correlation(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, None)], "p boolean, a boolean")
     assert tuple(stats.confusion(df, "p", "a").first()) == (1, 1, 0, 0, 1.0, 0.0)
