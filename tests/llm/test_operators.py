@@ -142,6 +142,38 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(plain(spark, rows)).collect()} == components_by_force(rows)[0]
 
 
+def test_large_buckets_compare_pairs_of_one_shared_band(spark, monkeypatch):
+    """Two pairs of similar texts whose sketches share a single band, in a bucket of over BLOCK classes; a second band never proposes them."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    real = minhash.band_keys
+
+    def one_band(sketches):
+        keys = real(sketches)
+        keys[:, 1:] = np.arange(1, 1 + keys[:, 1:].size).reshape(keys[:, 1:].shape) ^ (sketches.astype(np.int64).sum(1) << 32)[:, None]
+        keys[:, 0] = 7
+        return keys
+
+    monkeypatch.setattr(minhash, "band_keys", one_band)
+    r = random.Random(0)
+    sets = [[f"w{r.randrange(5000)}" for _ in range(60)] for _ in range(9)]
+    texts = [" ".join(w) for w in sets] + [" ".join([*w[:-1], "end"]) for w in sets[3:]]
+    slim = [(i, 60 - 4, str(i).encode(), minhash.sketch(own).tobytes()) for i, own in tokens_np.shingle_sets(pa.array(texts), 5)]
+    rows = spark.createDataFrame(slim, "doc_id long, n long, cls binary, regs binary").select(F.lit(7).cast("long").alias("key"), "cls", F.when(F.col("doc_id") < 3, F.lit(b"0")).otherwise(F.col("cls")).alias("root"), "n", "regs")
+    cells = minhash._cells(rows).join(rows.select("cls", "n", "regs"), "cls").coalesce(1).sortWithinPartitions("key", "cell", "cls").collect()
+    batch = pa.RecordBatch.from_pylist([{**x.asDict(recursive=True), "cell": str(x.cell), "cls": bytes(x.cls), "root": bytes(x.root), "regs": bytes(x.regs)} for x in cells])
+    found = Counter(frozenset((a, b)) for out in minhash._across(75)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True))
+    assert found == {frozenset((str(i).encode(), str(i + 6).encode())): 1 for i in range(3, 9)}
+    met = Counter()
+    by = defaultdict(list)
+    for x in cells:
+        by[x.cell].append(x)
+    for own in by.values():
+        for i, x in enumerate(own):
+            met.update(frozenset((bytes(x.cls), bytes(y.cls))) for y in own[i + 1 :] if x.root != y.root and (x.side != y.side or x.side == minhash.WHOLE))
+    roots = {bytes(x.cls): bytes(x.root) for x in cells}
+    assert met == {frozenset((a, b)): 1 for a in roots for b in roots if roots[a] != roots[b]}
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(plain(spark, [])).count() == 0
     text = "a b c d e f g"
