@@ -6,15 +6,14 @@ that need the least padding over the whole table; inside each bucket, rows in
 the order of their ids' hashes form batches of as many rows as the token budget
 holds at the bucket's bound.
 
-The histogram has one cell per length up to 1024 and 512 cells per doubling
-above, so at most 1024 + 512 x 53 cells whatever the input; bounds are the
-largest length met in a cell. Up to 1024 they are optimal, above among cells.
+The histogram has one cell per length that occurs, so the bounds are optimal at
+any length. Distinct lengths add up to at most the words of the table, so there
+are fewer than the square root of twice its words.
 
 Defined cases: a null or empty text has length 1; a row longer than the budget
 is a batch of its own, never cut; repeated rows are rows of their own; null ids
 are kept; further columns are not read; an empty table gives an empty result; with
-fewer distinct cells than buckets each cell is a bucket and no padding is left
-below 1024.
+no more distinct lengths than buckets each length is a bucket and no padding is left.
 """
 
 from __future__ import annotations
@@ -26,11 +25,14 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, materialize, words
 
 BUCKETS, BUDGET = 12, 32768
-EXACT_BITS = 10
 
 
 def best_bounds(longest: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` runs of cells with the least sum of (bound - length). Of equal splits the earliest cut wins."""
+    """Upper bounds of at most ``buckets`` runs of cells with the least sum of (bound - length). Of equal splits the earliest cut wins.
+
+    The costs obey the quadrangle inequality, so the best cut never moves down as the
+    end moves up: halving the ends halves the cuts to try, n log n costs a bucket.
+    """
     n = len(longest)
     if n <= buckets:
         return [int(x) for x in longest]
@@ -40,10 +42,18 @@ def best_bounds(longest: np.ndarray, count: np.ndarray, total: np.ndarray, bucke
     for k in range(2, buckets + 1):
         now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         now[0] = 0
-        for j in range(k, n + 1):
-            cost = best[k - 1 : j] + longest[j - 1] * (rows[j] - rows[k - 1 : j]) - (sums[j] - sums[k - 1 : j])
+        todo = [(k, n, k - 1, n - 1)]
+        while todo:
+            first, last, low, high = todo.pop()
+            j = (first + last) // 2
+            end = min(high + 1, j)
+            cost = best[low:end] + longest[j - 1] * (rows[j] - rows[low:end]) - (sums[j] - sums[low:end])
             i = int(cost.argmin())
-            now[j], cut[j] = cost[i], i + k - 1
+            now[j], cut[j] = cost[i], low + i
+            if first < j:
+                todo.append((first, j - 1, low, low + i))
+            if j < last:
+                todo.append((j + 1, last, low + i, high))
         best = now
         cuts.append(cut)
     out, j = [], n
@@ -54,11 +64,9 @@ def best_bounds(longest: np.ndarray, count: np.ndarray, total: np.ndarray, bucke
 
 
 def length_bounds(lengths: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS) -> list[int]:
-    step = F.greatest(F.length(F.bin(length)) - EXACT_BITS, F.lit(0))
-    cell = F.call_function("shiftleft", F.call_function("shiftright", F.col(length), step), step)
-    cells = lengths.groupBy(cell.alias("cell")).agg(F.max(length).alias("longest"), F.count("*").alias("n"), F.sum(length).alias("total")).orderBy("cell").collect()
-    column = lambda k: np.array([r[k] for r in cells], dtype=np.int64)
-    return best_bounds(column("longest"), column("n"), column("total"), buckets)
+    cells = lengths.groupBy(length).agg(F.count("*").alias("n")).orderBy(length).toArrow()
+    longest, count = (cells.column(k).to_numpy().astype(np.int64) for k in (length, "n"))
+    return best_bounds(longest, count, longest * count, buckets)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

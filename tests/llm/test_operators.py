@@ -380,6 +380,15 @@ def test_bounds_are_optimal(seed):
         assert sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, k)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_are_optimal_above_1024(spark, seed):
+    """Long lengths count one by one: no cells merge them before the bounds are chosen."""
+    r = random.Random(seed)
+    lengths = [r.randrange(2040, 2200) for _ in range(40)] + [r.randrange(16_000, 16_040) for _ in range(20)] + [70_000, 70_001]
+    bounds = packing.length_bounds(spark.createDataFrame([(x,) for x in lengths], "n_tokens long"), buckets=5)
+    assert len(bounds) == 5 and sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, 5)
+
+
 # 8 and 9
 
 
