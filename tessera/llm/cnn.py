@@ -8,8 +8,8 @@ six weights per byte value, learned by gradient descent; for scoring, tables are
 added up pairwise so that a filter bank costs three look-ups a byte.
 
 The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled texts of
-each label outside the held-out fold, ``FIT_CHUNKS`` evenly spaced chunks of each
-(scoring reads every chunk). The balanced sample's log odds are corrected to
+each label outside the held-out fold (fewer where their bytes pass ``FIT_BYTES``),
+every chunk of each, as scoring reads them. The balanced sample's log odds are corrected to
 those of all labels.
 
 Defined cases: a null or empty text is one chunk of padding and is scored like
@@ -29,7 +29,7 @@ from .labelled import score_rows, sigmoid, training_sample
 from .tokens_np import parts
 
 HALF, WIDTH, FILTERS, HIDDEN = 256, 6, 16, 12
-PER_CLASS, FIT_CHUNKS, EPOCHS, BATCH = 1500, 5, 8, 64
+PER_CLASS, EPOCHS, BATCH = 1500, 8, 64
 FOLDS, HELD_OUT, LIMIT = 3, 1, 0.5
 
 
@@ -97,19 +97,19 @@ class Model:
             self.p["out"][:] = 0
             self.shift = log_odds
             return self
-        chunks, owner = [], []
+        laid_out, starts, ends, owner, at = [], [], [], [], 0
         for row, data, offsets in parts(texts):
             laid, first = layout(data, offsets)
-            for i in range(len(first) - 1):
-                n = int(first[i + 1] - first[i]) - 1
-                for k in np.unique(np.linspace(0, n - 1, min(n, FIT_CHUNKS)).astype(int)):
-                    at = (first[i] + k) * HALF
-                    chunk = laid[at : at + 2 * HALF + WIDTH].copy()
-                    if k == n - 1:
-                        chunk[2 * HALF :] = 0
-                    chunks.append(chunk)
-                    owner.append(row + i)
-        chunks, owner = np.stack(chunks), np.array(owner)
+            inside = np.ones(first[-1], bool)
+            inside[first[1:] - 1] = False  # a chunk does not reach into the next text
+            half = np.flatnonzero(inside)
+            starts.append(at + half * HALF)
+            ends.append(~inside[half + 1])
+            owner.append(row + np.repeat(np.arange(len(first) - 1), np.diff(first) - 1))
+            laid_out.append(laid)
+            at += len(laid)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(laid_out), 2 * HALF + WIDTH)
+        starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
         begins = np.searchsorted(owner, np.arange(len(y) + 1))
         r, state, step = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         for epoch in range(EPOCHS):
@@ -120,17 +120,19 @@ class Model:
                 text = np.repeat(np.arange(len(rows)), begins[rows + 1] - begins[rows])
                 step += 1
                 rate = 0.02 * (0.5 if epoch >= EPOCHS - 3 else 1) * (0.4 if epoch == EPOCHS - 1 else 1)
-                self._update(self._gradients(chunks[take], text, y[rows]), state, step, rate)
+                chunks = windows[starts[take]]
+                chunks[ends[take], 2 * HALF :] = 0
+                self._update(self._gradients(chunks, text, y[rows]), state, step, rate)
         self.shift = log_odds - float(np.log(y.sum() / (len(y) - y.sum())))
         return self
 
     def _gradients(self, chunks: np.ndarray, text: np.ndarray, y: np.ndarray) -> dict:
         p, n = self.p, len(y)
         tables = pair_tables(p["filters"])
-        pairs = chunks[:, :-1].astype(np.int32) * 256 + chunks[:, 1:]
         pooled, where = np.empty((len(chunks), FILTERS)), np.empty((len(chunks), FILTERS), np.int64)
         for at in range(0, len(chunks), 32):
-            own = pairs[at : at + 32]
+            own = chunks[at : at + 32]
+            own = own[:, :-1].astype(np.int32) * 256 + own[:, 1:]
             v = sum(t.take(own[:, 2 * k : 2 * k + 2 * HALF], 0) for k, t in enumerate(tables))
             where[at : at + 32] = v.argmax(1)
             pooled[at : at + 32] = np.take_along_axis(v, where[at : at + 32][:, None], 1)[:, 0]

@@ -442,6 +442,26 @@ def test_cnn_scores_do_not_depend_on_batches():
     assert np.allclose(model.scores(pa.array(texts, pa.string())), one, atol=1e-5)
 
 
+def test_cnn_fits_on_every_chunk(monkeypatch):
+    """All chunks of a long text reach the gradients, each as scoring sees it."""
+    seen = defaultdict(set)
+    monkeypatch.setattr(cnn, "EPOCHS", 1)
+
+    def gradients(self, chunks, text, y):
+        for c, t in zip(chunks, text, strict=True):
+            seen[y[t]].add(c.tobytes())
+        return {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(cnn.Model, "_gradients", gradients)
+    long, short = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(9_000)), "short"
+    cnn.Model().fit(pa.array([short, long]), np.array([0.0, 1.0]), 0.0)
+    whole, first = cnn.layout(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    size, n = 2 * cnn.HALF, first[1] - 1
+    want = [whole[k * cnn.HALF : k * cnn.HALF + size + cnn.WIDTH].tobytes() for k in range(n)]
+    assert seen[1.0] == set(want) and n > 30
+    assert seen[0.0] == {short.encode().ljust(size + cnn.WIDTH, b"\0")}
+
+
 def test_cnn_gradients():
     r = np.random.default_rng(0)
     model = cnn.Model()
