@@ -328,7 +328,7 @@ def parse_verdicts(spark, d):
 
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "benchmark").select(F.length("text").alias("v"))
-    out = stats.bootstrap(rows, "v", 2000)
+    out = stats.bootstrap(rows, "v")
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 

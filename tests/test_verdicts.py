@@ -131,6 +131,19 @@ def test_bootstrap(spark):
     assert stats.bootstrap(df.limit(0), "v").first().n == 0
 
 
+def test_bootstrap_query_makes_the_default_repetitions(spark, monkeypatch):
+    import inspect
+
+    from tessera.plans import judging
+
+    asked, whole = [], stats.bootstrap
+    names = inspect.signature(whole)
+    monkeypatch.setattr(stats, "bootstrap", lambda *a, **k: asked.append(names.bind(*a, **k)) or whole(*a, **k))
+    judging.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    asked[0].apply_defaults()
+    assert asked[0].arguments["n_boot"] == 10_000
+
+
 def test_pins(spark):
     seen = gates.unpivot_axes(spark.createDataFrame([("q1", True, None), ("q2", None, False), ("q3", True, True)], "question string, refused boolean, fabricated boolean"), ["question"], ["refused", "fabricated", "misdirected"])
     pins = gates.unpivot_axes(spark.createDataFrame([("q1", True, None), ("q2", False, False)], "question string, refused boolean, misdirected boolean"), ["question"], ["refused", "fabricated", "misdirected"])
