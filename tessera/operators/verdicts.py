@@ -10,15 +10,19 @@ from ..functions.text import cache_key, format_chunks, looks_like_refusal
 from ..functions.verdicts import clean, prompt_version
 
 DIGITS = 6
+#: Shapes that are sent to all tasks at most; how more are joined is Spark's choice.
+SENT_SHAPES = 1000
 
 
 def content_keys(records: DataFrame, shapes: DataFrame) -> DataFrame:
     """Records (rec, axis, model, question, answer, retrieved) under every (mode, prompt_version) of ``shapes``: the key that a verdict on this content would have.
 
-    ``shapes`` is the distinct list of modes and versions in use: a few rows.
+    ``shapes`` lists the modes and versions in use; every distinct one is tried.
     """
+    shapes = shapes.select("mode", "prompt_version").distinct()
+    few = shapes.limit(SENT_SHAPES + 1).count() <= SENT_SHAPES
     parts = [F.col(k) for k in ("prompt_version", "mode", "model", "axis", "question", "answer")]
-    return records.join(F.broadcast(shapes.select("mode", "prompt_version").distinct().limit(1000))).withColumn("key", cache_key(*parts, format_chunks(F.col("retrieved"))))
+    return records.crossJoin(F.broadcast(shapes) if few else shapes).withColumn("key", cache_key(*parts, format_chunks(F.col("retrieved"))))
 
 
 def entries_for(records: DataFrame, cache: DataFrame) -> DataFrame:

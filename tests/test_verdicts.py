@@ -266,3 +266,12 @@ def test_entries_by_content(spark):
     assert tuple(O.freshness(rows, entries).first()) == (3, 1, 0, 2)
     assert sorted(r.rec for r in O.to_judge(rows, entries).collect()) == [2, 3]
     assert {r.rec: (r.refused, r.conflict) for r in O.axis_decisions(rows.select("rec"), entries).collect()} == {1: (True, True), 2: (None, None), 3: (None, None)}
+
+
+def test_every_shape_is_tried(spark):
+    """No verdict is lost under more shapes than are sent to all tasks."""
+    record = "rec long, axis string, model string, question string, answer string, retrieved array<struct<source:string,text:string>>"
+    rows = spark.createDataFrame([(1, "refused", "m", "q", "a", [("s", "t")])], record)
+    shapes = spark.range(O.SENT_SHAPES + 200).select(F.concat(F.lit("m"), "id").alias("mode"), F.lit("3").alias("prompt_version"))
+    cache = O.content_keys(rows, shapes).select("key", "mode", "prompt_version", F.lit(1).alias("judged"), F.lit(True).alias("decision"))
+    assert O.entries_for(rows, cache).count() == O.SENT_SHAPES + 200
