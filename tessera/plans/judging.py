@@ -245,7 +245,7 @@ def traceability_orphans(spark, d):
 
 
 def figures(spark, d):
-    rows = table(spark, d, "pages").select("page_id", T.concrete_figures(F.col("url")).alias("f"))
+    rows = table(spark, d, "pages").select("page_id", T.concrete_figures(F.col("html")).alias("f"))
     return rows.select("page_id", F.array_join("f", ",").alias("figures"))
 
 
