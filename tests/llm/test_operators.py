@@ -136,44 +136,130 @@ def test_near_duplicates(spark, seed):
 
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    """With a tiny block every bucket is cut finer; the components stay the same."""
+    """With a tiny block every cluster and bucket is dealt to parts; the components stay the same."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
     rows = corpus(2)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(plain(spark, rows)).collect()} == components_by_force(rows)[0]
 
 
-def test_large_buckets_compare_pairs_of_one_shared_band(spark, monkeypatch):
-    """Two pairs of similar texts whose sketches share a single band, in a bucket of over BLOCK classes; a second band never proposes them."""
+def test_cells_meet_every_pair_of_two_components_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 2)
-    real = minhash.band_keys
-
-    def one_band(sketches):
-        keys = real(sketches)
-        keys[:, 1:] = np.arange(1, 1 + keys[:, 1:].size).reshape(keys[:, 1:].shape) ^ (sketches.astype(np.int64).sum(1) << 32)[:, None]
-        keys[:, 0] = 7
-        return keys
-
-    monkeypatch.setattr(minhash, "band_keys", one_band)
-    r = random.Random(0)
-    sets = [[f"w{r.randrange(5000)}" for _ in range(60)] for _ in range(9)]
-    texts = [" ".join(w) for w in sets] + [" ".join([*w[:-1], "end"]) for w in sets[3:]]
-    slim = [(i, 60 - 4, str(i).encode(), minhash.sketch(own).tobytes()) for i, own in tokens_np.shingle_sets(pa.array(texts), 5)]
-    rows = spark.createDataFrame(slim, "doc_id long, n long, cls binary, regs binary").select(F.lit(7).cast("long").alias("key"), "cls", F.when(F.col("doc_id") < 3, F.lit(b"0")).otherwise(F.col("cls")).alias("root"), "n", "regs")
-    cells = minhash._cells(rows).join(rows.select("cls", "n", "regs"), "cls").coalesce(1).sortWithinPartitions("key", "cell", "cls").collect()
-    batch = pa.RecordBatch.from_pylist([{**x.asDict(recursive=True), "cell": str(x.cell), "cls": bytes(x.cls), "root": bytes(x.root), "regs": bytes(x.regs)} for x in cells])
-    found = Counter(frozenset((a, b)) for out in minhash._across(75)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True))
-    assert found == {frozenset((str(i).encode(), str(i + 6).encode())): 1 for i in range(3, 9)}
-    met = Counter()
-    by = defaultdict(list)
+    rows = [(7, str(i).encode(), b"0" if i < 5 else str(i % 9).encode(), i, i, 10) for i in range(16)]
+    cells = minhash._cells(spark.createDataFrame(rows, "key long, cls binary, root binary, rep long, h long, n long")).collect()
+    met, by = Counter(), defaultdict(list)
     for x in cells:
         by[x.cell].append(x)
     for own in by.values():
         for i, x in enumerate(own):
             met.update(frozenset((bytes(x.cls), bytes(y.cls))) for y in own[i + 1 :] if x.root != y.root and (x.side != y.side or x.side == minhash.WHOLE))
-    roots = {bytes(x.cls): bytes(x.root) for x in cells}
+    roots = {r[1]: r[2] for r in rows}
     assert met == {frozenset((a, b)): 1 for a in roots for b in roots if roots[a] != roots[b]}
 
 
+def dense_group(n, seed=0):
+    """Texts of 200 words with four replaced in each: most pairs lie at about 0.66, some above 0.75."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(200), 4):
+            w[k] = f"x{r.randrange(10**9)}"
+        out.append((i, " ".join(w), "en", "s", 0))
+    return out
+
+
+def fast_components(rows):
+    """Brute force over all pairs, as a matrix of common shingles."""
+    codes, sets = {}, []
+    for _, t, *_ in rows:
+        sets.append([codes.setdefault(x, len(codes)) for x in shingles(t)])
+    m = np.zeros((len(rows), len(codes)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, s] = 1
+    common, n = m @ m.T, m.sum(1)
+    linked = 100 * common >= 75 * (n[:, None] + n[None] - common)
+    label = np.arange(len(rows))
+    while True:
+        low = np.where(linked, label[None], len(rows)).min(1)
+        if (low == label).all():
+            return {rows[i][0]: rows[int(k)][0] for i, k in enumerate(label)}
+        label = np.minimum(label, low)
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_dense_groups_write_rows_in_proportion(spark, monkeypatch, block):
+    """Most pairs are possible and few are links: components as by brute force, and no table of pairs, with one cell and with many."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    real, written = minhash.materialize, Counter()
+
+    def counted(df, name, **options):
+        out = real(df, name, **options)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    totals = {}
+    for n in (300, 600, 1200) if block > 40 else (300,):
+        written.clear()
+        rows = dense_group(n)
+        want = fast_components(rows)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(plain(spark, rows)).collect()} == want
+        assert 1 < len(set(want.values())) < n
+        totals[n] = written["links"], sum(written.values())
+        assert written["links"] < n and written["placed"] <= n
+    if block > 40:
+        assert totals[1200][1] < 6 * totals[300][1]
+
+
+def test_forest_ties_all_that_possible_pairs_connect():
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for i in range(90):
+        b = base[i % 6]
+        sets.append(np.sort(np.concatenate([b[r.random(len(b)) > r.choice([0.05, 0.15, 0.3])], r.integers(0, 2**63, 20).astype(np.uint64)])))
+    regs, n = np.stack([minhash.sketch(s) for s in sets]), np.array([len(s) for s in sets])
+    for starts in ([0], [0, 50], [0, 1, 4, 30, 31, 60], list(range(90))):
+        trees, names = minhash.Trees(), [bytes([i]) for i in range(90)]
+        out = minhash.forest(names, np.array(starts), regs, n, 75, trees)
+        want, got = minhash.Trees(), minhash.Trees()
+        for a, b in zip(starts, [*starts[1:], 90], strict=True):
+            for i in range(a, b):
+                for j in range(i + 1, b):
+                    if minhash.possible(regs[i][None], regs[j][None], n[i][None], n[j][None], 75)[0]:
+                        want.join(names[i], names[j])
+        for a, b in out:
+            assert got.join(a, b), "a forest has no circle"
+        assert {(a, b) for a in names for b in names if got.find(a) == got.find(b)} == {(a, b) for a in names for b in names if want.find(a) == want.find(b)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_components_of_sets(seed):
+    r = np.random.default_rng(seed)
+    m = int(r.integers(2, 40))
+    sets = [np.flatnonzero(r.random(30) < 0.8).astype(np.uint64) if r.random() < 0.8 else r.permutation(30)[:3].astype(np.uint64) for _ in range(m)]
+    sets = [np.sort(s) if len(s) else np.array([1], np.uint64) for s in sets]
+    label, side = r.integers(0, m, m), r.integers(0, 3, m) if seed % 2 else np.full(m, minhash.WHOLE)
+    trees = minhash.Trees()
+    for i in range(m):
+        for j in range(i + 1, m):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if label[i] == label[j] or (100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common) and (side[i] != side[j] or side[i] == minhash.WHOLE)):
+                trees.join(("l", int(label[i])), ("l", int(label[j])))
+    got = minhash.components_of_sets(sets, label, side, 75)
+    for i in range(m):
+        for j in range(m):
+            assert (got[i] == got[j]) == (trees.find(("l", int(label[i]))) == trees.find(("l", int(label[j]))))
+
+
+def test_null_ids_do_not_multiply(spark):
+    """Many rows without an id, of many texts and of one."""
+    rows = [(None, t, "", "", 0) for _, t, *_ in dense_group(60)] + [(None, "one text of more than five words here", "", "", 0)] * 40 + [(3, "another one with the same number of words", "", "", 0)] * 5
+    got = minhash.near_duplicates(plain(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {None, 3}
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(plain(spark, [])).count() == 0
     text = "a b c d e f g"
