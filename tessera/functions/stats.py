@@ -99,15 +99,18 @@ def bootstrap(values: DataFrame, column: str, n_boot: int = 10_000, seed: int =
 
     Draws are hashes of (seed, repetition, draw) modulo n, so they repeat on any
     cluster; they differ from those of any other generator. The values are
-    numbered once; repetitions x n draws are made and summed where they are made.
+    numbered by ranges; repetitions x n draws are a range of numbers dealt to all tasks, and
+    means are summed where they are made. Only the repetitions' means, ``n_boot`` numbers, are sorted in one place.
     """
+    from ..operators.ranks import running_total
+
     spark = values.sparkSession
     given = values.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     n = given.count()
     if not n:
         return spark.createDataFrame([(0, None, None, None)], "n long, mean double, low double, high double")
-    numbered = given.select((F.row_number().over(Window.orderBy("v")) - 1).cast("long").alias("i"), "v")
-    draws = spark.range(n_boot).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    numbered = running_total(given.withColumn("one", F.lit(1).cast("long")), ["v"], "one", "i").select("i", "v")
+    draws = spark.range(n_boot * n).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("draw"))
     drawn = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "draw"), F.lit(n)).alias("i"))
     means = drawn.join(numbered, "i").groupBy("rep").agg(F.avg("v").alias("m"))
     placed = means.withColumn("place", F.row_number().over(Window.orderBy("m")) - 1)

@@ -146,6 +146,23 @@ def mode_string(think: bool | None, structured: bool) -> str:
     return f"{ {False: 'nothink', True: 'think', None: 'default'}[think] }/{'schema' if structured else 'free'}"
 
 
+#: Fixed value: beginnings of the names of models that think unless told not to.
+THINKING_FAMILIES = ("qwen3",)
+
+
+def thinking_default(model: Column) -> Column:
+    """Whether a model is asked to think where nobody says so: false for families that would otherwise think aloud, null for all others."""
+    thinks = F.lit(False)
+    for family in THINKING_FAMILIES:
+        thinks = thinks | F.startswith(F.lower(model), F.lit(family))
+    return F.when(thinks, F.lit(False))
+
+
+def model_label(provider: Column, model: Column) -> Column:
+    """The inverse of ``model_parts``: hosted providers stand before their models, the local one does not."""
+    return F.when(provider == "ollama", model).otherwise(F.concat_ws("/", provider, model))
+
+
 def model_parts(label: Column, hosted: tuple[str, ...] = ("gemini", "groq")) -> tuple[Column, Column]:
     """(provider, model) of a label; without a hosted provider's prefix the provider is the local one."""
     head, rest = F.substring_index(label, "/", 1), F.regexp_extract(label, r"^[^/]*/(.+)$", 1)

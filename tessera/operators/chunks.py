@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
@@ -29,6 +29,20 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, s
     return at.select("source", "i", F.concat_ws("-", "source", F.col("i").cast("string")).alias("chunk_id"), F.substring(F.col("__text"), F.col("i") * stride + 1, F.lit(size)).alias("text"))
 
 
+def texts_of(places: DataFrame, docs: DataFrame, size: int | Column = SIZE, overlap: int | Column = OVERLAP) -> DataFrame:
+    """places (source, i, ...) with the text of each window, cut from its document: no other window is made again. Sizes may be columns of ``places``."""
+    body = docs.select(F.col("source").cast("string").alias("source"), F.col("text").alias("__text"))
+    size, overlap = (v if isinstance(v, Column) else F.lit(v) for v in (size, overlap))
+    return places.join(body, "source").withColumn("text", F.substring(F.col("__text"), F.col("i") * (size - overlap) + 1, size)).drop("__text")
+
+
+def overlaps(chunks: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(source, i, shared): the text that window i shares with the window before it, the last ``overlap`` characters of that one."""
+    before = chunks.select("source", (F.col("i") + 1).alias("i"), F.col("text").alias("__before"))
+    both = chunks.join(before, ["source", "i"])
+    return both.select("source", "i", F.left(F.col("text"), F.least(F.lit(overlap), F.length("text"))).alias("shared"), (F.right("__before", F.lit(overlap)) == F.left("text", F.lit(overlap))).alias("same"))
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct("text").alias("n_texts"), F.sum(F.length("text")).alias("n_chars"), F.max("i").cast("long").alias("last_i"))
 
@@ -51,8 +65,23 @@ def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     ranked = words.join(df, "word", "left").groupBy("span_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("rarest"))
     likely = held.join(ranked.select("span_id", F.col("rarest.word").alias("word")), "word").select("span_id", "source")
     found = likely.join(wanted, "span_id").join(texts, "source").where(F.contains("body", "span")).select("span_id", "source")
-    short = inner.where("w is null").select("span_id", "span")
-    return found.unionByName(texts.join(short, F.contains("body", "span")).select("span_id", "source"))
+    return found.unionByName(_short_occurrences(texts, inner.where("w is null").select("span_id", "span")))
+
+
+def _short_occurrences(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """Spans of at most two words, (span_id, span), in texts. Such a span is a piece of a word, or the end of one and the start of the next: distinct pairs of neighbours are searched, not texts, and spans are found by their length.
+
+    A span's every occurrence starts inside some word or pair of words; the pieces of
+    the lengths that spans have are cut from the distinct pairs and joined by equality.
+    """
+    words = texts.select("source", F.split("body", " ").alias("w"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    pairs = words.select("source", F.explode(F.array_distinct(pair)).alias("pair"))
+    lengths = F.broadcast(short.agg(F.sort_array(F.collect_set(F.length("span"))).alias("lengths")))  # one row; spans are shorter than two words
+    cut = pairs.select("pair").distinct().crossJoin(lengths).select("pair", F.explode("lengths").alias("n")).where(F.length("pair") >= F.col("n"))
+    pieces = cut.select("pair", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("pair") - F.col("n") + 1), lambda i: F.substring(F.col("pair"), i, F.col("n"))))).alias("span"))
+    places = pieces.join(short, "span").select("span_id", "pair").distinct()
+    return pairs.join(places, "pair").select("span_id", "source").distinct()
 
 
 def validate_contexts(spans: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:

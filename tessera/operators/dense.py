@@ -1,51 +1,134 @@
-"""Exact nearest neighbours by vector, in blocks of questions."""
+"""Exact nearest neighbours by vector: blocks of questions meet blocks of vectors in one plan.
+
+Defined cases: a vector that is null, or holds a null or a component that is not
+finite, takes no part on either side, nor does a row with a null id; missing
+trailing dimensions count as zero; of several questions of one id one is asked (the
+smallest vector); an empty table on either side gives an empty result.
+"""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from ..sources.shipping import ship_package
 
 DIGITS = 9
-QUESTION_BYTES = 8 << 20
+BLOCK_BYTES, BLOCK_ROWS, HELD = 2 << 20, 4096, 64
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return vector.isNotNull() & fine
+
+
+def _blocks(batches):
+    """Rows (id, vector) to rows (ids, dims, vectors) of bounded size."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(lengths.max(initial=0))
+            full = np.zeros((len(part), width))
+            full[np.arange(width)[None] < lengths[:, None]] = part.column(1).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (part.column(0).to_numpy().tobytes(), width, full.tobytes())], names=["ids", "dims", "vectors"])
+
 
+def _gathered(batches):
+    """Neighbouring blocks joined to larger ones, up to ``BLOCK_BYTES`` and ``BLOCK_ROWS``."""
+    import pyarrow as pa
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    def row(held):
+        width = max(v.shape[1] for _, v in held)
+        full = np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in held])
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (np.concatenate([i for i, _ in held]).tobytes(), width, full.tobytes())], names=["ids", "dims", "vectors"])
 
+    held, rows, size = [], 0, 0
+    for batch in _blocks(batches):
+        ids, dims, vectors = (batch.column(c)[0].as_py() for c in range(3))
+        if held and (size + len(vectors) > BLOCK_BYTES or rows + len(ids) // 8 > BLOCK_ROWS):
+            yield row(held)
+            held, rows, size = [], 0, 0
+        ids = np.frombuffer(ids, np.int64)
+        held.append((ids, np.frombuffer(vectors, np.float64).reshape(len(ids), dims)))
+        rows, size = rows + len(ids), size + len(vectors)
+    if held:
+        yield row(held)
 
-def _block(qids: np.ndarray, asked: np.ndarray, k: int, metric: str):
-    """Best k of a task's rows for each question; one Arrow batch of distances at a time."""
+
+def blocks(rows: DataFrame, row_id: str, vector: str = "embedding") -> DataFrame:
+    """(ids, dims, vectors): usable rows in blocks, a table in the shared folder."""
+    ship_package(rows.sparkSession)
+    good = rows.where(F.col(row_id).isNotNull() & usable(F.col(vector)))
+    slim = good.select(F.col(row_id).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return materialize(slim.mapInArrow(_gathered, "ids binary, dims long, vectors binary"), "blocks")
+
+
+def nearest(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str):
+    """For each question the rounded distances and ids of the block's rows that may be among its best k.
+
+    One matrix product gives distances up to its rounding; rows within that of the
+    k-th are measured again by differences, so equal rows tie exactly.
+    """
+    qq, xx = (asked**2).sum(1), (x**2).sum(1)
+    dots = asked @ x.T
+    if metric == "l2sq":
+        rough = qq[:, None] + xx[None] - 2 * dots
+        slack = 1e-12 * (qq[:, None] + xx.max(initial=0)) + 10.0**-DIGITS
+    else:
+        rough = 1 - dots / np.maximum(np.sqrt(xx)[None] * np.sqrt(qq)[:, None], 1e-300)
+        slack = np.full((len(asked), 1), 1e-9)
+    if k < len(x):
+        near = rough <= np.partition(rough, k - 1, 1)[:, k - 1 : k] + 2 * slack
+    else:
+        near = np.ones(rough.shape, bool)
+    for i, q in enumerate(asked):
+        at = np.flatnonzero(near[i])
+        if metric == "l2sq":
+            d = ((x[at] - q) ** 2).sum(1)
+        else:
+            d = 1 - (x[at] @ q) / np.maximum(np.sqrt(xx[at]) * np.sqrt(qq[i]), 1e-300)
+        yield np.round(d, DIGITS), ids[at]
+
+
+def _tiles(k: int, metric: str):
+    """Tiles (a block of questions beside one of vectors) to (qid, vec_id, distance); the best k of each question of the ``HELD`` question blocks seen last are kept until the end."""
 
     def run(batches):
         import pyarrow as pa
 
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
+        def rows(qids, best):
+            n = [len(d) for d, _ in best]
+            columns = np.repeat(qids, n), np.concatenate([own for _, own in best]), np.concatenate([d for d, _ in best])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "vec_id", "distance"])
+
+        held: OrderedDict = OrderedDict()
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                if not len(part):
-                    continue
-                ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                for i, q in enumerate(asked):
-                    if metric == "l2sq":
-                        d = ((x - q) ** 2).sum(1)
-                    else:
-                        d = 1 - (x @ q) / np.maximum(np.sqrt((x**2).sum(1)) * np.sqrt(q @ q), 1e-300)
-                    d = np.round(d, DIGITS)
-                    if k < len(d):
-                        keep = d <= np.partition(d, k - 1)[k - 1]
-                        d, own = d[keep], ids[keep]
-                    else:
-                        own = ids
-                    d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
-                    order = np.lexsort((own, d))[:k]
-                    best[i] = d[order], own[order]
-        rows = [np.concatenate(c) if c else np.zeros(0) for c in zip(*[(np.full(len(d), q), own, d) for q, (d, own) in zip(qids, best, strict=True)], strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["qid", "vec_id", "distance"])
+            for n in range(len(batch)):
+                name, qdims, qv, ids, dims, xv = (batch.column(c)[n].as_py() for c in ("qids", "qdims", "qvectors", "ids", "dims", "vectors"))
+                qids, ids = np.frombuffer(name, np.int64), np.frombuffer(ids, np.int64)
+                width = max(qdims, dims)
+                asked = np.pad(np.frombuffer(qv, np.float64).reshape(len(qids), qdims), ((0, 0), (0, width - qdims)))
+                x = np.pad(np.frombuffer(xv, np.float64).reshape(len(ids), dims), ((0, 0), (0, width - dims)))
+                best = held.pop(name, None) or [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
+                for at in range(0, len(qids), 256):
+                    for i, (d, own) in enumerate(nearest(asked[at : at + 256], x, ids, k, metric), at):
+                        d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
+                        order = np.lexsort((own, d))[:k]
+                        best[i] = d[order], own[order]
+                held[name] = best
+                if len(held) > HELD:
+                    old, best = held.popitem(last=False)
+                    yield rows(np.frombuffer(old, np.int64), best)
+        for name, best in held.items():
+            yield rows(np.frombuffer(name, np.int64), best)
 
     return run
 
@@ -53,22 +136,15 @@ def _block(qids: np.ndarray, asked: np.ndarray, k: int, metric: str):
 def search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
     """vectors (vec_id, embedding), questions (qid, embedding) to (qid, rank, vec_id, distance); ties by smaller vec_id.
 
-    Questions go to the tasks in groups of at most ``QUESTION_BYTES``; every group
-    is one pass, and every task answers with at most k rows a question. k below 1 gives nothing.
+    All questions are asked of all vectors; what is crossed is blocks of either, and
+    a task answers with at most k rows a question. k below 1 gives nothing.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"metric must be l2sq or cosine, not {metric}")
-    spark, schema = vectors.sparkSession, "qid long, rank int, vec_id long, distance double"
-    n, dims = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    if k < 1 or not n:
-        return spark.createDataFrame([], schema)
-    ship_package(spark)
-    groups, out = -(-n * dims * 8 // QUESTION_BYTES), None
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("embedding").isNotNull())
-    for g in range(groups):
-        table = questions.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).select("qid", "embedding").toArrow()
-        if table.num_rows:
-            part = slim.mapInArrow(_block(table.column(0).to_numpy(), _matrix(table.column(1)), k, metric), "qid long, vec_id long, distance double")
-            out = part if out is None else out.unionByName(part)
+    if k < 1:
+        return vectors.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, distance double")
+    once = questions.where(usable(F.col("embedding"))).groupBy("qid").agg(F.min("embedding").alias("embedding"))
+    asked = blocks(once, "qid").select(F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("vectors").alias("qvectors"))
+    found = blocks(vectors, "vec_id").crossJoin(asked).mapInArrow(_tiles(k, metric), "qid long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "distance")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "distance")

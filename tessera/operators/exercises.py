@@ -16,6 +16,22 @@ def two_sum(rows: DataFrame, pos: str, value: str, target: int) -> DataFrame:
     return a.join(b, "x").where("i < j").select("i", "j").orderBy("j", F.desc("i")).limit(1)
 
 
+def two_sum_sorted(rows: DataFrame, pos: str, value: str, target: int) -> DataFrame:
+    """For values that rise with their places: the pair (i, j) that two pointers from both ends would meet first, which is the one with the smallest i, then the greatest j."""
+    a, b = rows.select(F.col(pos).alias("i"), F.col(value).alias("x")), rows.select(F.col(pos).alias("j"), (F.lit(target) - F.col(value)).alias("x"))
+    return a.join(b, "x").where("i < j").select("i", "j").orderBy("i", F.desc("j")).limit(1)
+
+
+def find_sorted(rows: DataFrame, pos: str, value: str, target: int) -> DataFrame:
+    """The first place of a value, -1 if it is nowhere: an equality that is pushed to the scan takes the place of halving."""
+    return rows.where(F.col(value) == target).agg(F.coalesce(F.min(pos), F.lit(-1)).alias("at"))
+
+
+def in_matrix(cells: DataFrame, value: str, target: int) -> DataFrame:
+    """Whether a matrix of sorted rows, as cells, holds a value."""
+    return cells.agg(F.coalesce(F.bool_or(F.col(value) == target), F.lit(False)).alias("found"))
+
+
 def anagram_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, "")), "")
 
@@ -44,14 +60,31 @@ def merge_intervals(rows: DataFrame, by: str, start: str, end: str) -> DataFrame
     return marked.groupBy(by, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("__island")
 
 
+#: Magnitudes of 2 and more that a group can have while its products fit 64 bits, and one for the place itself.
+MOST_FACTORS = 64
+
+
 def product_except_self(rows: DataFrame, by: str, pos: str, value: str) -> DataFrame:
-    """For each place the product of the group's other values: signs, zeros and magnitudes are counted apart, so no place is divided by zero."""
-    v, every = F.col(value), Window.partitionBy(by)
-    zero, size = (v == 0).cast("int"), F.when(v != 0, F.log(F.abs(v).cast("double"))).otherwise(0.0)
-    zeros = F.sum(zero).over(every) - zero
-    negative = F.sum((v < 0).cast("int")).over(every) - (v < 0).cast("int")
-    product = F.exp(F.sum(size).over(every) - size) * F.when(negative % 2 == 0, 1).otherwise(-1)
-    return rows.select(by, pos, F.when(zeros > 0, 0).otherwise(F.round(product)).cast("long").alias("product"))
+    """For each place the product of the group's other whole numbers, exact; a product beyond 64 bits is an error.
+
+    Zeros, signs and ones are counted; only magnitudes of 2 and more are multiplied, as 38-digit
+    decimals. A group with more than ``MOST_FACTORS`` of these overflows in any case, unless
+    zeros make its products 0, so no more are ever collected.
+    """
+    v = F.col(value).cast("long")
+    sums = rows.groupBy(by).agg(F.count_if(v == 0).alias("__zeros"), F.count_if(v < 0).alias("__minus"), F.count_if(F.abs(v) >= 2).alias("__large"))
+    few = sums.where(f"__zeros < 2 and __large <= {MOST_FACTORS}").select(by)
+    one = F.lit(1).cast("decimal(38,0)")
+    times = F.aggregate(F.collect_list(F.abs(v).cast("decimal(38,0)")), one, lambda a, x: F.coalesce((a * x).try_cast("decimal(38,0)"), F.raise_error(F.lit("a product is beyond 64 bits")).cast("decimal(38,0)")))
+    products = rows.where(F.abs(v) >= 2).join(few, by, "left_semi").groupBy(by).agg(times.alias("__product"))
+    each = rows.join(sums, by).join(products, by, "left")
+    others = F.col("__zeros") - (v == 0).cast("long")
+    minus = F.col("__minus") - (v < 0).cast("long")
+    rest = F.coalesce("__product", one) / F.greatest(F.abs(v), F.lit(1)).cast("decimal(38,0)")
+    whole = F.round(rest, 0).cast("decimal(38,0)")
+    beyond = (F.col("__large") > MOST_FACTORS) | (whole > 2**63 - 1)
+    fits = F.when(beyond, F.raise_error(F.lit("a product is beyond 64 bits")).cast("long")).otherwise(whole.cast("long"))
+    return each.select(by, pos, F.when(others > 0, F.lit(0).cast("long")).otherwise(fits * F.when(minus % 2 == 0, 1).otherwise(-1)).alias("product"))
 
 
 def longest_without_repeat(text: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.verdicts import clean
+from .ranks import running_total
+
 DIGITS = 6
 
 
@@ -68,6 +71,12 @@ def judge_noise(runs: DataFrame, cached: DataFrame) -> DataFrame:
     return keys.agg(F.count("*").alias("keys"), F.count_if("flipped").alias("flipped"), F.count_if("vs_cache").alias("vs_cache"))
 
 
+def clean_per_run(runs: DataFrame) -> DataFrame:
+    """runs (run, question, refused, fabricated): clean verdicts of each run, of those that both axes decide."""
+    held = clean(F.col("refused"), F.col("fabricated"))
+    return runs.groupBy("run").agg(F.count("*").alias("n"), F.count(held).alias("decided"), F.count_if(held).alias("clean"))
+
+
 def recordings_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(question, answer, verdict, label) twice: questions shared, answers changed, verdicts moved, hand labels moved where both have one."""
     x, y = (t.select("question", *[F.col(k).alias(f"{k}_{n}") for k in ("answer", "verdict", "label")]) for t, n in ((a, "a"), (b, "b")))
@@ -81,9 +90,28 @@ def recordings_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def library_means(scores: DataFrame, metrics: list[str], expected: int) -> DataFrame:
-    """Mean of each metric; null if any of the expected records has no score (NaN is none)."""
-    value = lambda m: F.when(~F.isnan(m), F.round(m, 4))
-    return scores.agg(*[F.when(F.count(value(m)) >= expected, F.round(F.avg(value(m)), 4)).alias(m) for m in metrics])
+    """Mean of each metric; null if any of the expected records has no score (NaN and infinity are none)."""
+    return scores.agg(*[F.when(F.count(usable_score(F.col(m))) >= expected, F.round(F.avg(usable_score(F.col(m))), 4)).alias(m) for m in metrics])
+
+
+def usable_score(score: Column) -> Column:
+    """A score of four digits; null for what is no finite number."""
+    return F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.round(score, 4))
+
+
+def baseline_delta(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, before, after, delta): means over the scores that are there, of two runs; null where a run has none."""
+    means = lambda rows: rows.agg(*[F.round(F.avg(usable_score(F.col(m))), 4).alias(m) for m in metrics])
+    long = lambda rows, name: rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in metrics])).alias("x")).select("x.*")
+    both = long(means(before), "before").join(long(means(after), "after"), "metric")
+    return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 4))
+
+
+def scores_to_make(records: DataFrame, held: DataFrame, metrics: list[str]) -> DataFrame:
+    """(question, metric) that a resumed scoring run still owes: a score that is absent, null or no number is made again."""
+    wanted = records.select("question", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    there = held.select("question", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), usable_score(F.col(m)).alias("score")) for m in metrics])).alias("x")).select("question", "x.*")
+    return wanted.join(there.where("score is not null").select("question", "metric").distinct(), ["question", "metric"], "left_anti")
 
 
 def score_disagreements(pairs: DataFrame, a: str, b: str, far: float = 0.6, limit: int = 6) -> DataFrame:
@@ -95,13 +123,14 @@ def score_disagreements(pairs: DataFrame, a: str, b: str, far: float = 0.6, limi
 def best_cut(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Every distinct score, and 0.5, as a cut: agreement and kappa of (score >= cut) with the label, best kappa first, then the smaller cut.
 
-    Sums up from the highest score instead of comparing all rows with all cuts.
+    Sums up from the highest score, over ranges of scores, instead of comparing all rows with all cuts.
     """
     from ..functions.stats import kappa, ratio
 
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
     each = known.groupBy("s").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q")).unionByName(rows.sparkSession.createDataFrame([(0.5, 0, 0)], "s double, p long, q long")).groupBy("s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    above, every = Window.orderBy(F.desc("s")), Window.partitionBy()
-    at = each.select("s", F.sum("p").over(above).alias("tp"), F.sum("q").over(above).alias("fp"), F.sum("p").over(every).alias("pp"), F.sum("q").over(every).alias("qq"))
+    each = running_total(each.withColumn("below", -F.col("s")), ["below"], ["p", "q"], ["p_above", "q_above"])
+    sums = F.broadcast(each.agg(F.sum("p").alias("pp"), F.sum("q").alias("qq")))  # one row
+    at = each.crossJoin(sums).select("s", (F.col("p_above") + F.col("p")).alias("tp"), (F.col("q_above") + F.col("q")).alias("fp"), "pp", "qq")
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("pp") - F.col("tp"), F.col("qq") - F.col("fp")
     return at.select(F.col("s").alias("cut"), (tp + tn).alias("agree"), F.round(ratio(tp + tn, tp + tn + fp + fn), DIGITS).alias("rate"), F.round(kappa(tp, fp, fn, tn), DIGITS).alias("kappa"))

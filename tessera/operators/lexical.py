@@ -1,26 +1,48 @@
-"""BM25 as tables: postings, document frequencies, lengths; all questions are scored in one plan."""
+"""BM25 as tables: postings, document frequencies, lengths; all questions are scored in one plan.
+
+The corpus is read and cut into tokens once, when an index is built; the index is
+a table in the shared folder, or in a folder of its own that later sessions load.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, tokens
+from ..sources.scratch import materialize, sent_if_few
 
 K1, B = 1.5, 0.75
 SENT_TERMS = 100_000
 DIGITS = 9  # scores equal to so many digits are ties, whatever the order of their sums
+LENGTH = ""  # the term of the row that each chunk has for its length; no token is empty
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: (source, i, chunk_id, term, tf, len); terms: (term, df, idf); totals: one row (n_chunks, avg_len)."""
+    """table: (no, source, i, chunk_id, len, term, tf), written once; no names a chunk. postings: its rows of tokens; places: one row a chunk; terms: (term, df, idf); totals: one row (n_chunks, avg_len)."""
+
+    table: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.where(F.col("term") != LENGTH)
+
+    @property
+    def places(self) -> DataFrame:
+        return self.table.where(F.col("term") == LENGTH).select("no", "source", "i", "chunk_id")
 
-    postings: DataFrame
-    terms: DataFrame
-    totals: DataFrame
+    @property
+    def totals(self) -> DataFrame:
+        return self.table.where(F.col("term") == LENGTH).agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
+
+    @property
+    def terms(self) -> DataFrame:
+        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return df.crossJoin(F.broadcast(self.totals)).select("term", "df", idf.alias("idf"))  # totals: one row
 
 
 def asked_terms(questions: DataFrame, strip: bool = True) -> DataFrame:
@@ -28,37 +50,57 @@ def asked_terms(questions: DataFrame, strip: bool = True) -> DataFrame:
     return questions.select("qid", F.explode(content_tokens(F.col("question")) if strip else tokens(F.col("question"))).alias("term"))
 
 
-def build(chunks: DataFrame, only: DataFrame | None = None) -> Index:
-    """Chunks without a token count in the number of chunks and the average length.
+def index_rows(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(no, source, i, chunk_id, len, term, tf): one row for each chunk and token, and one with the term ``LENGTH`` for each chunk, with tokens or without.
 
-    With ``only`` (term) the index holds no other terms: for questions that are known
-    beforehand, tokens are filtered before their shuffle. Up to ``SENT_TERMS`` terms are
-    sent to all tasks; more are joined as Spark sees fit.
+    With ``only`` (term) no other terms are kept: for questions that are known
+    beforehand. Up to ``SENT_TERMS`` terms are sent to all tasks; more are joined as Spark
+    sees fit. A chunk is one row, so its term counts need no shuffle, and its postings stay together.
+    Numbers of chunks hold once the table is written.
     """
-    split = chunks.select("source", "i", "chunk_id", tokens(F.col("text")).alias("t"))
-    totals = split.agg(F.count("*").alias("n_chunks"), F.avg(F.size("t")).alias("avg_len"))
-    each = split.select("source", "i", "chunk_id", "t", F.explode(F.array_distinct("t")).alias("term"))
+    split = chunks.select(F.monotonically_increasing_id().alias("no"), "source", "i", "chunk_id", tokens(F.col("text")).alias("t"))
+    each = split.select("no", "source", "i", "chunk_id", "t", F.explode(F.concat(F.array(F.lit(LENGTH)), F.array_distinct("t"))).alias("term"))
     if only is not None:
-        terms = only.select("term").distinct()
+        terms = only.select("term").unionByName(only.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
         each = each.join(F.broadcast(terms) if terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS else terms, "term", "left_semi")
-    # a chunk is one row, so its term counts need no shuffle; document frequencies are summed before theirs
     tf = F.size("t") - F.size(F.array_remove("t", F.col("term")))
-    postings = each.select("source", "i", "chunk_id", "term", tf.cast("long").alias("tf"), F.size("t").alias("len"))
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.crossJoin(F.broadcast(totals)).select("term", "df", idf.alias("idf"))  # totals: one row
-    return Index(postings, terms, totals)
+    return each.select("no", "source", "i", "chunk_id", F.size("t").alias("len"), "term", tf.cast("long").alias("tf"))
+
+
+def build(chunks: DataFrame, only: DataFrame | None = None) -> Index:
+    """Chunks without a token count in the number of chunks and the average length."""
+    return Index(materialize(index_rows(chunks, only), "index"))
+
+
+def store(chunks: DataFrame, path: str) -> None:
+    """Write the index of all terms to a folder, rows of a term together, so that a load of few terms reads few row groups."""
+    index_rows(chunks).repartitionByRange("term", "source", "i").sortWithinPartitions("term", "source", "i").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, questions: DataFrame | None = None) -> Index:
+    """An index from its folder; with questions, only the rows of their terms, which parquet statistics find when the terms are few."""
+    table = spark.read.parquet(path)
+    if questions is None:
+        return Index(table)
+    terms = asked_terms(questions, strip=False).select("term").distinct()
+    known = [r.term for r in terms.limit(1001).collect()]
+    if len(known) <= 1000:
+        return Index(table.where(F.col("term").isin(LENGTH, *known)))
+    return Index(table.join(terms.unionByName(spark.createDataFrame([(LENGTH,)], "term string")), "term", "left_semi"))
 
 
 def scores(index: Index, questions: DataFrame, strip: bool = True) -> DataFrame:
-    """questions (qid, question) to (qid, source, i, chunk_id, score). A term asked twice counts twice; unknown terms don't count.
+    """questions (qid, question) to (qid, no, score). A term asked twice counts twice; unknown terms don't count.
 
-    Postings meet only the questions' terms; the sum is partial before its shuffle.
+    Postings meet only the questions' terms, whose weights are sent to all tasks up
+    to ``SENT_TERMS`` of them; the sum is partial before its shuffle, of numbers only.
     """
     weights = asked_terms(questions, strip).groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
-    hit = index.postings.join(weights, "term").crossJoin(F.broadcast(index.totals))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("qid", "source", "i", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    weights = materialize(weights.select("qid", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("w")), "weights")
+    weights, _ = sent_if_few(weights, SENT_TERMS)
+    share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    shares = index.postings.crossJoin(F.broadcast(index.totals)).select("no", "term", share.alias("share"))  # totals: one row
+    return shares.join(weights, "term").groupBy("qid", "no").agg(F.round(F.sum(F.col("w") * F.col("share")), DIGITS).alias("score"))
 
 
 def search_once(chunks: DataFrame, questions: DataFrame, k: int, strip: bool = True, position: list[str] | None = None) -> DataFrame:
@@ -67,7 +109,9 @@ def search_once(chunks: DataFrame, questions: DataFrame, k: int, strip: bool = T
 
 
 def search(index: Index, questions: DataFrame, k: int, strip: bool = True, position: list[str] | None = None) -> DataFrame:
-    """The k best chunks with a positive score of each question: rank from 1, ties by corpus position."""
+    """The k best chunks with a positive score of each question: rank from 1, ties by corpus position. Places are joined to what ties with the k best only."""
+    best = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))
+    found = scores(index, questions, strip).where("score > 0").withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
     order = [F.desc("score"), *(position or [F.length("source"), F.col("source"), F.col("i")])]
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
-    return scores(index, questions, strip).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.join(index.places, "no").drop("no").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -68,19 +68,30 @@ def evaluate_retrieval(questions: DataFrame, spans: DataFrame, search: Callable[
     return metrics.question_scores(questions, search(questions, k), spans)
 
 
-def sweep(configs: dict[str, DataFrame], questions: DataFrame, spans: DataFrame) -> DataFrame:
-    """The summary of several retrieved tables (by configuration) in one plan."""
-    out = None
-    for name, retrieved in configs.items():
-        one = metrics.summary(metrics.question_scores(questions, retrieved, spans)).withColumn("config", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def observe_counts(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
     """Count what flows through a plan without a further pass; Spark reports it under the name when the plan has run."""
     return rows.observe(name, F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()])
 
 
+def failures(decided: DataFrame) -> DataFrame:
+    """The rows behind a judged summary: (question, failure) of answers that are not refused, that fabricate, or that the judge decided against what their phrasing says."""
+    phrase = looks_like_refusal(F.col("answer"))
+    rules = {
+        "not refused": ~F.col("refused"),
+        "fabricated": F.col("fabricated"),
+        "refused without a phrase": F.col("refused") & ~phrase,
+        "a phrase without a refusal": ~F.col("refused") & phrase,
+        "undecided": F.col("refused").isNull() | F.col("fabricated").isNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]))
+    return decided.select("question", F.explode(found).alias("failure"))
+
+
+def by_class(decided: DataFrame, group: str = "refusal_type") -> DataFrame:
+    """Counts of each class, ordered by its name: a report of as many rows as there are classes."""
+    held = clean(F.col("refused"), F.col("fabricated"))
+    return decided.groupBy(group).agg(F.count("*").alias("n"), F.count(held).alias("decided"), F.count_if(held).alias("clean")).orderBy(group)
+
+
 def rate_of(rows: DataFrame, by: str, flag: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(ratio(F.count_if(flag), F.count("*")), DIGITS).alias("rate"))

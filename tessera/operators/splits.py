@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ordered_rank
+
 
 def stratum(answerable: Column, kind: Column, bait: Column, refusal_type: Column) -> Column:
     answered = F.coalesce(answerable, F.lit(True))
@@ -17,8 +19,8 @@ def _half(n: Column) -> Column:
 
 def assign(records: DataFrame) -> DataFrame:
     """records (question, pos, stratum, paraphrase_of) to (question, split): each stratum's originals alternate in order, paraphrases follow their original."""
-    order = Window.partitionBy("stratum").orderBy("pos")
-    originals = records.where("paraphrase_of is null").select("question", _half(F.row_number().over(order) - 1).alias("split"))
+    placed = ordered_rank(records.where("paraphrase_of is null").select("question", "stratum", "pos"), "stratum", ["pos", "question"], "k")
+    originals = placed.select("question", _half(F.col("k")).alias("split"))
     follow = records.where("paraphrase_of is not null").select("question", F.col("paraphrase_of").alias("of"))
     return originals.unionByName(follow.join(originals.withColumnRenamed("question", "of"), "of").select("question", "split"))
 
@@ -29,8 +31,8 @@ def extend(records: DataFrame, existing: DataFrame) -> DataFrame:
     rows = records.join(held, "question", "left")
     originals = rows.where("paraphrase_of is null")
     before = originals.where("held is not null").groupBy("stratum").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("stratum").orderBy("pos")
-    fresh = originals.where("held is null").withColumn("k", F.row_number().over(order) - 1).join(before, "stratum", "left")
+    fresh = originals.where("held is null").select("question", "stratum", "pos")
+    fresh = ordered_rank(fresh, "stratum", ["pos", "question"], "k").join(before, "stratum", "left")
     added = fresh.select("question", _half(F.coalesce("n", F.lit(0)) + F.col("k")).alias("split"))
     known = existing.select("question", "split").unionByName(added)
     follow = rows.where("paraphrase_of is not null and held is null").select("question", F.col("paraphrase_of").alias("of"))
@@ -46,12 +48,23 @@ def in_split(records: DataFrame, split: DataFrame, name: str) -> DataFrame:
     return records.join(split.where(F.col("split") == name).select("question"), "question", "left_semi")
 
 
+def draw(key: str, seed: int) -> Column:
+    """What seeded selections order by: the MD5 of seed and key, which every engine has. Draws differ from those of other generators."""
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+
+
 def one_per_group(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
-    """One row of each group, the one of smallest seeded hash (other generators' draws can't be repeated in SQL)."""
-    return rows.groupBy(group).agg(F.min_by(key, F.struct(F.xxhash64(F.lit(seed), key), F.col(key))).alias(key))
+    """One row of each group, the one of smallest seeded hash."""
+    return rows.groupBy(group).agg(F.min_by(key, F.struct(draw(key, seed), F.col(key))).alias(key))
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 0, without: DataFrame | None = None) -> DataFrame:
     """n rows without replacement by seeded hash, leaving out the keys of ``without``: a sampling operator, so n is its feature."""
     pool = rows if without is None else rows.join(without.select(key), key, "left_anti")
-    return pool.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return pool.orderBy(draw(key, seed), key).limit(n)
+
+
+def clean_sets(chunks: DataFrame, threats: DataFrame, key: str, n: int = 50, n_threats: int = 20, seed: int = 0) -> DataFrame:
+    """Two disjoint samples (sample, key): n of all chunks, and n_threats of those with threat words that the first has not."""
+    plain = sample_rows(chunks, key, n, seed).select(F.lit("random").alias("sample"), key)
+    return plain.unionByName(sample_rows(threats, key, n_threats, seed, plain).select(F.lit("threat").alias("sample"), key))

@@ -20,6 +20,19 @@ def orphans(needs: DataFrame, requirements: DataFrame) -> DataFrame:
     return dangling.unionByName(unused.withColumn("id", F.col("id").cast(dict(dangling.dtypes)["id"])))
 
 
+def unproved(requirements: DataFrame, tests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """requirements (id, tests[], evidence[]), tests (id), evidence (id): (problem, id, ref) of test references to no test, tests that no requirement names, evidence that is not there, and requirements with neither."""
+    named = {"tests": tests, "evidence": evidence}
+    missing = None
+    for what, there in named.items():
+        lost = edges(requirements, "id", what).join(there.select(F.col("id").alias("ref")), "ref", "left_anti").select(F.lit(f"missing {what}").alias("problem"), "id", "ref")
+        missing = lost if missing is None else missing.unionByName(lost)
+    none = F.lit(None).cast("string")
+    loose = tests.select(F.col("id").alias("ref")).join(edges(requirements, "id", "tests"), "ref", "left_anti").select(F.lit("dangling test").alias("problem"), none.alias("id"), "ref")
+    bare = requirements.where((F.coalesce(F.size("tests"), F.lit(0)) < 1) & (F.coalesce(F.size("evidence"), F.lit(0)) < 1)).select(F.lit("unproved").alias("problem"), "id", none.alias("ref"))
+    return missing.unionByName(loose).unionByName(bare)
+
+
 def counts(requirements: DataFrame) -> DataFrame:
     return requirements.agg(F.count("*").alias("requirements"), F.coalesce(F.sum(F.size("tests")), F.lit(0)).cast("long").alias("tests"), F.count_if("gate").alias("gates"))
 

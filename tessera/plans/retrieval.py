@@ -1,18 +1,19 @@
 """Queries over documents, benchmark and embeddings: chunks, indexes, retrieval and its scores.
 
-Questions are the texts of ``benchmark``, which are also the gold spans; the
-vector of a question is the one whose vec_id is its item_id, and that of a chunk
-the one whose vec_id is its doc_id, for first chunks (a synthetic pairing).
+Questions are the texts of ``benchmark``; gold spans are the whole text and its
+second half; the vector of a question is the one whose vec_id is its item_id, and
+that of every chunk the one whose vec_id is its doc_id (a synthetic pairing).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import dense, fusion, lexical, metrics, security
+from ..sources.scratch import materialize, new_path
 from ..sources.tables import spread, table
 
 SWEEP = [(1000, 200), (800, 160), (500, 100), (300, 60)]
@@ -31,7 +32,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lit(0).alias("ctx_no"), F.col("text").alias("ctx"))
+    half = F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.length("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.array("text", half)).alias("ctx_no", "ctx"))
 
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
@@ -67,64 +69,110 @@ def strip_stopwords(spark, d):
     return questions(spark, d).select("qid", T.strip_stopwords(F.col("question")).alias("stripped"))
 
 
+def question_index(spark, d) -> lexical.Index:
+    """The index of all tokens that questions have: the one pass over the corpus that cuts it into tokens."""
+    return lexical.build(chunked(spark, d), lexical.asked_terms(questions(spark, d), strip=False))
+
+
 def bm25(spark, d, k=fusion.K, strip=True):
-    return lexical.search_once(chunked(spark, d), questions(spark, d), k, strip)
+    return lexical.search(question_index(spark, d), questions(spark, d), k, strip)
 
 
 def bm25_topk(spark, d):
     return bm25(spark, d).select("qid", "rank", "chunk_id", "score")
 
 
+def stored_index_topk(spark, d):
+    """The same through an index of all terms that is written to a folder and loaded again."""
+    path = new_path(spark, "bm25")
+    lexical.store(chunked(spark, d), path)
+    asked = questions(spark, d)
+    return lexical.search(lexical.load(spark, path, asked), asked, fusion.K).select("qid", "rank", "chunk_id", "score")
+
+
 def dense_knn(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     return dense.search(v, v.withColumnRenamed("vec_id", "qid"), fusion.K)
 
 
-def dense_ranking(spark, d, k=fusion.DEPTH):
+def dense_places(spark, d, k=fusion.DEPTH):
+    """(qid, rank, source, i, distance): chunks by their document's vector, chunks of one document in order. The k nearest documents hold the k nearest chunks."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    first = chunked(spark, d).where("i = 0").select(F.col("source").cast("long").alias("vec_id"), "source", "text")
     asked = v.join(questions(spark, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "qid")
-    return dense.search(v.join(first.select("vec_id"), "vec_id", "left_semi"), asked, k).join(first, "vec_id")
+    docs = documents(spark, d).where(F.length("text") > 0).select(F.col("source").cast("long").alias("vec_id"))
+    near = materialize(dense.search(v.join(docs, "vec_id", "left_semi"), asked, k).drop("rank"), "near")
+    places = documents(spark, d).join(near.select(F.col("vec_id").cast("string").alias("source")).distinct(), "source", "left_semi")
+    windows = C.chunk_documents(places).select(F.col("source").cast("long").alias("vec_id"), "source", "i")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id", "i"))
+    return near.join(windows, "vec_id").withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "source", "i", "distance")
+
+
+def lexical_places(index, asked, k=fusion.DEPTH, strip=True):
+    return lexical.search(index, asked, k, strip).select("qid", "rank", "source", "i", F.lit(None).cast("double").alias("distance"))
+
+
+def with_texts(spark, d, lists: dict[str, DataFrame]) -> DataFrame:
+    """Ranked places of several lists in one table (list, qid, rank, source, i, distance, text), written once; texts are cut for what was found only."""
+    found = None
+    for name, places in lists.items():
+        one = places.withColumn("list", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return materialize(C.texts_of(materialize(found, "places"), documents(spark, d)), "retrieved")
+
+
+def of(found: DataFrame, name: str, k: int | None = None) -> DataFrame:
+    one = found.where(F.col("list") == name).drop("list")
+    return one if k is None else one.where(F.col("rank") <= k)
+
+
+def dense_ranking(spark, d, k=fusion.DEPTH):
+    return of(with_texts(spark, d, {"dense": dense_places(spark, d, k)}), "dense")
 
 
 def lexical_ranking(spark, d, k=fusion.DEPTH, strip=True):
-    found = bm25(spark, d, k, strip).select("qid", "rank", "chunk_id", F.lit(None).cast("double").alias("distance"))
-    return found.join(chunked(spark, d).select("chunk_id", "source", "text"), "chunk_id")
+    asked = questions(spark, d)
+    return of(with_texts(spark, d, {"bm25": lexical_places(question_index(spark, d), asked, k, strip)}), "bm25")
 
 
-def hybrid(spark, d, k=fusion.K, strip=True):
-    return fusion.fuse([dense_ranking(spark, d), lexical_ranking(spark, d, strip=strip)], k)
+def both(spark, d, strip) -> DataFrame:
+    return with_texts(spark, d, {"dense": dense_places(spark, d), "lexical": lexical_places(question_index(spark, d), questions(spark, d), strip=strip)})
 
 
 def rrf_fusion(spark, d):
-    out = fusion.fuse([dense_ranking(spark, d), lexical_ranking(spark, d, strip=False)], fusion.DEPTH)
+    found = both(spark, d, strip=False)
+    out = fusion.fuse([of(found, "dense"), of(found, "lexical")], fusion.DEPTH)
     return out.select("qid", "rank", F.md5("text").alias("text_md5"), "rrf_score", F.size("ranks").cast("long").alias("n_ranks"))
 
 
 def hybrid_topk(spark, d):
-    return hybrid(spark, d).select("qid", "rank", F.md5("text").alias("text_md5"), F.round("distance", 6).alias("distance"), "rrf_score")
+    found = both(spark, d, strip=True)
+    out = fusion.fuse([of(found, "dense"), of(found, "lexical")], fusion.K)
+    return out.select("qid", "rank", F.md5("text").alias("text_md5"), F.round("distance", 6).alias("distance"), "rrf_score")
 
 
-def arms(spark, d):
-    keep = lambda df, name: df.select(F.lit(name).alias("arm"), "qid", "rank", "text")
-    return {
-        "dense": keep(dense_ranking(spark, d, fusion.K), "dense"),
-        "bm25": keep(lexical_ranking(spark, d, fusion.K), "bm25"),
-        "hybrid": keep(hybrid(spark, d), "hybrid"),
-        "hybrid_raw": keep(hybrid(spark, d, strip=False), "hybrid_raw"),
-    }
+def arms(spark, d) -> DataFrame:
+    """(arm, qid, rank, text) of four retrievers, from one index and one search by vector."""
+    index, asked = question_index(spark, d), questions(spark, d)
+    found = with_texts(spark, d, {"dense": dense_places(spark, d), "bm25": lexical_places(index, asked), "raw": lexical_places(index, asked, strip=False)})
+    single = found.where(F.col("list").isin("dense", "bm25") & (F.col("rank") <= fusion.K)).select(F.col("list").alias("arm"), "qid", "rank", "text")
+    fused = lambda name, lex: fusion.fuse([of(found, "dense"), of(found, lex)], fusion.K).select(F.lit(name).alias("arm"), "qid", "rank", "text")
+    return single.unionByName(fused("hybrid", "bm25")).unionByName(fused("hybrid_raw", "raw"))
 
 
 def scored(spark, d, retrieved: DataFrame) -> DataFrame:
     return metrics.question_scores(groups(spark, d), retrieved, spans(spark, d))
 
 
+def scored_by(spark, d, retrieved: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """Scores of several retrievers' lists (``by``, qid, rank, text) in one plan: (qid: a struct of ``by`` and qid, ...)."""
+    each = lambda rows: rows.withColumn("__by", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn("qid", F.struct(F.col("__by").alias(by), "qid")).drop("__by")
+    lists = materialize(retrieved.select(F.struct(by, "qid").alias("qid"), "rank", "text"), "lists")
+    return metrics.question_scores(each(groups(spark, d)), lists, each(spans(spark, d)))
+
+
 def retriever_ablation(spark, d):
-    out = None
-    for name, retrieved in arms(spark, d).items():
-        one = metrics.summary(scored(spark, d, retrieved)).withColumn("arm", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    scores = scored_by(spark, d, arms(spark, d), "arm", ["dense", "bm25", "hybrid", "hybrid_raw"])
+    return metrics.summary(scores.withColumn("arm", F.col("qid.arm")), "arm")
 
 
 def bm25_scores(spark, d):
@@ -166,7 +214,9 @@ def miss_diagnosis(spark, d):
 
 
 def stopword_effect(spark, d):
-    return metrics.before_after(scored(spark, d, lexical_ranking(spark, d, fusion.K, strip=False)), bm25_scores(spark, d))
+    index, asked = question_index(spark, d), questions(spark, d)
+    found = with_texts(spark, d, {"raw": lexical_places(index, asked, fusion.K, strip=False), "bm25": lexical_places(index, asked, fusion.K)})
+    return metrics.before_after(scored(spark, d, of(found, "raw")), scored(spark, d, of(found, "bm25")))
 
 
 def poison(spark, d) -> DataFrame:
@@ -189,7 +239,7 @@ def injected(spark, d):
 
 
 def prompt_digests(spark, d):
-    found = bm25(spark, d).select("qid", "rank", "chunk_id").join(chunked(spark, d).select("chunk_id", "source", "text"), "chunk_id")
+    found = lexical_ranking(spark, d, fusion.K)
     lists = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "text"))).alias("retrieved"))
     both = questions(spark, d).join(lists, "qid")
     return both.select("qid", F.md5(T.answer_prompt(F.col("retrieved"), F.col("question"))).alias("prompt_md5"), F.length(T.format_chunks(F.col("retrieved"))).cast("long").alias("shown_chars"))
@@ -203,15 +253,19 @@ def calibration_gap(spark, d):
     return security.calibration_gap(near.select((F.col("a") == F.col("b")).alias("on_topic"), "distance"))
 
 
+def window_overlaps(spark, d):
+    return C.overlaps(chunked(spark, d)).select("source", "i", F.md5("shared").alias("shared_md5"), "same")
+
+
 def far_questions(spark, d):
-    return security.suspicious(dense_ranking(spark, d).select("qid", "rank", "distance"))
+    return security.suspicious(dense_places(spark, d).select("qid", "rank", "distance"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_stats, norm_text, page_text, token_postings, bm25_idf, strip_stopwords, bm25_topk, dense_knn, rrf_fusion, hybrid_topk, retriever_ablation, validate_contexts, chunk_sweep_ceilings, hit_rank,
-        retrieval_metrics, metrics_by_group, rank_histogram, span_coverage, miss_diagnosis, stopword_effect, poison_served, injected, prompt_digests, calibration_gap, far_questions,
+        chunk_documents, chunk_stats, norm_text, page_text, token_postings, bm25_idf, strip_stopwords, bm25_topk, stored_index_topk, dense_knn, rrf_fusion, hybrid_topk, retriever_ablation, validate_contexts, chunk_sweep_ceilings, hit_rank,
+        retrieval_metrics, metrics_by_group, rank_histogram, span_coverage, miss_diagnosis, stopword_effect, poison_served, injected, prompt_digests, calibration_gap, far_questions, window_overlaps,
     )
 }
 
@@ -260,9 +314,9 @@ def _l2(a: str, b: str) -> str:
 
 
 _DENSE = f"""dn AS (
-  SELECT a.vec_id AS qid, b.vec_id, c.source, c.text, {_l2("a.embedding", "b.embedding")} AS distance
-  FROM embeddings a, embeddings b, chunks c WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND c.doc_id = b.vec_id AND c.i = 0),
-dense AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id))::INTEGER AS rank FROM dn QUALIFY rank <= 10)"""
+  SELECT a.vec_id AS qid, b.vec_id, c.source, c.text, c.i, {_l2("a.embedding", "b.embedding")} AS distance
+  FROM embeddings a, embeddings b, chunks c WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND c.doc_id = b.vec_id),
+dense AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id, i))::INTEGER AS rank FROM dn QUALIFY rank <= 10)"""
 
 
 def _fused(lex: str, name: str, k: int) -> str:
@@ -274,22 +328,29 @@ def _fused(lex: str, name: str, k: int) -> str:
 {name} AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, met))::INTEGER AS rank FROM {name}_f QUALIFY rank <= {k})"""
 
 
+_SPANS = "SELECT item_id AS qid, 0 AS ctx_no, text AS ctx FROM benchmark UNION ALL SELECT item_id, 1, substr(text, length(text) // 2 + 1) FROM benchmark"
+
+
 def _scores(ret: str, name: str) -> str:
     """CTEs from a retrieved table (arm, qid, rank, text) to ``name``: one row per arm and question."""
     return f"""{name}_h AS (SELECT arm, qid, rank, ' ' || {_norm("text")} || ' ' AS hay FROM {ret}),
-{name}_g AS (SELECT item_id AS qid, {_norm("text")} AS want, list_filter(string_split({_norm("text")}, ' '), lambda x: x <> '') AS w, len({_TOK.format("text")}) AS nt FROM benchmark),
-{name}_hit AS (SELECT arm, qid, min(rank) AS rank FROM {name}_h JOIN {name}_g USING (qid) WHERE contains(trim(hay), want) GROUP BY ALL),
-{name}_w AS (SELECT qid, w, len(w) AS n, least(5, len(w)) AS run, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS s FROM {name}_g),
-{name}_ph AS (SELECT qid, s, run, (CASE WHEN s > 0 THEN ' ' ELSE '' END) || array_to_string(w[s + 1:s + run], ' ') || (CASE WHEN s + run < n THEN ' ' ELSE '' END) AS phrase FROM {name}_w),
-{name}_c AS (SELECT arm, qid, count(DISTINCT word) AS covered FROM (SELECT arm, qid, unnest(range(s, s + run)) AS word FROM {name}_ph JOIN {name}_h USING (qid) WHERE contains(hay, phrase)) GROUP BY ALL),
+{name}_s AS (SELECT qid, ctx_no, {_norm("ctx")} AS want, list_filter(string_split({_norm("ctx")}, ' '), lambda x: x <> '') AS w FROM ({_SPANS})),
+{name}_hit AS (SELECT arm, qid, min(rank) AS rank FROM {name}_h JOIN {name}_s USING (qid) WHERE contains(trim(hay), want) GROUP BY ALL),
+{name}_w AS (SELECT qid, ctx_no, w, len(w) AS n, least(5, len(w)) AS run, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS s FROM {name}_s),
+{name}_ph AS (SELECT qid, ctx_no, s, run, (CASE WHEN s > 0 THEN ' ' ELSE '' END) || array_to_string(w[s + 1:s + run], ' ') || (CASE WHEN s + run < n THEN ' ' ELSE '' END) AS phrase FROM {name}_w),
+{name}_c AS (SELECT arm, qid, ctx_no, count(DISTINCT word) AS covered FROM (SELECT arm, qid, ctx_no, unnest(range(s, s + run)) AS word FROM {name}_ph JOIN {name}_h USING (qid) WHERE contains(hay, phrase)) GROUP BY ALL),
+{name}_x AS (
+  SELECT a.arm, s.qid, s.ctx_no, round(coalesce(covered, 0) / nullif(len(w), 0), 6) AS coverage
+  FROM {name}_s s, (SELECT DISTINCT arm FROM {ret}) a LEFT JOIN {name}_c c ON c.arm = a.arm AND c.qid = s.qid AND c.ctx_no = s.ctx_no),
 {name} AS (
-  SELECT a.arm, g.qid, CASE WHEN nt < 25 THEN 'short' WHEN nt < 40 THEN 'middle' ELSE 'long' END AS grp, rank, round(coalesce(covered, 0) / nullif(len(w), 0), 6) AS coverage
-  FROM {name}_g g, (SELECT DISTINCT arm FROM {ret}) a LEFT JOIN {name}_hit h ON h.arm = a.arm AND h.qid = g.qid LEFT JOIN {name}_c c ON c.arm = a.arm AND c.qid = g.qid)"""
+  SELECT x.arm, x.qid, CASE WHEN nt < 25 THEN 'short' WHEN nt < 40 THEN 'middle' ELSE 'long' END AS grp, rank, coverage, worst
+  FROM (SELECT arm, qid, max(coverage) AS coverage, min(coverage) AS worst FROM {name}_x GROUP BY ALL) x
+  JOIN (SELECT item_id AS qid, len({_TOK.format("text")}) AS nt FROM benchmark) USING (qid) LEFT JOIN {name}_hit h ON h.arm = x.arm AND h.qid = x.qid)"""
 
 
 _ONE = f"{_LEX},\nret AS (SELECT 'bm25' AS arm, qid, rank, c.text FROM bm JOIN chunks c USING (chunk_id) WHERE rank <= 5),\n{_scores('ret', 'sc')}"
 _MEANS = """count(*) AS n, round(coalesce(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 0), 6) AS hit, round(coalesce(avg(coalesce(1 / rank, 0)), 0), 6) AS mrr,
-  round(coalesce(avg(coverage), 0), 6) AS coverage, round(coalesce(avg(CASE WHEN coverage >= 0.99 THEN 1 ELSE 0 END), 0), 6) AS covered, round(coalesce(avg(CASE WHEN coverage >= 0.99 THEN 1 ELSE 0 END), 0), 6) AS complete"""
+  round(coalesce(avg(coverage), 0), 6) AS coverage, round(coalesce(avg(CASE WHEN coverage >= 0.99 THEN 1 ELSE 0 END), 0), 6) AS covered, round(coalesce(avg(CASE WHEN worst >= 0.99 THEN 1 ELSE 0 END), 0), 6) AS complete"""
 
 
 def _status(size: int, overlap: int, name: str) -> str:
@@ -319,6 +380,8 @@ ORACLES = {
     "bm25_idf": f"WITH {_LEX} SELECT term, df, round(idf, 9) AS idf FROM bm_df",
     "strip_stopwords": f"SELECT item_id AS qid, array_to_string({_KEPT.format('text')}, ' ') AS stripped FROM benchmark",
     "bm25_topk": f"WITH {_LEX} SELECT qid, rank, chunk_id, score FROM bm WHERE rank <= 5",
+    "stored_index_topk": f"WITH {_LEX} SELECT qid, rank, chunk_id, score FROM bm WHERE rank <= 5",
+    "window_overlaps": f"WITH {_CHUNKS} SELECT b.source, b.i, md5(substr(b.text, 1, {C.OVERLAP})) AS shared_md5, right(a.text, {C.OVERLAP}) = left(b.text, {C.OVERLAP}) AS same FROM chunks a JOIN chunks b ON a.source = b.source AND b.i = a.i + 1",
     "dense_knn": f"WITH d AS (SELECT a.vec_id AS qid, b.vec_id, {_l2('a.embedding', 'b.embedding')} AS distance FROM embeddings a, embeddings b) SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id))::INTEGER AS rank, vec_id, distance FROM d QUALIFY rank <= 5",
     "rrf_fusion": f"WITH {_LEXRAW}, {_DENSE}, {_fused('raw', 'hr', 10)} SELECT qid, rank, md5(text) AS text_md5, rrf_score, n_ranks FROM hr",
     "hybrid_topk": f"WITH {_LEX}, {_DENSE}, {_fused('bm', 'hy', 5)} SELECT qid, rank, md5(text) AS text_md5, round(distance, 6) AS distance, rrf_score FROM hy",
@@ -331,7 +394,7 @@ ORACLES = {
     "retrieval_metrics": f"WITH {_ONE} SELECT {_MEANS} FROM sc",
     "metrics_by_group": f"WITH {_ONE} SELECT coalesce(grp, 'all') AS grp, {_MEANS} FROM sc GROUP BY GROUPING SETS ((), (grp))",
     "rank_histogram": f"WITH {_ONE} SELECT coalesce(rank, 0)::BIGINT AS rank, count(*) AS n FROM sc GROUP BY ALL",
-    "span_coverage": f"WITH {_ONE} SELECT qid, 0::INTEGER AS ctx_no, coverage FROM sc",
+    "span_coverage": f"WITH {_ONE} SELECT qid, ctx_no::INTEGER AS ctx_no, coverage FROM sc_x",
     "miss_diagnosis": f"WITH {_ONE} SELECT CASE WHEN coverage >= 0.99 THEN 'chunking' WHEN coverage > 0 THEN 'partial' ELSE 'missed' END AS cause, count(*) AS n FROM sc WHERE rank IS NULL GROUP BY ALL",
     "stopword_effect": f"""WITH {_LEXRAW},
 ret AS (SELECT 'after' AS arm, qid, rank, c.text FROM bm JOIN chunks c USING (chunk_id) WHERE rank <= 5 UNION ALL SELECT 'before', qid, rank, c.text FROM raw JOIN chunks c USING (chunk_id) WHERE rank <= 5),

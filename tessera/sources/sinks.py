@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The current rows with those of equal key replaced; of equal keys in ``new`` one row stays. Batching is the partitions' business."""
     kept = current.join(new.select(key), key, "left_anti")
@@ -22,8 +20,9 @@ def append_verdicts(rows: DataFrame, path: str) -> None:
 
 
 def read_latest(cache: DataFrame, key: str = "key", time: str = "judged") -> DataFrame:
-    newest = Window.partitionBy(key).orderBy(F.desc(time))
-    return cache.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    """The newest entry of each key; of equal times the one that is greatest by its columns."""
+    rest = [c for c in cache.columns if c not in (key, time)]
+    return cache.groupBy(key).agg(F.max(F.struct(time, *rest)).alias("__n")).select(key, "__n.*").select(*cache.columns)
 
 
 def freeze(rows: DataFrame, path: str, force: bool = False, **provenance: str) -> None:
@@ -58,14 +57,55 @@ def write_if_complete(rows: DataFrame, path: str, runs: int, limited: bool) -> b
 
 
 def swap(rows: DataFrame, path: str) -> str:
-    """Write beside a table and name the new version, so that readers never meet half of one."""
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    rows.write.parquet(version)
-    return version
+    """Write a new version beside the table, then point to it; readers (``current``) meet the old version or the new one, never half of one."""
+    version = f"v-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    spark = rows.sparkSession
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/versions")
+    return f"{path}/{version}"
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a swapped table that was pointed to last."""
+    pointers = spark.read.schema("version string").json(f"{path}/versions")
+    newest = pointers.select("version", "_metadata.file_modification_time", "_metadata.file_name").orderBy(F.desc("file_modification_time"), F.desc("file_name")).first()
+    return spark.read.parquet(f"{path}/{newest.version}")
+
+
+#: Rows of a report that one JSON text may hold.
+REPORT_ROWS = 10_000
 
 
 def as_json(rows: DataFrame, order: str) -> DataFrame:
-    """One JSON array of all rows in order: for reports, whose rows are few."""
+    """One JSON array of all rows in order: for reports. More than ``REPORT_ROWS`` rows are an error; write such tables as JSON lines."""
+    if rows.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write this table as JSON lines")
     return rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*rows.columns).alias("r")))), lambda x: x["r"])).alias("json"))
 
 
+def ingest(spark: SparkSession, folder: str, index: str, size: int = 800, overlap: int = 160) -> DataFrame:
+    """From a folder of text files to the chunk table at ``index``: what is there is replaced by chunk, what is new is added. Returns the table as it is now."""
+    from .tables import exists, load_corpus
+
+    _, chunks = load_corpus(spark, folder, size, overlap)
+    if not exists(spark, f"{index}/versions"):
+        swap(chunks, index)
+    else:
+        swap(upsert(current(spark, index), chunks, "chunk_id"), index)
+    return current(spark, index)
+
+
+def snapshot(metrics: DataFrame, path: str, force: bool = False) -> None:
+    """Freeze measured metrics as one row each (metric, value): what later runs are compared with. Null is a value: nothing was measured."""
+    long = metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics.columns])).alias("x")).select("x.*")
+    freeze(long, path, force)
+
+
+def add_scores(scores: DataFrame, path: str) -> None:
+    """Append one metric's scores (question, metric, score) when they are made, so that a run that dies goes on where it was."""
+    scores.select("question", "metric", "score").write.mode("append").parquet(path)
+
+
+def save_tasks(tasks: DataFrame, path: str, key: str = "id") -> None:
+    """Tasks of a usefulness log, in the order of their ids."""
+    tasks.orderBy(key).write.mode("overwrite").parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,16 +71,68 @@ def ground_truth_breaches(records: DataFrame) -> DataFrame:
 
 
 def answer_breaches(records: DataFrame) -> DataFrame:
+    """Recorded answers and what is wrong with them. Labels may come as JSON text; then each must be true, false or null, and ``misdirected`` may be absent."""
     rules = {
         "no question": F.col("question").isNull(),
         "no answer": F.col("answer").isNull(),
         "nothing retrieved": F.coalesce(F.size("retrieved"), F.lit(0)) < 1,
         "no labels": F.col("labels").isNull(),
     }
+    if dict(records.dtypes)["labels"] == "string":
+        given = F.from_json("labels", "map<string,string>")
+        named = lambda k: F.element_at(given, F.lit(k))
+        wrong = lambda k: F.coalesce(~named(k).isin("true", "false", "null") & named(k).isNotNull(), F.lit(False))
+        rules |= {f"label {k} is absent": F.col("labels").isNotNull() & ~F.coalesce(F.map_contains_key(given, k), F.lit(False)) for k in ("refused", "fabricated")}
+        rules |= {f"label {k} is not true, false or null": wrong(k) for k in ("refused", "fabricated", "misdirected")}
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]))
     return records.select("question", F.explode(found).alias("breach"))
 
 
+def iter_records(records: DataFrame, answerable_only: bool = False) -> DataFrame:
+    return records.where("answerable") if answerable_only else records
+
+
+def answerable_records(records: DataFrame) -> DataFrame:
+    return records.where("answerable")
+
+
+def refusal_records(records: DataFrame, refusal_type: str | None = None) -> DataFrame:
+    """Records that must be refused, of one class or of all; an unknown class is an error."""
+    if refusal_type is not None and refusal_type not in REFUSAL_TYPES:
+        raise ValueError(f"refusal_type must be one of {REFUSAL_TYPES}, not {refusal_type}")
+    rows = records.where(~F.col("answerable"))
+    return rows if refusal_type is None else rows.where(F.col("refusal_type") == refusal_type)
+
+
+def head(records: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first n records in the order of the fixture, all if n is None: the feature of a short run."""
+    return records if n is None else records.orderBy(order).limit(n)
+
+
+def load_corpus(spark: SparkSession, folder: str, size: int = 800, overlap: int = 160) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) of a folder of text files, by the names of the files."""
+    from ..operators.chunks import chunk_documents
+
+    docs = read_documents(spark, folder)
+    return docs, chunk_documents(docs, size, overlap)
+
+
+def load_cache(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The verdict cache, of one model or of all; a cache that was never written is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "key string, judged long, decision boolean, mode string, prompt_version string, model string")
+    cache = spark.read.parquet(path)
+    return cache if model is None else cache.where(F.col("model") == model)
+
+
+def attack_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(attack, text) of JSON lines with subject and body."""
+    from ..operators.security import attack_text
+
+    rows = spark.read.schema("id string, subject string, body string").json(path)
+    return rows.select(F.col("id").alias("attack"), attack_text(F.col("subject"), F.col("body")).alias("text"))
+
+
 def spans(records: DataFrame) -> DataFrame:
     """(qid, ctx_no, ctx) of each gold context, numbered from 0."""
     return records.select(F.col("question").alias("qid"), F.posexplode("contexts").alias("ctx_no", "ctx"))
@@ -127,7 +177,3 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
     cases = spark.read.format("xml").option("rowTag", "testcase").schema("_classname string, _time double, failure string, error string, skipped string").load(path)
     bad = F.col("failure").isNotNull() | F.col("error").isNotNull()
     return cases.groupBy(F.col("_classname").alias("file")).agg(F.count("*").alias("tests"), F.count_if(bad).alias("failed"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), F.round(F.sum("_time"), 3).alias("seconds"))
-
-
-def stem(path: str) -> str:
-    return PurePosixPath(path).stem
