@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import gapless_rank, running_total, slices_for
+from ..sources.scratch import discard, materialize, new_path, scratch_dir, sent_if_few
 from ..sources.shipping import ship_package
 
+__all__ = ["WHITE", "bounded_batches", "discard", "free_name", "gapless_rank", "let", "materialize", "new_path", "running_total", "scratch_dir", "sent_if_few", "slices_for", "words"]
+
 #: Words are runs of characters outside this class.
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Before Python runs on whole texts: Spark bounds Arrow batches by 10,000 rows; lower that, and the bytes, for the session, unless it has less already. Workers get the package."""
     ship_package(spark)
@@ -36,31 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it: later plans start from files, so a lost executor costs one task, not the lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Ids that are sent to all tasks at most, at some tens of bytes each; more are joined by a shuffle.
-SENT_IDS = 1_000_000
-
-
-def sent_if_few(ids: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
-    """(a written table of ids, marked to be sent to all tasks if it has at most ``most`` rows; whether it is)."""
-    few = ids.count() <= (SENT_IDS if most is None else most)
-    return (F.broadcast(ids) if few else ids), few
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and no later plan reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores in front as it takes to clash with no column."""
     taken = {c.lower() for c in df.columns}
@@ -77,37 +40,3 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row: a lambda's variable can't be inlined into inner lambdas, a projected column can."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
-def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, spread: Column, slices: int = 256) -> DataFrame:
-    """Add ``name``: each row's rank from 0 within its group, without one task per group.
-
-    A group is cut into ``slices`` by the hash ``spread``; rows are ranked inside
-    (group, slice) and shifted by the count of the slices before. The table of
-    counts has at most groups x slices rows. ``order`` must be total but for
-    rows equal in every column.
-    """
-    cut = df.withColumn("__slice", F.pmod(spread, F.lit(slices)).cast("int"))
-    counts = cut.groupBy(group, "__slice").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy(group, "__slice").orderBy(*order)
-    ranked = cut.withColumn("__i", F.row_number().over(inner) - 1)
-    return ranked.join(starts, [group, "__slice"]).withColumn(name, (F.col("__start") + F.col("__i")).cast("long")).drop("__slice", "__start", "__i")
-
-
-def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all rows before, in one total order, without one task: a range sort, then sums by partition.
-
-    The sums per partition go to the driver: one number for each partition.
-    """
-    spark = df.sparkSession
-    ranged = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
-    at, starts = 0, []
-    for part, total in ranged.groupBy("__part").agg(F.sum(value)).orderBy("__part").collect():
-        starts.append((part, at))
-        at += total
-    table = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))  # one row per partition
-    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum(value).over(before), F.lit(0))
-    return ranged.withColumn("__own", own).join(table, "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__own", "__start")

@@ -26,7 +26,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank
+from .common import gapless_rank, slices_for
 
 SHARDS, VNODES = 16, 64
 
@@ -99,7 +99,7 @@ def place(rows: DataFrame, key: Column, order: list[Column], spread: Column, sha
     counts = {r[0]: r[1] for r in placed.groupBy("__arc").count().collect()}  # shards x vnodes rows at most
     segments = walk(counts, points, bounds(sum(counts.values()), shards, load_factor))
     parts = F.broadcast(spark.createDataFrame(segments, "__arc int, __from long, __to long, shard int, __slot long"))  # arcs + shards x wraps rows
-    ranked = gapless_rank(placed, "__arc", order, "__rank", spread)
+    ranked = gapless_rank(placed, "__arc", order, "__rank", spread, slices_for(sum(counts.values())))
     inside = (ranked["__arc"] == parts["__arc"]) & (ranked["__rank"] >= parts["__from"]) & (ranked["__rank"] < parts["__to"])
     joined = ranked.join(parts, inside).drop(parts["__arc"])
     return joined.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).drop("__arc", "__rank", "__from", "__to", "__slot")
