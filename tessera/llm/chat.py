@@ -11,7 +11,7 @@ may attend to.
 The order: every node belongs to the conversation of the smallest id that passes
 through it; the nodes of one conversation form a chain, contiguous in the stream.
 A conversation's path is then a few runs on chains, which is also its list of
-attention intervals, and sorting chains by their runs is depth-first order:
+attention intervals (by places in the stream and by depths on the chain), and sorting chains by their runs is depth-first order:
 a chain first, then what leaves it, deepest first. Stream offsets come from a
 range sort and sums per partition, so a first turn that very many conversations
 share is not one task.
@@ -65,50 +65,60 @@ def parse_turn(piece: str) -> tuple[str, str]:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else _FROM[m[1]], role), unescape(text)
 
 
-_TURNS = "conv long, depth int, node binary, parent binary, position long, length long, piece string, loss_from int, loss_to int"
+_TURNS = "conv long, depth int, node binary, parent binary, position long, length long, piece string, loss_from int, loss_to int, ids array<int>"
 
 
-def _chains(batches):
-    """Rows sorted by conversation and turn, to turns named by the digest of all turns so far."""
-    import pyarrow as pa
+def _chains(model):
+    """Rows sorted by conversation and turn, to turns named by the digest of all turns so far; with a model, lengths and places count tokens."""
 
-    conv, parent, depth, position = None, b"", 0, 0
-    for batch in batches:
-        out = [[] for _ in range(9)]
-        for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv", "role", "text")), strict=True):
-            if c != conv:
-                conv, parent, depth, position = c, b"", 0, 0
-            piece = format_turn(role, text)
-            node = hashlib.sha256(parent + piece.encode("utf-8", "surrogatepass")).digest()
-            depth += 1
-            begin = piece.index("\n") + 1 if role == LOSS_ROLE else 0
-            row = (c, depth, node, parent, position, len(piece), piece, begin, len(piece) - len(CLOSE) if role == LOSS_ROLE else 0)
-            for to, v in zip(out, row, strict=True):
-                to.append(v)
-            parent, position = node, position + len(piece)
-        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=[f.split()[0] for f in _TURNS.split(", ")])
+    def run(batches):
+        import pyarrow as pa
+
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+        conv, parent, depth, position = None, b"", 0, 0
+        for batch in batches:
+            out = [[] for _ in types]
+            for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv", "role", "text")), strict=True):
+                if c != conv:
+                    conv, parent, depth, position = c, b"", 0, 0
+                piece, ids = format_turn(role, text), None
+                head = piece.index("\n") + 1
+                body, length = len(piece) - len(CLOSE), len(piece)
+                node = hashlib.sha256(parent + piece.encode("utf-8", "surrogatepass")).digest()
+                if model is not None:
+                    parts = [model.encode(x) for x in (piece[:head], piece[head:body], CLOSE)]
+                    ids, head, body, length = sum(parts, []), len(parts[0]), len(parts[0]) + len(parts[1]), sum(map(len, parts))
+                depth += 1
+                learn = role == LOSS_ROLE
+                row = (c, depth, node, parent, position, length, piece, head if learn else 0, body if learn else 0, ids)
+                for to, v in zip(out, row, strict=True):
+                    to.append(v)
+                parent, position = node, position + length
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=[f.split()[0] for f in _TURNS.split(", ")])
+
+    return run
 
 
 @dataclass(frozen=True)
 class Packed:
-    """``stream``: one row per node (chain, depth, start, end, position, loss_start, loss_end, parent, node, piece); ``paths``: per conversation its intervals [(chain, start, end)]."""
+    """``stream``: one row per node (chain, depth, start, end, position, loss_start, loss_end, parent, node, piece; with a model, ids); ``paths``: per conversation its intervals [(start, end, chain, depths)]."""
 
     stream: DataFrame
     paths: DataFrame
 
 
-def pack_conversations(rows: DataFrame) -> Packed:
-    """rows: conv_id, turn, role, text."""
+def pack_conversations(rows: DataFrame, model=None) -> Packed:
+    """rows: conv_id, turn, role, text. Places count characters; with a model (``encode`` from text to token ids) tokens, and the stream has each node's ``ids``."""
     bounded_batches(rows.sparkSession)
     empty = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k)
     given = rows.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("conv"), "turn", empty("role"), empty("text"))
-    turns = materialize(given.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(_chains, _TURNS), "turns", compression="zstd")
-    same = [F.first(k).alias(k) for k in ("depth", "parent", "position", "length", "loss_from", "loss_to", "piece")]
+    turns = materialize(given.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(_chains(model), _TURNS), "turns", compression="zstd")
+    tokens = [] if model is None else ["ids"]
+    same = [F.first(k).alias(k) for k in ("depth", "parent", "position", "length", "loss_from", "loss_to", "piece", *tokens)]
     nodes = materialize(turns.groupBy("node").agg(F.min("conv").alias("chain"), *same), "nodes", compression="zstd")
 
     runs = turns.select("conv", "depth", "node", F.col("position"), "length").join(nodes.select("node", "chain"), "node")
-    runs = materialize(runs.groupBy("conv", "chain").agg(F.min("position").alias("from"), F.max(F.col("position") + F.col("length")).alias("to"), F.max("depth").alias("leaves")), "runs")
+    runs = materialize(runs.groupBy("conv", "chain").agg(F.min("position").alias("from"), F.max(F.col("position") + F.col("length")).alias("to"), F.min("depth").alias("enters"), F.max("depth").alias("leaves")), "runs")
     # chain positions: a chain's own part of its conversation's path
     own = runs.where("conv = chain").select("chain", F.col("from").alias("base"), (F.col("to") - F.col("from")).alias("size"))
     step = F.struct(F.col("from"), F.col("chain"), F.when(F.col("conv") == F.col("chain"), F.lit(-(2**31))).otherwise(-F.col("leaves")).alias("leaves"))
@@ -118,11 +128,12 @@ def pack_conversations(rows: DataFrame) -> Packed:
     start = F.col("offset") + F.col("position") - F.col("base")
     loss = lambda k: F.when(F.col("loss_to") > 0, start + F.col(k))
     stream = nodes.join(placed, "chain").select(
-        "chain", "depth", start.alias("start"), (start + F.col("length")).alias("end"), "position", loss("loss_from").alias("loss_start"), loss("loss_to").alias("loss_end"), "parent", "node", "piece"
+        "chain", "depth", start.alias("start"), (start + F.col("length")).alias("end"), "position", loss("loss_from").alias("loss_start"), loss("loss_to").alias("loss_end"), "parent", "node", "piece", *tokens
     )
     at = lambda k: F.col("offset") + F.col(k) - F.col("base")
-    paths = runs.join(placed, "chain").select("conv", "chain", at("from").alias("start"), at("to").alias("end"))
-    paths = paths.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("start", "end", "chain"))).alias("intervals"))
+    depths = F.struct(F.col("enters").alias("first"), F.col("leaves").alias("last")).alias("depths")
+    paths = runs.join(placed, "chain").select("conv", "chain", at("from").alias("start"), at("to").alias("end"), depths)
+    paths = paths.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("start", "end", "chain", "depths"))).alias("intervals"))
     return Packed(materialize(stream, "stream", compression="zstd"), materialize(paths.select(F.when(F.col("conv") != _NO_ID, F.col("conv")).alias("conv_id"), "intervals"), "paths"))
 
 
@@ -163,12 +174,17 @@ def _read_back(batches):
         yield packed([row()])
 
 
+def path_nodes(packed: Packed) -> DataFrame:
+    """(conv, chain, depth): one row for each node on a conversation's path. A chain has one node of each depth, so these name nodes."""
+    part = packed.paths.select(F.coalesce("conv_id", F.lit(_NO_ID)).alias("conv"), F.explode("intervals").alias("i"))
+    return part.select("conv", F.col("i.chain").alias("chain"), F.explode(F.sequence("i.depths.first", "i.depths.last")).alias("depth"))
+
+
 def read_back(packed: Packed) -> DataFrame:
-    """conv_id and digests of each conversation, from the stream and the intervals alone."""
+    """conv_id and digests of each conversation, from the stream (of characters) and the intervals alone."""
     bounded_batches(packed.paths.sparkSession)
-    part = packed.paths.select(F.coalesce("conv_id", F.lit(_NO_ID)).alias("conv"), F.explode("intervals").alias("i")).select("conv", F.col("i.chain").alias("chain"), F.col("i.start").alias("lo"), F.col("i.end").alias("hi"))
-    pieces = packed.stream.select("chain", "start", "end", "position", (F.col("loss_start") - F.col("start")).alias("loss_from"), (F.col("loss_end") - F.col("start")).alias("loss_to"), "piece")
-    whole = part.join(pieces, "chain").where("start >= lo and end <= hi").select("conv", "position", "piece", "loss_from", "loss_to")
+    pieces = packed.stream.select("chain", "depth", "position", (F.col("loss_start") - F.col("start")).alias("loss_from"), (F.col("loss_end") - F.col("start")).alias("loss_to"), "piece")
+    whole = path_nodes(packed).join(pieces, ["chain", "depth"]).select("conv", "position", "piece", "loss_from", "loss_to")
     read = whole.repartition("conv").sortWithinPartitions("conv", "position").mapInArrow(_read_back, _DIGESTS)
     return read.select(F.when(F.col("conv") != _NO_ID, F.col("conv")).alias("conv_id"), *[f.split()[0] for f in _DIGESTS.split(", ")[1:]])
 
