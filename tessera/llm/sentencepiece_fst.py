@@ -1,15 +1,23 @@
 """SentencePiece encoding and decoding by a weighted transducer.
 
-A model compiles to three parts: a normaliser (a prefix mark, spaces to marks), a
-lexicon of pieces, and byte fallback for characters that are no piece. Composed
-with an input they give a lattice of positions with one arc for each piece that
-matches; encoding is the shortest path in the tropical semiring (min, +).
-
-For a unigram model an arc weighs the negative score. For a BPE model what counts
+A model compiles to three parts, from the model's own specification: a normaliser
+(rewriting arcs such as space to mark, a prefix mark, extra spaces that go), a
+lexicon of pieces as a trie read backwards, and byte fallback for characters that
+are no piece. Composed with an input they give a lattice of positions with one arc
+for each piece that ends there; encoding is the shortest path in the tropical
+semiring: the cost of a position is the minimum over its arcs of the cost of where
+the arc begins plus the arc's weight.
+
+For a unigram model an arc weighs the negative score; sums are in doubles, and of equal
+paths the one with the longer last piece wins (the library adds in 32 bits, so costs closer than that may order otherwise there). For a BPE model what counts
 is which neighbours can stand together: an arc weighs 0 after a piece with which
-merging leaves exactly the two, and is barred (infinity) after any other. Every
+merging leaves exactly the two, and infinity after any other. Every
 prefix then has exactly one path of finite weight, which is what merging in the
-order of scores gives, so one state a position is enough.
+order of scores gives, so one state a position is enough. No weight is below 0, so
+the minimum is proved once an arc of cost 0 is found.
+
+Specifications with a character map, word or character models, white space as a
+suffix, and user-defined or unused pieces are refused with an error.
 
 The lattice falls apart between a character and a following mark where no piece
 crosses, and at ASCII characters that no piece has; the parts repeat, so a worker
@@ -18,7 +26,7 @@ tasks get the compiled transducer.
 
 Defined cases: a null or empty text has no ids; texts are encoded whole; the mark
 U+2581 in a text decodes to a space, as it does in SentencePiece (``round_trip`` is false
-there); a character that is no piece, in a model without byte pieces, gets the
+there); what the normaliser drops is not in the round trip; a character that is no piece, in a model without byte pieces, gets the
 unknown id; repeated rows get equal ids; further columns are not read; an empty
 table gives an empty result.
 """
@@ -38,6 +46,7 @@ from .common import bounded_batches
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
 KEPT, KEPT_PAIRS = 1_000_000, 1_000_000  # some 500 MB a worker at most
+INFINITY = float("inf")
 CHAR = 1 << 20  # symbols that are no piece are numbered from here by their character
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -54,12 +63,17 @@ class Transducer:
     unknown: int
     prefix: bool = True
     escape: bool = True
+    squeeze: bool = False
     halves: dict[str, tuple[str, str]] | None = None
     paths: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
+        # the normaliser: first the arcs that drop characters, then those that rewrite one, then what it writes at the start
+        self.dropping = re.compile("^ +| +$| +(?= )") if self.squeeze else None
+        self.rewriting = {" ": MARK} if self.escape else {}
+        self.opening = (MARK if self.escape else " ") if self.prefix else ""
         if self.kind == "bpe" and self.halves is None:
             self.halves = self._halves()
         self.edges: tuple[dict, dict] = {}, {}
@@ -88,17 +102,20 @@ class Transducer:
         self.floor = min((self.score[i] for i in self.ids.values()), default=0.0) - 10
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("kind", "pieces", "ids", "score", "byte_id", "unknown", "prefix", "escape", "halves")}
+        return {k: getattr(self, k) for k in ("kind", "pieces", "ids", "score", "byte_id", "unknown", "prefix", "escape", "squeeze", "halves")}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
     # the three transducers
     def normalise(self, text: str) -> str:
+        if self.dropping:
+            text = self.dropping.sub("", text)
         if not text:
             return ""
-        marked = text.replace(" ", MARK) if self.escape else text
-        return MARK + marked if self.prefix else marked
+        for old, new in self.rewriting.items():
+            text = text.replace(old, new)
+        return self.opening + text
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
@@ -174,11 +191,19 @@ class Transducer:
     def path(self, part: str) -> list[int]:
         return self._bpe(part) if self.kind == "bpe" else self._unigram(part)
 
+    def weight(self, before: int, i: int) -> float:
+        """Of a piece's arc after another piece; -1 stands for the start."""
+        if before < 0:
+            return 0.0
+        ok = self.pairs.get(before << 21 | i)
+        return 0.0 if (self.together(before, i) if ok is None else ok) else INFINITY
+
     def _bpe(self, part: str) -> list[int]:
-        """``last``: the symbol on the one finite path to each position; -1 at the start, -2 where there is none."""
-        n, endings, pairs, ids = len(part), self.endings, self.pairs, self.ids
-        last = [-1] + [-2] * n
+        """Costs and last pieces of positions, from left to right."""
+        n, endings, ids, weight = len(part), self.endings, self.ids, self.weight
+        cost, last = [0.0] + [INFINITY] * n, [-1] * (n + 1)
         for end in range(1, n + 1):
+            # arcs that end here: the trie read backwards as far as some piece ends so
             found, size = [], 2
             while size <= end:
                 i = endings.get(part[end - size : end])
@@ -189,19 +214,16 @@ class Transducer:
                 size += 1
             char = part[end - 1]
             found.reverse()
-            # a character alone, a piece or not, comes last: it is barred if its neighbour would merge with it
             found.append((1, ids.get(char, CHAR + ord(char))))
             for size, i in found:
-                before = last[end - size]
-                if before == -2:
-                    continue
-                if before >= 0:
-                    ok = pairs.get(before << 21 | i)
-                    if not (self.together(before, i) if ok is None else ok):
-                        continue
-                last[end] = i
-                break
-        if last[n] == -2:
+                c = cost[end - size]
+                if c < INFINITY:
+                    c += weight(last[end - size], i)
+                    if c < cost[end]:
+                        cost[end], last[end] = c, i
+                        if c == 0.0:
+                            break
+        if cost[n] == INFINITY:
             raise ValueError(f"no path through {part[:80]!r}")
         out, end = [], n
         while end:
@@ -255,25 +277,41 @@ class Transducer:
                 text.encode()
             except UnicodeEncodeError:
                 text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        if self.prefix and text.startswith(MARK):
+        if self.opening and text.startswith(self.opening):
             text = text[1:]
         return text.replace(MARK, " ") if self.escape else text
 
 
-def compile_model(path: str = MODEL) -> Transducer:
-    """Reads vocabulary, types and scores through the library; encoding and decoding are ours."""
-    from sentencepiece import SentencePieceProcessor
+def compile_spec(proto: bytes) -> Transducer:
+    """The transducer of a serialised model; an error for what is not supported."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(proto)
+    trainer, norm, Piece = model.trainer_spec, model.normalizer_spec, pb.ModelProto.SentencePiece
+    kind = {pb.TrainerSpec.UNIGRAM: "unigram", pb.TrainerSpec.BPE: "bpe"}.get(trainer.model_type)
+    refused = [
+        (kind is None, "word or character models"),
+        (bool(norm.precompiled_charsmap), "a character map in the normaliser"),
+        (trainer.treat_whitespace_as_suffix, "white space as a suffix"),
+        (any(p.type in (Piece.USER_DEFINED, Piece.UNUSED) for p in model.pieces), "user-defined or unused pieces"),
+    ]
+    for bad, what in refused:
+        if bad:
+            raise ValueError(f"this model's specification has {what}, which is not supported")
+    pieces, score = [p.piece for p in model.pieces], [p.score for p in model.pieces]
+    byte_at = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == Piece.BYTE}
+    if len(byte_at) not in (0, 256):
+        raise ValueError("this model has some byte pieces, but not all")
+    ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == Piece.NORMAL}
+    unknown = next(i for i, p in enumerate(model.pieces) if p.type == Piece.UNKNOWN)
+    bytes_ = [byte_at[b] for b in range(256)] if byte_at and trainer.byte_fallback else []
+    return Transducer(kind, pieces, ids, score, bytes_, unknown, norm.add_dummy_prefix, norm.escape_whitespaces, norm.remove_extra_whitespaces)
+
 
-    model = SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
-    pieces, score = [model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)]
-    bytes_ = [i for i in range(n) if model.is_byte(i)]
-    apart = {*bytes_, *(i for i in range(n) if model.is_control(i) or model.is_unknown(i))}
-    ids = {p: i for i, p in enumerate(pieces) if i not in apart}
-    normal = [score[i] for i in ids.values()]
-    # BPE vocabularies are scored by the order of merges: whole steps down from zero
-    kind = "bpe" if all(s == int(s) for s in normal) else "unigram"
-    return Transducer(kind, pieces, ids, score, bytes_, model.unk_id())
+def compile_model(path: str = MODEL) -> Transducer:
+    """Reads the model's file; encoding and decoding are ours."""
+    with open(path, "rb") as file:
+        return compile_spec(file.read())
 
 
 _WORKER: dict = {}
@@ -281,7 +319,7 @@ _WORKER: dict = {}
 
 def _of_worker(model: Transducer) -> Transducer:
     """One transducer with its kept paths for all tasks of a worker process."""
-    key = model.kind, len(model.pieces), zlib.crc32("\n".join(model.pieces).encode())
+    key = model.kind, model.opening, model.squeeze, model.escape, len(model.pieces), zlib.crc32("\n".join(model.pieces).encode())
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = model
