@@ -7,10 +7,12 @@ all queries at once. After each, every score is known up to the query's norm tim
 the norm of what is left of the vector (Cauchy-Schwarz), so the k-th best of the
 lower bounds, or of what earlier blocks gave exactly, proves most vectors out.
 A query stops once few members stay possible; those are scored again from whole
-vectors. A query that never gets there ends with all segments, exact by then.
+vectors. A query that never gets there ends with all segments, exact by then. A segment is
+multiplied in the dimensions that it holds and for members that some query may still want.
 
-Queries are sent to the tasks in groups of at most ``QUERY_BYTES``; every group is
-one pass over the blocks, and every task answers with at most k rows a query.
+Queries lie in blocks of at most ``QUERY_BYTES``, too, as a table; each block of
+queries meets each block of the index in one plan, and a task answers with at most k rows for a
+query of the ``HELD`` blocks of queries that it saw last.
 
 Defined cases: vectors that are null, or hold a null or a component that is not
 finite, take no part, nor do rows with a null id; missing trailing dimensions count as zero
@@ -21,6 +23,7 @@ is an error; further columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize
 
 K, EVERY, BLOCK = 5, 50, 4096
-QUERY_BYTES, QUERY_ROWS = 8 << 20, 128
+QUERY_BYTES, QUERY_ROWS, HELD = 2 << 20, 128, 64
+QUERIES = "qids binary, qdims int, qvectors binary"
 FEW = 64  # possible members at which a query stops and rescores
 INDEX = "ids binary, dims int, vectors binary, impacts array<int>, members array<binary>, dimensions array<binary>, values array<binary>"
 
@@ -98,96 +102,141 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     """For each query the (positions, exact scores) of all rows of the block that may be among its best k; floor: scores that k rows elsewhere are known to reach."""
     q, x = queries.astype(np.float64), vectors.astype(np.float64)
     norms, left = np.sqrt((q**2).sum(1)), (x**2).sum(1)
-    score = np.zeros((len(q), len(x)))
-    own = ids[None] == query_ids[:, None]
     out: list = [None] * len(q)
+    # members that some active query may want, and their scores so far
+    live = np.arange(len(x))
+    row_of = np.arange(len(x))
     active = np.arange(len(q))
+    score = np.zeros((len(q), len(x)))
+    own = ids[None] == query_ids[:, None]
     for n, (_, who, dim, value) in enumerate(parts):
         if not len(active):
             break
-        segment = np.zeros_like(x)
-        segment[who, dim] = value
-        score[active] += q[active] @ segment.T
-        left = np.maximum(left - (segment**2).sum(1), 0) if n < len(parts) - 1 else np.zeros(len(x))
-        slack = norms[active][:, None] * np.sqrt(left)[None] * (1 + 1e-9)
-        low = np.where(own[active], -np.inf, score[active] - slack)
-        need = floor[active] if len(x) < k else np.maximum(floor[active], np.partition(low, len(x) - k, 1)[:, len(x) - k])
-        may = ~own[active] & (score[active] + slack >= need[:, None])
+        at = row_of[who]
+        here = at >= 0
+        rows, r = np.unique(at[here], return_inverse=True)
+        dims, d = np.unique(dim[here], return_inverse=True)
+        segment = np.zeros((len(rows), len(dims)))
+        segment[r, d] = value[here]
+        score[:, rows] += q[np.ix_(active, dims)] @ segment.T
+        left[live[rows]] -= (segment**2).sum(1)
+        rest = np.maximum(left[live], 0) if n < len(parts) - 1 else np.zeros(len(live))
+        slack = norms[active][:, None] * np.sqrt(rest)[None] * (1 + 1e-9)
+        low = np.where(own, -np.inf, score - slack)
+        need = floor[active] if len(live) < k else np.maximum(floor[active], np.partition(low, len(live) - k, 1)[:, len(live) - k])
+        may = ~own & (score + slack >= need[:, None])
         done = (may.sum(1) <= few) | (n == len(parts) - 1)
         for i in np.flatnonzero(done):
-            at = np.flatnonzero(may[i])
-            out[active[i]] = at, x[at] @ q[active[i]]
-        active = active[~done]
+            found = live[may[i]]
+            out[active[i]] = found, x[found] @ q[active[i]]
+        stay = may[~done].any(0)
+        active, score, own = active[~done], score[~done], own[~done]
+        if stay.sum() < 0.7 * len(live):
+            # a member that no query wants is beaten by k others, which stay
+            live, score, own = live[stay], score[:, stay], own[:, stay]
+            row_of = np.full(len(x), -1)
+            row_of[live] = np.arange(len(live))
     for i in active if not parts else ():
         at = np.flatnonzero(~own[i])
         out[i] = at, np.zeros(len(at))
     return out
 
 
-def exact_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same for numbers too large for doubles: Python's integers."""
-    out = []
+def exact_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for numbers too large for doubles: Python's integers, one query at a time."""
     for i, q in zip(query_ids, queries.astype(object), strict=True):
         at = np.flatnonzero(ids != i)
-        out.append((at, np.array([int(v) for v in vectors[at].astype(object) @ q], dtype=np.int64)))
-    return out
+        yield at, np.array([int(v) for v in vectors[at].astype(object) @ q], dtype=np.int64)
 
 
-def searcher(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    def run(batches):
+class Best:
+    """The best k (id, score) of each query of a block so far. Scores are 64-bit integers; ``full`` tells the places that are taken."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.ids, self.scores, self.full = np.zeros((len(query_ids), k), np.int64), np.zeros((len(query_ids), k), np.int64), np.zeros((len(query_ids), k), bool)
+
+    def add(self, i: int, names: np.ndarray, scores: np.ndarray) -> None:
+        held = self.full[i]
+        names, scores = np.concatenate([self.ids[i, held], names]), np.concatenate([self.scores[i, held], scores.astype(np.int64)])
+        # from the highest score down, then from the smallest id up; ~x is -x - 1, which has no overflow
+        order = np.lexsort((names, ~scores))[: self.k]
+        self.ids[i, : len(order)], self.scores[i, : len(order)], self.full[i, : len(order)] = names[order], scores[order], True
+
+    def floor(self, part: slice) -> np.ndarray:
+        return np.where(self.full[part, -1], self.scores[part, -1], -np.inf)
+
+    def rows(self):
         import pyarrow as pa
 
-        best_id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
-        best = np.full((len(query_ids), k), -np.inf)
-        large: list = []
+        at, j = np.nonzero(self.full)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (self.query_ids[at], self.ids[at, j], self.scores[at, j])], names=["query_id", "vec_id", "score"])
+
+
+def searcher(k: int):
+    """Tiles (a block of queries beside a block of the index) to (query_id, vec_id, score)."""
+
+    def run(batches):
+        held: OrderedDict[bytes, Best] = OrderedDict()
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"])
-                width = max(x.shape[1], queries.shape[1])
-                x, q = np.pad(x, ((0, 0), (0, width - x.shape[1]))), np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-                parts = [(i, np.frombuffer(m, np.int32), np.frombuffer(d, np.int32), np.frombuffer(v, np.int64)) for i, m, d, v in zip(row["impacts"], row["members"], row["dimensions"], row["values"], strict=True)]
-                size = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
-                for at in range(0, len(q), QUERY_ROWS):
-                    part = slice(at, at + QUERY_ROWS)
-                    if size < 2**52:
-                        found = search_block(query_ids[part], q[part], ids, x, parts, best[part, -1], k)
-                    else:
-                        large += [(query_ids[at + i], ids[a], s) for i, (a, s) in enumerate(exact_block(query_ids[part], q[part], ids, x))]
-                        continue
-                    for i, (where, score) in enumerate(found, at):
-                        names, scores = np.concatenate([best_id[i], ids[where]]), np.concatenate([best[i], score])
-                        order = np.lexsort((names, -scores))[:k]
-                        best_id[i], best[i] = names[order], scores[order]
-        at, j = np.nonzero(best > -np.inf)
-        columns = [query_ids[at], best_id[at, j], best[at, j].astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-        for i, names, scores in large:
-            order = np.lexsort((names, -scores))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(order), i), names[order], scores[order])], names=["query_id", "vec_id", "score"])
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                best = held.pop(row["qids"], None) or Best(np.frombuffer(row["qids"], np.int64), k)
+                held[row["qids"]] = best
+                tile(best, row)
+                if len(held) > HELD:
+                    yield held.popitem(last=False)[1].rows()
+        for best in held.values():
+            yield best.rows()
+
+    def tile(best: Best, row: dict) -> None:
+        ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"])
+        q = np.frombuffer(row["qvectors"], np.int64).reshape(-1, row["qdims"])
+        width = max(x.shape[1], q.shape[1])
+        x, q = np.pad(x, ((0, 0), (0, width - x.shape[1]))), np.pad(q, ((0, 0), (0, width - q.shape[1])))
+        parts = [(i, np.frombuffer(m, np.int32), np.frombuffer(d, np.int32), np.frombuffer(v, np.int64)) for i, m, d, v in zip(row["impacts"], row["members"], row["dimensions"], row["values"], strict=True)]
+        size = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
+        for at in range(0, len(q), QUERY_ROWS):
+            part = slice(at, at + QUERY_ROWS)
+            if size < 2**52:
+                found = search_block(best.query_ids[part], q[part], ids, x, parts, best.floor(part), best.k)
+            else:
+                found = exact_block(best.query_ids[part], q[part], ids, x)
+            for i, (where, score) in enumerate(found, at):
+                best.add(i, ids[where], score)
 
     return run
 
 
+def _query_blocks(batches):
+    """Rows (vec_id, q) to blocks of at most ``QUERY_BYTES``, or of one row."""
+    import pyarrow as pa
+
+    schema = pa.schema([("qids", pa.binary()), ("qdims", pa.int32()), ("qvectors", pa.binary())])
+    for batch in batches:
+        at = 0
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        while at < len(batch):
+            widest = np.maximum.accumulate(lengths[at:])
+            n = max(1, int((8 * np.maximum(widest, 1) * np.arange(1, len(widest) + 1) <= QUERY_BYTES).sum()))
+            part = batch.slice(at, n)
+            matrix = as_matrix(part.column(1))
+            row = part.column(0).to_numpy().astype(np.int64).tobytes(), matrix.shape[1], matrix.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            at += n
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """queries: (vec_id, q) as from ``quantised``. Result: query_id, rank, vec_id, score."""
-    spark = index.sparkSession
-    bounded_batches(spark)
+    """queries: (vec_id, q) as from ``quantised``. Result: query_id, rank, vec_id, score.
+
+    All queries are asked of all rows, tile by tile: the cross join is one of blocks.
+    """
+    bounded_batches(index.sparkSession)
     asked = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    n, dims = asked.agg(F.count("*"), F.max(F.size("q"))).first()
-    groups = -(-n * 8 * max(dims or 1, 1) // QUERY_BYTES)
-    found = []
-    for g in range(groups):  # each group is bounded; the blocks are read once per group
-        table = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").toArrow()
-        if table.num_rows:
-            run = searcher(table.column("vec_id").to_numpy(), as_matrix(table.column("q").combine_chunks()), k)
-            found.append(index.mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
+    blocks = materialize(asked.mapInArrow(_query_blocks, QUERIES), "query_blocks")
+    found = index.crossJoin(blocks).mapInArrow(searcher(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
