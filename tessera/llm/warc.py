@@ -4,7 +4,8 @@ An archive is two tables. ``payloads`` holds every distinct payload once, under
 its SHA-256 (with its length beside it, and the SHA-1 that WARC headers print);
 ``headers`` holds the exact header block of each record and the digest that its
 payload has. A record is rebuilt by a join on the digest, and its payload is
-hashed again on the way out, so a damaged store fails instead of answering.
+hashed again on the way out, by SHA-256 against its address and by SHA-1 against its
+header, so a damaged store fails instead of answering.
 
 Defined cases: a null payload is an empty one; a null url is written as an empty
 target; each repeated row is a record of its own, and of rows with equal page_id
@@ -24,6 +25,7 @@ from .common import bounded_batches, materialize, new_path
 
 CRLF = "\r\n"
 RESPONSE, REVISIT = "response", "revisit"
+DATE = "1970-01-01T00:00:00Z"  # of pages that come without one
 #: Digits of Java's base 32 and of RFC 4648, in order.
 JAVA32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -41,8 +43,8 @@ class Archive:
     payloads: DataFrame
 
 
-def write_archive(rows: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> Archive:
-    """Write one WARC record per row. The payload bytes are shuffled once, already reduced to one copy per map task and digest."""
+def write_archive(rows: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", date: str = DATE, content_type: str = "text/html") -> Archive:
+    """Write one WARC record per row. The payload bytes are shuffled once, already reduced to one copy per map task and digest. ``date`` and ``content_type`` stand in every header."""
     spark = rows.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     given = rows.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
@@ -59,10 +61,10 @@ def write_archive(rows: DataFrame, key: str = "page_id", url: str = "url", paylo
     linked = index.join(first, ["sha256", "n_bytes"])
     is_first = F.col("row_no") == F.col("first.row_no")
     typed = linked.select("page_id", "url", "sha256", "n_bytes", "digest", F.when(is_first, RESPONSE).otherwise(REVISIT).alias("kind"), F.when(~is_first, F.col("first.page_id")).alias("origin"))
-    return Archive(materialize(typed.select("sha256", "n_bytes", header_block().alias("header")), "headers"), payloads)
+    return Archive(materialize(typed.select("sha256", "n_bytes", header_block(date, content_type).alias("header")), "headers"), payloads)
 
 
-def header_block() -> Column:
+def header_block(date: str = DATE, content_type: str = "text/html") -> Column:
     """The exact header of a record, to the empty line that ends it. A revisit's own block is empty; its payload is found by digest."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -74,9 +76,10 @@ def header_block() -> Column:
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(F.col("kind") == REVISIT, again).otherwise(F.lit("")),
+        F.when(F.col("kind") == REVISIT, again).otherwise(line("Content-Type", F.lit(content_type))),
         line("Content-Length", F.when(F.col("kind") == RESPONSE, F.col("n_bytes")).otherwise(F.lit(0)).cast("string")),
         F.lit(CRLF),
     )
@@ -99,11 +102,12 @@ def read_records(archive: Archive) -> DataFrame:
         F.substring(field(F.col("header"), "WARC-Payload-Digest"), 6, 32).alias("stated"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
+        (F.unhex(F.sha2("payload", 256)) == F.col("sha256")).alias("at_its_address"),
         "header",
         "payload",
     )
     wrong = F.raise_error(F.concat(F.lit("payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" does not have its digest")))
-    return read.withColumn("payload_digest", F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong)).drop("stated")
+    return read.withColumn("payload_digest", F.when((F.col("stated") == F.col("payload_digest")) & F.col("at_its_address"), F.col("payload_digest")).otherwise(wrong)).drop("stated", "at_its_address")
 
 
 def record_bytes(records: DataFrame) -> Column:
@@ -131,7 +135,7 @@ def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
 
 
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: page, type, digest and block; one file at a time per task."""
+    """Records of WARC files: record_id, record_type, payload_digest, refers_to, block, and payload, which for a revisit is the block of the response that it refers to (null if that is in none of the files). One file at a time per task."""
 
     def parsed(batches):
         import pyarrow as pa
@@ -144,14 +148,20 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
                         "record_id": [f.get("WARC-Record-ID") for f, _ in got],
                         "record_type": [f.get("WARC-Type") for f, _ in got],
                         "payload_digest": [f.get("WARC-Payload-Digest") for f, _ in got],
+                        "refers_to": [f.get("WARC-Refers-To") for f, _ in got],
                         "block": [b for _, b in got],
                     },
-                    schema=pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("block", pa.binary())]),
+                    schema=pa.schema([(k, pa.string()) for k in ("record_id", "record_type", "payload_digest", "refers_to")] + [("block", pa.binary())]),
                 )
 
     bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parsed, "record_id string, record_type string, payload_digest string, block binary")
+    records = files.mapInArrow(parsed, "record_id string, record_type string, payload_digest string, refers_to string, block binary")
+    records = materialize(records, "records", compression="zstd")
+    # a row that is written twice has one response and revisits of it, so (record, digest) names one response
+    found = records.where(F.col("record_type") == RESPONSE).select(F.col("record_id").alias("refers_to"), "payload_digest", F.col("block").alias("found"))
+    own = F.when(F.col("record_type") == RESPONSE, F.col("block")).otherwise(F.col("found"))
+    return records.join(found, ["refers_to", "payload_digest"], "left").select("record_id", "record_type", "payload_digest", "refers_to", "block", own.alias("payload"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
