@@ -92,15 +92,32 @@ def test_warc(spark, tmp_path):
     warc.export_warc(records, str(tmp_path / "w"))
     blocks = warc.import_warc(spark, str(tmp_path / "w" / "part-*")).collect()
     assert Counter(b.record_type for b in blocks) == Counter(g[3] for g in got)
+    assert Counter(digest(b.payload.decode()) for b in blocks) == Counter(b.payload_digest.removeprefix("sha1:") for b in blocks)
     assert {digest(b.block.decode()) for b in blocks if b.record_type == "response"} == {b.payload_digest.removeprefix("sha1:") for b in blocks if b.record_type == "response"}
     assert warc.read_records(warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_warc_without_ids(spark):
+    """A null page_id sorts first, so such a row is the response; mandatory header lines are there."""
+    rows = [(4, "u4", "same"), (None, None, "same"), (None, None, "other"), (1, "u1", None)]
+    records = warc.read_records(warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in records) == Counter([(4, "revisit", None, b"same"), (None, "response", None, b"same"), (None, "response", None, b"other"), (1, "response", None, b"")])
+    for r in records:
+        names = [line.split(":")[0] for line in r.header.split("\r\n")[1:] if line]
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(names)
+        assert ("Content-Type" in names) == (r.record_type == "response")
+
+
 def test_warc_damage_is_found(spark):
     archive = warc.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"))
     broken = warc.Archive(archive.headers, archive.payloads.withColumn("payload", F.lit(b"abd")))
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_records(broken).collect()
+    # a header that fits the damaged payload does not hide it: the address is a stronger digest
+    other = warc.write_archive(spark.createDataFrame([(1, "u", "abd")], "page_id long, url string, html string"))
+    lying = warc.Archive(other.headers.withColumn("sha256", F.lit(hashlib.sha256(b"abc").digest())), other.payloads.withColumn("sha256", F.lit(hashlib.sha256(b"abc").digest())))
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc.read_records(lying).collect()
 
 
 # 2
@@ -359,6 +376,46 @@ def test_sharding(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_every_row_lies_where_a_sequential_ring_puts_it(spark):
+    """Row by row: each goes to the shard of the next point while there is room; what is left over walks on clockwise, arc after arc."""
+    import bisect
+
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n in corpus(6, 200)] + [(500 + i, "hot text", "", "", 0) for i in range(150)] + [(None, None, "", "", 0)] * 2
+    df = plain(spark, rows)
+    body = F.coalesce("text", F.lit(""))
+    keyed = df.select("doc_id", F.xxhash64(F.xxhash64(body)).alias("key"), F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(16)).alias("slice")).collect()
+    points = sharding.ring(16, 64)
+    ends = [p for p, _ in points]
+    limits = [len(rows) // 16 + (s < len(rows) % 16) for s in range(16)]
+    arcs = defaultdict(list)
+    for r in keyed:
+        arcs[bisect.bisect_left(ends, r.key) % len(ends)].append(((r.slice, r.h), r.doc_id))
+    filled, where, waiting = [0] * 16, Counter(), []
+
+    def put(doc, shard):
+        where[doc, shard, filled[shard]] += 1
+        filled[shard] += 1
+
+    for arc in range(len(points)):
+        for _, doc in sorted(arcs[arc], key=lambda x: x[0]):
+            shard = points[arc][1]
+            if filled[shard] < limits[shard]:
+                put(doc, shard)
+            else:
+                waiting.append((arc, doc))
+    for arc, doc in waiting:
+        step = next(k for k in range(1, len(points)) if filled[points[(arc + k) % len(points)][1]] < limits[points[(arc + k) % len(points)][1]])
+        put(doc, points[(arc + step) % len(points)][1])
+    assert Counter((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df).collect()) == where
+
+
+def test_movement_at_the_registered_load(spark):
+    """Of 4,000 different texts, what a seventeenth shard moves: its own share, and what the exact bounds push on."""
+    df = plain(spark, [(i, f"text {i}", "", "", 0) for i in range(4000)])
+    a, b = ({r.doc_id: r.shard for r in sharding.shard_documents(df, shards=n).collect()} for n in (16, 17))
+    assert 1 / 17 <= sum(a[i] != b[i] for i in a) / 4000 < 0.2
+
+
 def test_ring_walk_bounds_and_movement():
     r = random.Random(1)
     keys = [r.getrandbits(64) - 2**63 for _ in range(20_000)]
@@ -475,6 +532,31 @@ def test_bounds_are_optimal_above_1024(spark, seed):
     assert len(bounds) == 5 and sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, 5)
 
 
+def test_packing_carries_columns(spark):
+    rows = [(i, t, a, b, c) for i, t, a, b, c in corpus(7, 20)] + [(3, "again", "", "", 0)] * 3 + [(None, None, None, None, None)] * 2
+    docs = plain(spark, rows).withColumn("slot", F.lit("own")).withColumn("Rank", F.lit(9)).withColumn("_slot", F.lit("also"))
+    got = packing.pack(docs, carry=True)
+    assert got.columns == [*packing.COLUMNS, "text", "lang", "source", "n_chars", "_slot", "_Rank", "__slot"]
+    assert Counter((r.doc_id, r.text, r._slot, r._Rank) for r in got.collect()) == Counter((i, t, "own", 9) for i, t, *_ in rows)
+    assert packing.pack(docs.limit(0), carry=True).count() == 0
+
+
+def test_token_batches(spark):
+    r = random.Random(2)
+    rows = [(i, [r.randrange(10, 99) for _ in range(r.choice([0, 3, 7, 30, 31, 500]))]) for i in range(80)] + [(90, None), (None, [5, 6]), (None, None), (7, [11]), (7, [11]), (95, [20] * 3000)]
+    got = packing.token_batches(spark.createDataFrame(rows, "doc_id long, ids array<int>"), buckets=3, budget=200).collect()
+    back = Counter()
+    for b in got:
+        assert len(b.tokens) == 1 or len(b.tokens) * b.width <= 200
+        for i, n, t in zip(b.doc_ids, b.lengths, b.tokens, strict=True):
+            assert len(t) == b.width and t[n - 1] == 2 and not any(t[n:])
+            back[i, tuple(t[: n - 1])] += 1
+    assert back == Counter((i, tuple(t or ())) for i, t in rows)
+    want = [len(t or ()) + 1 for _, t in rows]
+    assert sum(b.width * len(b.lengths) - sum(b.lengths) for b in got) == least_padding(want, 3)
+    assert packing.token_batches(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
 # 8 and 9
 
 
@@ -619,6 +701,41 @@ def test_chat(spark):
     assert empty.stream.count() == 0 and chat.read_back(empty).count() == 0
 
 
+def test_chat_long_conversation_with_many_sharers(spark):
+    """One conversation of 2,000 turns whose first turn 1,999 others share: read-back candidates are the path's nodes, no more."""
+    rows = [(0, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t else "hi") for t in range(2000)] + [(c, 0, "user", "hi") for c in range(1, 2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packed = chat.pack_conversations(df)
+    assert packed.stream.count() == 2000
+    assert chat.path_nodes(packed).count() == 3999
+    pairs = chat.path_nodes(packed).join(packed.stream, ["chain", "depth"])
+    assert pairs.count() == 3999
+    got = {x.conv_id: x for x in chat.read_back(packed).collect()}
+    assert len(got) == 2000 and got[0].n_turns == 2000 and got[5].n_turns == 1
+    assert got[0].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in rows[:2000]).encode()).hexdigest()
+
+
+def test_chat_in_tokens(spark):
+    """With a model, places count tokens: every conversation's intervals cut its own token ids from the stream, and loss intervals the assistants' texts."""
+
+    class Letters:
+        def encode(self, text):
+            return [ord(c) for part in text.split(" ") for c in [*part, " "]][:-1] if text else []
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "same" if t < 2 else f"own {c}") for c in range(8) for t in range(2 + c % 3)]
+    packed = chat.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Letters())
+    nodes = sorted(packed.stream.collect(), key=lambda n: n.start)
+    stream = [i for n in nodes for i in n.ids]
+    assert all(n.end - n.start == len(n.ids) and stream[n.start : n.end] == n.ids for n in nodes)
+    assert sum(len(n.ids) for n in nodes) < sum(len(chat.format_turn(r, t)) for _, _, r, t in rows)
+    for n in nodes:
+        if n.loss_start is not None:
+            assert "".join(map(chr, stream[n.loss_start : n.loss_end])) == chat.parse_turn(n.piece)[1]
+    for x in packed.paths.collect():
+        whole = "".join(chr(v) for i in x.intervals for v in stream[i.start : i.end])
+        assert whole == "".join(chat.format_turn(r, t) for c, _, r, t in rows if c == x.conv_id)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\l", "<s></s>", "[INST][/INST]", "\\\\<s>", "<<s>s>", "[[INST]", "a<b[c"])
 def test_escapes(text):
     assert chat.unescape(chat.escape(text)) == text

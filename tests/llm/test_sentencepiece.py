@@ -37,6 +37,77 @@ def test_round_trip(both):
         assert ours.decode(ours.encode(text)) == text
 
 
+def changed(**norm):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(Path(S.MODEL).read_bytes())
+    for k, v in norm.items():
+        setattr(model.normalizer_spec, k, v)
+    return model
+
+
+@pytest.mark.parametrize("norm", [{"add_dummy_prefix": False}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False, "remove_extra_whitespaces": True}])
+def test_normaliser_follows_the_specification(norm):
+    proto = changed(**norm).SerializeToString()
+    ours, theirs = S.compile_spec(proto), library.SentencePieceProcessor(model_proto=proto)
+    for text in TEXTS + ["   ", " a  b ", "a   "]:
+        assert ours.encode(text) == theirs.encode(text), text
+        assert ours.decode(ours.encode(text)) == theirs.decode(theirs.encode(text)), text
+
+
+def test_other_specifications_are_refused():
+    for change in ("charsmap", "suffix", "word", "user"):
+        model = changed()
+        if change == "charsmap":
+            model.normalizer_spec.precompiled_charsmap = b"x"
+        elif change == "suffix":
+            model.trainer_spec.treat_whitespace_as_suffix = True
+        elif change == "word":
+            model.trainer_spec.model_type = 3
+        else:
+            model.pieces[400].type = 4
+        with pytest.raises(ValueError, match="not supported"):
+            S.compile_spec(model.SerializeToString())
+
+
+def test_unigram_model_equals_the_library():
+    """A unigram model put together by hand: weights in eighths, so the cheapest path is not the longest match, and ties occur."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(1)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.normalizer_spec.CopyFrom(pb.NormalizerSpec(name="identity", add_dummy_prefix=True, remove_extra_whitespaces=False, escape_whitespaces=True))
+    names = {"▁": -3.0} | {c: -4.5 - k / 8 for k, c in enumerate("abcdé漢")}
+    while len(names) < 90:
+        names["".join(r.choice("abcdé▁") for _ in range(r.randint(2, 5)))] = -r.randint(24, 112) / 8
+    for piece, score, type_ in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((p, s, 1) for p, s in names.items())]:
+        model.pieces.add(piece=piece, score=score, type=type_)
+    proto = model.SerializeToString()
+    ours, theirs = S.compile_spec(proto), library.SentencePieceProcessor(model_proto=proto)
+    for _ in range(500):
+        text = "".join(r.choice("abcdé漢  ") for _ in range(r.randint(1, 40)))
+        assert ours.encode(text) == theirs.encode(text), text
+
+
+def test_costs_are_compared(both):
+    """The shortest path over all segmentations, by brute force with the same weights, is the one that is found, and the only finite one."""
+    ours, _ = both
+
+    def paths(text, before=-1):
+        if not text:
+            yield 0.0, []
+        for k in range(1, len(text) + 1):
+            i = ours.ids.get(text[:k], S.CHAR + ord(text) if k == 1 and len(text) == 1 else None)
+            if i is not None:
+                for c, rest in paths(text[k:], i):
+                    yield ours.weight(before, i) + c, [i, *rest]
+
+    for text in ["thinking", "unseen", "abra", "Ideas", "returns"]:
+        finite = [p for c, p in paths(S.MARK + text) if c < S.INFINITY]
+        assert finite == [ours.path(S.MARK + text)], text
+
+
 def test_unigram_weights_give_the_cheapest_path():
     pieces = ["<unk>", "▁", "▁a", "ab", "b", "abc", "c", "▁ab"]
     score = [0, -5, -2, -1.5, -2, -6, -3, -2.2]
