@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's str.split() takes for white space.
 SPACE_CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Fixed value: what a token is.
 TOKEN = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
 
 #: Function words that are dropped from questions.
@@ -28,44 +29,45 @@ and or but nor not no so if then also as
 )
 
 #: Phrasings that mark an answer as a refusal.
-REFUSAL_MARKERS = tuple(
-    """is missing
-are missing
-not in the context
-not in context
-not contained in
-does not contain
-doesn't contain
-does not provide
-doesn't provide
-does not specify
-doesn't specify
-does not mention
-doesn't mention
-does not state
-does not define
-doesn't define
-do not state
-do not specify
-do not provide
-do not contain
-do not mention
-do not define
-not available in
-not provided
-not specified
-not mentioned
-not stated
-no information
-cannot be determined
-can't be determined
-cannot answer
-can't answer
-unable to answer
-not answerable
-i don't know
-i do not know""".split("\n")
+REFUSAL_MARKERS = (
+    "is missing",
+    "are missing",
+    "not in the context",
+    "not in context",
+    "not contained in",
+    "does not contain",
+    "doesn't contain",
+    "does not provide",
+    "doesn't provide",
+    "does not specify",
+    "doesn't specify",
+    "does not mention",
+    "doesn't mention",
+    "does not state",
+    "does not define",
+    "doesn't define",
+    "do not state",
+    "do not specify",
+    "do not provide",
+    "do not contain",
+    "do not mention",
+    "do not define",
+    "not available in",
+    "not provided",
+    "not specified",
+    "not mentioned",
+    "not stated",
+    "no information",
+    "cannot be determined",
+    "can't be determined",
+    "cannot answer",
+    "can't answer",
+    "unable to answer",
+    "not answerable",
+    "i don't know",
+    "i do not know",
 )
+#: Another phrasing of a refusal; a number of two digits or more that stands alone.
 NONE_SPECIFIED = r"\bno\s+(?:\S+\s+){0,3}?(?:is|are)\s+specified\b"
 FIGURE = r"(?<![\d-])\d{2,}(?![\d-])"
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -29,26 +31,23 @@ def schema(axis: str) -> dict:
     return {"type": "object", "properties": {k: {"type": v} for k, v in kinds.items()}, "required": list(kinds)}
 
 
+#: A string, closed or not, or a brace.
+_PIECE = re.compile(r'"(?:[^"\\]|\\.?)*"?|[{}]', re.S)
+
+
 def first_object(text: str) -> str | None:
-    """The first balanced {...}: braces inside strings don't count; from an opening brace that is never closed the search goes on at the next one."""
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, k = 0, False, at
-        while k < len(text):
-            c = text[k]
-            if quoted:
-                if c == "\\":
-                    k += 1
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return text[at : k + 1]
-            k += 1
-        at = text.find("{", at + 1)
+    """The first stretch that opens with a brace and closes it, braces in strings aside; null if no brace is ever closed.
+
+    From each opening brace on, the pieces count +1, -1 or 0; the object ends with the
+    first piece at which the running sum is 0.
+    """
+    worth = {"{": 1, "}": -1}
+    for start in re.finditer("{", text):
+        pieces, closing = _PIECE.finditer(text, start.start()), _PIECE.finditer(text, start.start())
+        levels = accumulate(worth.get(p[0], 0) for p in pieces)
+        end = next((p.end() for level, p in zip(levels, closing, strict=True) if level == 0), None)
+        if end is not None:
+            return text[start.start() : end]
     return None
 
 
@@ -57,23 +56,23 @@ def truth(value) -> bool | None:
     return value if isinstance(value, bool) else WORDS.get(value.strip().lower()) if isinstance(value, str) else None
 
 
-def read_reply(axis: str, reply: str | None) -> dict:
-    """The verdict in a reply whose thinking blocks are gone."""
-    flags, texts = dict.fromkeys(BOOLEAN_FIELDS[axis]), dict.fromkeys(TEXT_FIELDS[axis], "")
-    out = {"ok": False, "error": None, "flags": flags, "texts": texts}
+def _object(reply: str | None) -> tuple[dict, str | None]:
+    """(what the reply's object holds, why it can't be used)."""
     blob = first_object(reply or "")
-    if blob is None:
-        return out | {"error": "no JSON object in the reply"}
     try:
-        data = json.loads(blob)
+        return (json.loads(blob), None) if blob else ({}, "the reply holds no object")
     except json.JSONDecodeError as e:
-        return out | {"error": f"invalid JSON: {e.msg}"}
-    for k in texts:
-        texts[k] = data[k].strip() if isinstance(data.get(k), str) else ""
-    for k in flags:
-        flags[k] = truth(data.get(k))
-    lacking = [k for k, v in flags.items() if v is None]
-    return out | ({"error": f"missing or non-boolean: {', '.join(lacking)}"} if lacking else {"ok": True})
+        return {}, f"the object is not JSON ({e.msg})"
+
+
+def read_reply(axis: str, reply: str | None) -> dict:
+    """The verdict in a reply whose thinking blocks are gone: every field of the axis is read by its kind; boolean ones must be there."""
+    held, why = _object(reply)
+    texts = {k: v.strip() if isinstance(v := held.get(k), str) else "" for k in TEXT_FIELDS[axis]}
+    flags = {k: truth(held.get(k)) for k in BOOLEAN_FIELDS[axis]}
+    silent = ", ".join(k for k in flags if flags[k] is None)
+    why = why or (f"neither true nor false: {silent}" if silent else None)
+    return {"ok": why is None, "error": why, "flags": flags, "texts": texts}
 
 
 def parse_verdict(axis: Column, raw: Column) -> Column:

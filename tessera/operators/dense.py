@@ -133,6 +133,22 @@ def _tiles(k: int, metric: str):
     return run
 
 
+def embed(rows: DataFrame, row_id: str, text: str, model, batch: int = 256) -> DataFrame:
+    """(vec_id, embedding) through ``model``, a function from a list of texts to rows of numbers: the hook for what makes vectors. Null texts are asked as empty ones."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for one in batches:
+            for at in range(0, len(one), batch):
+                part = one.slice(at, batch)
+                found = [[float(x) for x in row] for row in model([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+
+    ship_package(rows.sparkSession)
+    return rows.select(F.col(row_id).cast("long").alias("vec_id"), text).mapInArrow(run, "vec_id long, embedding array<float>")
+
+
 def search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
     """vectors (vec_id, embedding), questions (qid, embedding) to (qid, rank, vec_id, distance); ties by smaller vec_id.
 

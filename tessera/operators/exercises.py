@@ -75,7 +75,7 @@ def product_except_self(rows: DataFrame, by: str, pos: str, value: str) -> DataF
     sums = rows.groupBy(by).agg(F.count_if(v == 0).alias("__zeros"), F.count_if(v < 0).alias("__minus"), F.count_if(F.abs(v) >= 2).alias("__large"))
     few = sums.where(f"__zeros < 2 and __large <= {MOST_FACTORS}").select(by)
     one = F.lit(1).cast("decimal(38,0)")
-    times = F.aggregate(F.collect_list(F.abs(v).cast("decimal(38,0)")), one, lambda a, x: F.coalesce((a * x).try_cast("decimal(38,0)"), F.raise_error(F.lit("a product is beyond 64 bits")).cast("decimal(38,0)")))
+    times = F.aggregate(F.collect_list(F.abs(v).cast("decimal(38,0)")), one, lambda a, x: F.coalesce(F.try_multiply(a, x).cast("decimal(38,0)"), F.raise_error(F.lit("a product is beyond 64 bits")).cast("decimal(38,0)")))
     products = rows.where(F.abs(v) >= 2).join(few, by, "left_semi").groupBy(by).agg(times.alias("__product"))
     each = rows.join(sums, by).join(products, by, "left")
     others = F.col("__zeros") - (v == 0).cast("long")

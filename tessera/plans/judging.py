@@ -33,8 +33,8 @@ def phrase_refusals(spark, d):
 
 
 def phrase_markers(spark, d):
-    """Every marker inside every document's first words still marks a refusal; a plain one does not."""
-    head = F.element_at(F.split("text", r"\s"), 1)
+    """Every marker after every whole benchmark text still marks a refusal; a plain one does not."""
+    head = F.col("text")
     rows = table(spark, d, "benchmark").select("item_id", F.explode(F.array(*[F.lit(m) for m in (*T.REFUSAL_MARKERS, "no such curve is specified", "curve P-256 is specified", "all is well")])).alias("marker"), head.alias("head"))
     return rows.select("item_id", "marker", T.looks_like_refusal(F.concat("head", F.lit(" "), F.upper("marker"), F.lit("."))).alias("refusal"))
 
@@ -144,7 +144,7 @@ def score_disagreements(spark, d):
 
 def library_means(spark, d):
     rows = scored_events(spark, d).withColumn("c", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("a")))
-    return gates.library_means(rows, ["a", "b", "c"], 2)
+    return gates.library_means(rows, ["a", "b", "c"], rows.count())
 
 
 def score_cuts(spark, d):
@@ -277,8 +277,9 @@ def top_k_frequent(spark, d):
 
 
 def multiset_intersect(spark, d):
-    docs = table(spark, d, "documents").select("source", F.explode(T.tokens(F.col("text"))).alias("word"))
-    return X.multiset_intersect(docs.where("source = 'src1'").select("word"), docs.where("source = 'src2'").select("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Words that texts in English or German share with texts in any other language or none, as often as both have them."""
+    docs = table(spark, d, "documents").select(F.coalesce(F.col("lang").isin("en", "de"), F.lit(False)).alias("west"), F.explode(T.tokens(F.col("text"))).alias("word"))
+    return X.multiset_intersect(docs.where("west").select("word"), docs.where("not west").select("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def two_sum(spark, d):
@@ -286,12 +287,12 @@ def two_sum(spark, d):
 
 
 def product_except_self(spark, d):
-    rows = table(spark, d, "nation").select("n_regionkey", "n_nationkey", (F.col("n_nationkey") - 3).alias("v"))
+    rows = table(spark, d, "nation").select("n_regionkey", "n_nationkey", ((F.col("n_nationkey") - 3) * 1009).alias("v"))
     return X.product_except_self(rows, "n_regionkey", "n_nationkey", "v")
 
 
 def longest_substr_no_repeat(spark, d):
-    return table(spark, d, "pages").select("page_id", X.longest_without_repeat(F.col("url")).cast("long").alias("longest"))
+    return table(spark, d, "pages").select("page_id", X.longest_without_repeat(F.col("html")).cast("long").alias("longest"))
 
 
 def is_palindrome(spark, d):
@@ -375,7 +376,7 @@ _MARKERS = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in (*T.REFUSAL
 
 ORACLES = {
     "phrase_refusals": f"SELECT role, count(*) AS n, count(*) FILTER ({_MARK.format('text')}) AS refused FROM conversations GROUP BY role",
-    "phrase_markers": f"WITH m AS (SELECT item_id, unnest({_MARKERS}) AS marker, regexp_extract(text, '^[^ \\t\\n\\r\\f\\x0b]*') AS head FROM benchmark) SELECT item_id, marker, {_MARK.format(chr(40) + 'head || chr(32) || upper(marker) || chr(46)' + chr(41))} AS refusal FROM m",
+    "phrase_markers": f"WITH m AS (SELECT item_id, unnest({_MARKERS}) AS marker, text AS head FROM benchmark) SELECT item_id, marker, {_MARK.format(chr(40) + 'head || chr(32) || upper(marker) || chr(46)' + chr(41))} AS refusal FROM m",
     "judged_summary": f"WITH {_DEC}, r AS (SELECT *, {_CLEAN} AS clean, {_MARK.format('answer')} AS phrase FROM d) SELECT coalesce(refusal_type, 'all') AS grp, count(*) AS n, count(clean) AS decided, count(*) FILTER (clean) AS clean, count(*) FILTER (refused) AS refused, count(*) FILTER (fabricated) AS fabricated, count(*) - count(clean) AS undecided, round(coalesce(count(*) FILTER (clean) / nullif(count(clean), 0), 0), 6) AS clean_rate, round(count(*) FILTER (phrase) / count(*), 6) AS phrase_rate FROM r GROUP BY GROUPING SETS ((), (refusal_type))",
     "decision_matrix": f"WITH {_DEC} SELECT count(*) FILTER (refused AND NOT fabricated) AS refused_clean, count(*) FILTER (refused AND fabricated) AS refused_fabricated, count(*) FILTER (NOT refused AND NOT fabricated) AS answered_clean, count(*) FILTER (NOT refused AND fabricated) AS answered_fabricated, count(*) FILTER (refused IS NULL OR fabricated IS NULL) AS undecided FROM d",
     "hand_clean": f"WITH {_DEC} SELECT doc_id, CASE WHEN refused IS NULL OR fabricated IS NULL THEN NULL WHEN refusal_type = 'src1' THEN false ELSE refused AND NOT fabricated END AS hand_clean, {_CLEAN} AS clean FROM d",
@@ -393,7 +394,7 @@ ORACLES = {
     "recordings_diff": f"WITH {_DEC}, t AS (SELECT conv_id AS q, min(text) AS m, count(*) > 4 AS v, bool_or(role = 'system') AS l FROM conversations GROUP BY 1) SELECT count(*) AS shared, count(*) FILTER (answer <> m) AS answers_changed, count(*) FILTER (refused IS DISTINCT FROM v) AS verdicts_moved, count(*) FILTER (fabricated <> l) AS labels_moved FROM d JOIN t ON d.doc_id = t.q",
     "score_correlation": f"WITH {_EV} SELECT event_type, count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS r, count(*) FILTER (abs(a - b) > 0.5) AS far_apart FROM ev WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY event_type",
     "score_disagreements": f"WITH {_EV} SELECT question, round(abs(a - b), 6) AS gap FROM ev WHERE round(abs(a - b), 6) > 0.6 ORDER BY gap DESC, question LIMIT 6",
-    "library_means": f"WITH {_EV} SELECT round(avg(round(a, 4)), 4) AS a, round(avg(round(b, 4)), 4) AS b, round(avg(CASE WHEN event_type <> 'error' THEN round(a, 4) END), 4) AS c FROM ev",
+    "library_means": f"WITH {_EV}, s AS (SELECT round(a, 4) AS a, round(b, 4) AS b, CASE WHEN event_type <> 'error' THEN round(a, 4) END AS c FROM ev) SELECT CASE WHEN count(a) = count(*) THEN round(avg(a), 4) END AS a, CASE WHEN count(b) = count(*) THEN round(avg(b), 4) END AS b, CASE WHEN count(c) = count(*) THEN round(avg(c), 4) END AS c FROM s",
     "score_cuts": f"WITH {_EV}, k AS (SELECT b, label FROM ev WHERE b IS NOT NULL), cuts AS (SELECT DISTINCT b AS cut FROM k UNION SELECT 0.5), m AS (SELECT cut, count(*) FILTER (b >= cut AND label) AS yy, count(*) FILTER (b >= cut AND NOT label) AS yn, count(*) FILTER (b < cut AND label) AS ny, count(*) FILTER (b < cut AND NOT label) AS nn, count(*) AS n FROM cuts, k GROUP BY cut) SELECT cut, yy + nn AS agree, round((yy + nn) / n, 6) AS rate, {_KAPPA} AS kappa FROM m",
     "split_assignment": f"WITH {_REC}, {_ASSIGN.format('true', 'a')} SELECT question, split FROM a_all",
     "split_extension": f"""WITH {_REC}, {_ASSIGN.format("lang IN ('en', 'de')".replace("lang", "rec.lang"), 'a').replace('FROM rec r JOIN a o ON r.para = o.question WHERE rec.lang', 'FROM rec r JOIN a o ON r.para = o.question WHERE r.lang')},
@@ -416,12 +417,18 @@ SELECT * FROM x UNION ALL SELECT r.question, k.split FROM rec r JOIN k ON r.para
     "group_anagrams": f"WITH {_BW}, w AS (SELECT DISTINCT word FROM bw) SELECT array_to_string(list_sort(string_split(word, '')), '') AS letters, count(*) AS n, min(word) AS first, max(word) AS last FROM w GROUP BY 1",
     "contains_duplicate": f"WITH {_BW} SELECT word, count(*) AS n FROM bw GROUP BY word HAVING count(*) > 1",
     "top_k_frequent": f"WITH {_BW} SELECT word AS value, count(*) AS n, min(item_id * 100000 + \"at\") AS first_pos FROM bw GROUP BY word ORDER BY n DESC, first_pos LIMIT 20",
-    "multiset_intersect": "WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-.][a-z0-9]+)*')) AS word FROM documents) SELECT word, count(*) AS n FROM (SELECT word FROM w WHERE source = 'src1' INTERSECT ALL SELECT word FROM w WHERE source = 'src2') GROUP BY word",
+    "multiset_intersect": "WITH w AS (SELECT coalesce(lang IN ('en', 'de'), false) AS west, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-.][a-z0-9]+)*')) AS word FROM documents), c AS (SELECT word, count(*) FILTER (west) AS a, count(*) FILTER (NOT west) AS b FROM w GROUP BY word) SELECT word, least(a, b) AS n FROM c WHERE a > 0 AND b > 0",
     "two_sum": "SELECT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON a.n_chars + b.n_chars = 2000 AND a.doc_id < b.doc_id ORDER BY j, i DESC LIMIT 1",
-    "product_except_self": "SELECT a.n_regionkey, a.n_nationkey, product(b.n_nationkey - 3)::BIGINT AS product FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY ALL",
+    "product_except_self": "SELECT a.n_regionkey, a.n_nationkey, list_reduce(list(((b.n_nationkey - 3) * 1009)::HUGEINT), lambda x, y: x * y)::BIGINT AS product FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY ALL",
     "is_palindrome": f"WITH {_BW}, t AS (SELECT item_id, \"at\", regexp_replace(word || ' ' || CASE WHEN \"at\" % 2 = 0 THEN reverse(word) ELSE word END, '[^a-z0-9]', '', 'g') AS p FROM bw) SELECT item_id, \"at\"::INTEGER AS \"at\", p = reverse(p) AS palindrome FROM t",
     "string_to_integer": "WITH t AS (SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) * CASE WHEN event_id % 5 = 0 THEN (user_id || '99999999999')::HUGEINT ELSE user_id END AS v FROM events) SELECT event_id, greatest(-2147483648, least(2147483647, v))::INTEGER AS number FROM t",
     "sudoku_conflicts": "WITH c AS (SELECT (event_id % 81) // 9 AS r, event_id % 9 AS c, user_id % 9 + 1 AS digit FROM events), u AS (SELECT 'row' AS unit, r AS \"at\", digit FROM c UNION ALL SELECT 'col', c, digit FROM c UNION ALL SELECT 'box', r // 3 * 3 + c // 3, digit FROM c) SELECT unit, \"at\", digit, count(*) AS n FROM u GROUP BY ALL HAVING count(*) > 1",
     "prefix_minimum": "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS minimum FROM events",
-    "longest_substr_no_repeat": "SELECT page_id, (SELECT max(n) FROM (SELECT unnest(range(1, length(url) + 1)) AS s), LATERAL (SELECT max(n) AS n FROM (SELECT unnest(range(1, length(url) - s + 2)) AS n) WHERE len(list_distinct(string_split(substr(url, s, n), ''))) = n))::BIGINT AS longest FROM pages",
+    "longest_substr_no_repeat": "WITH c AS (SELECT page_id, unnest(string_split(html, '')) AS c, generate_subscripts(string_split(html, ''), 1) AS i FROM pages), p AS (SELECT page_id, i, lag(i) OVER (PARTITION BY page_id, c ORDER BY i) AS before FROM c), m AS (SELECT page_id, i - coalesce(max(before) OVER (PARTITION BY page_id ORDER BY i), 0) AS n FROM p) SELECT page_id, max(n)::BIGINT AS longest FROM m GROUP BY page_id",
+    "figures": "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '[0-9-]+'), lambda x: regexp_matches(x, '^[0-9]{2,}$')))), ',') AS figures FROM pages",
+    "valid_parentheses": "SELECT page_id, list_reduce(list_prepend('', regexp_extract_all(html, '[()\\[\\]{}]')), lambda s, c: CASE WHEN s = '!' THEN '!' WHEN c IN ('(', '[', '{') THEN s || c WHEN right(s, 1) || c IN ('()', '[]', '{}') THEN left(s, length(s) - 1) ELSE '!' END) = '' AS valid FROM pages",
+    "one_per_team": "SELECT source, doc_id FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('0-' || doc_id), doc_id) = 1",
+    "random_carriers": f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(attack|threat|malware|exploit|adversar)') ORDER BY md5('0-' || doc_id), doc_id LIMIT 50",
+    "parse_verdicts": f"""WITH {_DEC}, r AS (SELECT doc_id, lang NOT IN ('es', 'de') AS ok, lang, refused, fabricated FROM d WHERE refused IS NOT NULL)
+SELECT doc_id, ok, CASE lang WHEN 'es' THEN 'the reply holds no object' WHEN 'de' THEN 'neither true nor false: refused' END AS error, CASE WHEN ok THEN refused AND NOT fabricated END AS decision, false AS quote_missing FROM r""",
 }

@@ -109,3 +109,15 @@ def add_scores(scores: DataFrame, path: str) -> None:
 def save_tasks(tasks: DataFrame, path: str, key: str = "id") -> None:
     """Tasks of a usefulness log, in the order of their ids."""
     tasks.orderBy(key).write.mode("overwrite").parquet(path)
+
+
+def write_split(records: DataFrame, path: str, extend: bool = False) -> DataFrame:
+    """Assign records (question, pos, stratum, paraphrase_of) to halves and write the table. One that is there is an error; with ``extend`` only questions that it lacks are added, and nothing moves."""
+    from ..operators import splits
+
+    spark = records.sparkSession
+    if extend:
+        splits.extend(records, spark.read.parquet(path)).write.mode("append").parquet(path)
+    else:
+        splits.assign(records).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shipping import ship_package
+
 REFUSAL_TYPES, SPLITS = ("in_corpus_gap", "out_of_corpus"), ("dev", "test")
 SPAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("distance", T.DoubleType()), T.StructField("text", T.StringType())])
 LABELS = "struct<refused:boolean,fabricated:boolean,misdirected:boolean,note:string>"
@@ -36,10 +40,23 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(source, text): a text file per document, source from its name; other kinds of file need a reader that gives these columns."""
+def read_documents(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(source, text): a file per document, source from its name. Files are UTF-8 text, or what ``pages`` reads: from a file's bytes to the texts of its pages, which line ends join."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source"), F.decode("content", "utf-8").alias("text"))
+    source = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source")
+    if pages is None:
+        return files.select(source, F.decode("content", "utf-8").alias("text"))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(len(batch)):
+                text = "\n".join(pages(batch.column(1)[i].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([text], pa.string())], names=["source", "text"])
+
+    ship_package(spark)
+    return files.select(source, "content").mapInArrow(read, "source string, text string")
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

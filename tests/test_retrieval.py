@@ -175,3 +175,66 @@ def test_poison_and_calibration(spark):
     d = spark.createDataFrame([(True, 0.2), (True, 0.4), (False, 0.6)], "on_topic boolean, distance double")
     assert tuple(security.calibration_gap(d).first()) == (0.4, 0.6, 0.2, 0.5)
     assert security.calibration_gap(d.withColumn("distance", F.lit(1.0))).first().threshold is None
+
+
+def test_dense_without_usable_vectors(spark):
+    """Null and ragged vectors, and components that are null or no number, on either side; blocks of a few rows."""
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (8, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = dense.search(v, v.withColumnRenamed("vec_id", "qid"), 3).collect()
+    ok = {i: (x + [0.0] * 3)[:3] for i, x in rows if i in (0, 5, 6, 7, 8)}
+    for q in ok:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(ok[q], x, strict=True)), i) for i, x in ok.items())[:3]
+        assert [(x.distance, x.vec_id) for x in sorted((x for x in got if x.qid == q), key=lambda x: x["rank"])] == want
+    assert {x.qid for x in got} == set(ok)
+    assert dense.search(v.limit(0), v.withColumnRenamed("vec_id", "qid"), 3).count() == 0
+
+
+def test_dense_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(dense, "HELD", 2)
+    r = random.Random(4)
+    v = [(i, [round(r.gauss(0, 1), 1) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").coalesce(2)
+    got = {}
+    for x in dense.search(df, df.withColumnRenamed("vec_id", "qid"), 4).collect():
+        got.setdefault(x.qid, []).append((x["rank"], x.distance, x.vec_id))
+    for q, a in v:
+        want = sorted((round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)), 9), i) for i, b in v)[:4]
+        assert [i for _, _, i in sorted(got[q])] == [i for _, i in want]
+
+
+def test_embedding_hook(spark):
+    rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(5)], "id long, text string")
+    got = {r.vec_id: list(r.embedding) for r in dense.embed(rows, "id", "text", lambda texts: [[len(t), 1] for t in texts], batch=2).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(5)}
+
+
+def test_stored_index(spark, tmp_path):
+    d = chunks.chunk_documents(docs(spark, "alpha beta beta", "beta gamma", "", "delta alpha"))
+    lexical.store(d, str(tmp_path / "ix"))
+    q = spark.createDataFrame([(0, "alpha beta"), (1, "nothing")], "qid long, question string")
+    cols = ["qid", "rank", "chunk_id", "score"]
+    want = sorted(lexical.search(lexical.build(d), q, 5).select(cols).collect())
+    assert want and sorted(lexical.search(lexical.load(spark, str(tmp_path / "ix"), q), q, 5).select(cols).collect()) == want
+    assert sorted(lexical.search(lexical.load(spark, str(tmp_path / "ix")), q, 5).select(cols).collect()) == want
+
+
+def test_search_function_feeds_the_metrics(spark):
+    from tessera.operators import reports
+
+    asked = spark.createDataFrame([(1, "g"), (2, "g")], "qid long, grp string")
+    gold = spark.createDataFrame([(1, 0, "two words"), (2, 0, "never there")], "qid long, ctx_no int, ctx string")
+    found = lambda q, k: spark.createDataFrame([(1, 1, "none"), (1, 2, "has two  words in it")], "qid long, rank int, text string").where(F.col("rank") <= k)
+    got = {r.qid: (r["rank"], r.coverage) for r in reports.evaluate_retrieval(asked, gold, found).collect()}
+    assert got == {1: (2, 1.0), 2: (None, 0.0)}
+
+
+def test_counts_are_observed(spark):
+    from pyspark.sql import Observation
+
+    from tessera.operators import reports
+
+    watch = Observation("flow")
+    rows = spark.range(10).observe(watch, F.count("*").alias("rows"))
+    assert reports.observe_counts(rows, "named", even=F.col("id") % 2 == 0).count() == 10 and watch.get["rows"] == 10

@@ -25,11 +25,11 @@ def test_first_object():
     [
         ("refused", '{"evidence": "e", "answered_anyway": false, "refused": true}', True, True, None),
         ("refused", '<think>{"refused": 1}</think>```{"answered_anyway": " YES ", "refused": "true"}```', True, False, None),
-        ("refused", '{"answered_anyway": false, "refused": 1}', False, None, "missing or non-boolean: refused"),
+        ("refused", '{"answered_anyway": false, "refused": 1}', False, None, "neither true nor false: refused"),
         ("fabricated", '{"fabricated": "no"}', True, False, None),
-        ("misdirected", '{"mismatch_named": null}', False, None, "missing or non-boolean: mismatch_named, misdirected"),
-        ("fabricated", None, False, None, "no JSON object in the reply"),
-        ("fabricated", "{bad}", False, None, "invalid JSON: Expecting property name enclosed in double quotes"),
+        ("misdirected", '{"mismatch_named": null}', False, None, "neither true nor false: mismatch_named, misdirected"),
+        ("fabricated", None, False, None, "the reply holds no object"),
+        ("fabricated", "{bad}", False, None, "the object is not JSON (Expecting property name enclosed in double quotes)"),
     ],
 )
 def test_parse(spark, axis, raw, ok, decision, error):
@@ -275,3 +275,73 @@ def test_every_shape_is_tried(spark):
     shapes = spark.range(O.SENT_SHAPES + 200).select(F.concat(F.lit("m"), "id").alias("mode"), F.lit("3").alias("prompt_version"))
     cache = O.content_keys(rows, shapes).select("key", "mode", "prompt_version", F.lit(1).alias("judged"), F.lit(True).alias("decision"))
     assert O.entries_for(rows, cache).count() == O.SENT_SHAPES + 200
+
+
+def test_products_are_exact(spark):
+    """Beyond what a double holds, with zeros, signs and ones; a product beyond 64 bits is an error."""
+    def got(*groups):
+        rows = [(g, i, v) for g, values in enumerate(groups) for i, v in enumerate(values)]
+        out = exercises.product_except_self(spark.createDataFrame(rows, "g int, i int, v long"), "g", "i", "v").orderBy("g", "i").collect()
+        return [[r.product for r in out if r.g == g] for g in range(len(groups))]
+
+    def want(values):
+        return [math.prod(values[:i] + values[i + 1 :]) for i in range(len(values))]
+
+    groups = [[999_984, 999_985, 999_986, 1], [3, -5, 0, 7], [0, 2, 0], [-1, 1, -1], [2**62, 1, -1], [-(2**31), 2**31, 3], [5], [2] * 62 + [1] * 300, [0, *[9] * 100, 0]]
+    assert got(*groups) == [want(g) for g in groups]
+    for values in ([2**62, 3, 5], [3] * 80, [0, *[9] * 40], [2**40] * 4):
+        with pytest.raises(Exception, match="64 bits"):
+            got(values)
+
+
+def test_sorted_searches(spark):
+    rows = spark.createDataFrame(list(enumerate([1, 3, 3, 5, 8, 9])), "i int, v int")
+    assert [tuple(r) for r in exercises.two_sum_sorted(rows, "i", "v", 11).collect()] == [(1, 4)]
+    assert exercises.two_sum_sorted(rows, "i", "v", 100).count() == 0
+    assert exercises.find_sorted(rows, "i", "v", 3).first()["at"] == 1 and exercises.find_sorted(rows, "i", "v", 4).first()["at"] == -1
+    assert exercises.in_matrix(rows, "v", 8).first().found and not exercises.in_matrix(rows, "v", 7).first().found
+    assert exercises.in_matrix(rows.limit(0), "v", 7).first().found is False
+
+
+def test_resumed_scores_and_baselines(spark):
+    from tessera.operators import gates
+
+    held = spark.createDataFrame([("a", 0.5, None), ("b", float("nan"), 1.0), ("c", float("inf"), 0.0)], "question string, x double, y double")
+    asked = spark.createDataFrame([(q,) for q in "abcd"], "question string")
+    assert sorted(map(tuple, gates.scores_to_make(asked, held, ["x", "y"]).collect())) == [("a", "y"), ("b", "x"), ("c", "x"), ("d", "x"), ("d", "y")]
+    delta = {r.metric: (r.before, r.after, r.delta) for r in gates.baseline_delta(held, held.where("question = 'b'"), ["x", "y"]).collect()}
+    assert delta == {"x": (0.5, None, None), "y": (0.5, 1.0, 0.5)}
+    runs = spark.createDataFrame([(0, "q", True, False), (0, "r", True, None), (1, "q", False, False)], "run int, question string, refused boolean, fabricated boolean")
+    assert sorted(map(tuple, gates.clean_per_run(runs).collect())) == [(0, 2, 1, 1), (1, 1, 1, 0)]
+
+
+def test_trace_both_ways(spark):
+    from tessera.operators import trace
+
+    reqs = spark.createDataFrame([("r1", ["t1", "t9"], ["e1"]), ("r2", None, ["e9"]), ("r3", [], None)], "id string, tests array<string>, evidence array<string>")
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    got = sorted((r.problem, r.id or "", r.ref or "") for r in trace.unproved(reqs, one("t1", "t2"), one("e1")).collect())
+    assert got == [("dangling test", "", "t2"), ("missing evidence", "r2", "e9"), ("missing tests", "r1", "t9"), ("unproved", "r3", "")]
+    assert tuple(trace.counts(reqs.withColumn("gate", F.col("id") == "r1")).first()) == (3, 2, 1)
+
+
+def test_failures(spark):
+    from tessera.operators import reports
+
+    rows = [("a", True, False, "That is not stated."), ("b", True, True, "Forty."), ("c", False, False, "It is not specified."), ("d", None, True, "x"), ("e", False, None, None)]
+    df = spark.createDataFrame(rows, "question string, refused boolean, fabricated boolean, answer string").withColumn("refusal_type", F.lit("x"))
+    got = sorted(map(tuple, reports.failures(df).collect()))
+    assert got == [("b", "fabricated"), ("b", "refused without a phrase"), ("c", "a phrase without a refusal"), ("c", "not refused"), ("d", "fabricated"), ("d", "undecided"), ("e", "not refused"), ("e", "undecided")]
+    assert tuple(reports.by_class(df).first()) == ("x", 5, 3, 1)
+
+
+def test_ranges_take_the_place_of_windows(spark):
+    """Cuts, places and draws over one hot group, against plain loops."""
+    from tessera.operators import ranks
+
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "hot", "cold", None]), r.randrange(40), i) for i in range(200)]
+    got = {x.i: x.k for x in ranks.ordered_rank(spark.createDataFrame(rows, "g string, p int, i int"), "g", ["p", "i"], "k").collect()}
+    for g in ("hot", "cold", None):
+        assert [got[i] for _, i in sorted((p, i) for h, p, i in rows if h == g)] == list(range(sum(h == g for h, _, _ in rows)))
+    assert ranks.slices_for(10) == 16 and ranks.slices_for(10**8) == 100 and ranks.slices_for(10**15) == ranks.MOST_SLICES
