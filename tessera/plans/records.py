@@ -139,8 +139,8 @@ def requirement_counts(spark, d):
 
 def mcnemar_large(spark, d):
     """Groups of thousands of discordant pairs, near balance."""
-    cells = table(spark, d, "lineitem").groupBy("l_shipmode").agg(F.count_if(F.col("l_suppkey") % 2 == 0).alias("b"), F.count_if(F.col("l_suppkey") % 2 == 1).alias("c"))
-    return cells.select("l_shipmode", "b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+    cells = table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.count_if(F.col("l_suppkey") % 2 == 0).alias("b"), F.count_if(F.col("l_suppkey") % 2 == 1).alias("c"))
+    return cells.select("l_linestatus", "b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
 
 
 def two_sum_sorted(spark, d):
@@ -228,7 +228,7 @@ e AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS ref FROM supplier WHE
 SELECT 'missing tests' AS problem, id, ref FROM t WHERE ref NOT IN (SELECT ref FROM p) UNION ALL SELECT 'missing evidence', id, ref FROM e WHERE ref NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey <> 2)
 UNION ALL SELECT 'dangling test', NULL, ref FROM p WHERE ref NOT IN (SELECT ref FROM t) UNION ALL SELECT 'unproved', 's' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 8 = 0""",
     "requirement_counts": "SELECT count(*) AS requirements, sum(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 3 ELSE 0 END)::BIGINT AS tests, count(*) FILTER (s_suppkey % 5 = 0) AS gates FROM supplier",
-    "mcnemar_large": "WITH c AS (SELECT l_shipmode, count(*) FILTER (l_suppkey % 2 = 0) AS b, count(*) FILTER (l_suppkey % 2 = 1) AS c FROM lineitem GROUP BY 1) SELECT l_shipmode, b, c, round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6)::DOUBLE AS p FROM c",
+    "mcnemar_large": "WITH c AS (SELECT l_linestatus, count(*) FILTER (l_suppkey % 2 = 0) AS b, count(*) FILTER (l_suppkey % 2 = 1) AS c FROM lineitem GROUP BY 1) SELECT l_linestatus, b, c, round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6)::DOUBLE AS p FROM c",
     "two_sum_sorted": "SELECT a.c_custkey AS i, b.c_custkey AS j FROM customer a JOIN customer b ON a.c_custkey + b.c_custkey = 120 AND a.c_custkey < b.c_custkey ORDER BY i, j DESC LIMIT 1",
     "sorted_searches": "SELECT 'last' AS what, max(o_orderkey)::BIGINT AS \"at\" FROM orders UNION ALL SELECT 'absent', -1 UNION ALL SELECT 'cell', bool_or(l_partkey = 1)::BIGINT FROM lineitem",
     "question_groups": f"WITH {_J._REC}, g AS (SELECT CASE WHEN r.para IS NOT NULL THEN 'paraphrase' WHEN d.source = 'src4' THEN 'multi_hop' ELSE 'original' END AS grp FROM rec r JOIN documents d ON d.doc_id = r.question) SELECT grp, count(*) AS n FROM g GROUP BY grp",
