@@ -10,9 +10,9 @@ from ..sources.scratch import materialize
 SLICE_ROWS, MOST_SLICES = 1_000_000, 65_536
 
 
-def slices_for(rows: int, least: int = 16) -> int:
-    """Slices of about ``SLICE_ROWS`` rows, were all rows in one group."""
-    return max(least, min(MOST_SLICES, -(-rows // SLICE_ROWS)))
+def slices_for(rows: int, least: int = 16, per: int = SLICE_ROWS) -> int:
+    """Slices of about ``per`` rows, or of as much of any other measure of the table, were all rows in one group."""
+    return max(least, min(MOST_SLICES, -(-rows // per)))
 
 
 def gapless_rank(df: DataFrame, group: str | list[str], order: list[Column], name: str, spread: Column, slices: int) -> DataFrame:
