@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
+from ..sources.scratch import materialize
 
 SIZE, OVERLAP = 800, 160
 SENT_SPANS = 2000
@@ -98,13 +99,25 @@ def validate_contexts(spans: DataFrame, docs: DataFrame, chunks: DataFrame) -> D
     return flags.select("span_id", status.alias("status"))
 
 
+def statuses(spans: DataFrame, docs: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
+    """(size, overlap, span_id, status) as ``validate_contexts`` gives it, for several window sizes: the corpus is searched once, and only documents that hold a span are cut."""
+    wanted = materialize(spans.select("span_id", norm_text(F.col("span")).alias("span")), "spans")
+    bodies = docs.select(F.col("source").cast("string").alias("source"), "text")
+    found = materialize(occurrences(bodies.select("source", norm_text(F.col("text")).alias("body")), wanted), "found")
+    held = materialize(bodies.join(found.select("source").distinct(), "source", "left_semi"), "held")
+    pieces = None
+    for size, overlap in configs:
+        one = chunk_documents(held, size, overlap).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "source", norm_text(F.col("text")).alias("piece"))
+        pieces = one if pieces is None else pieces.unionByName(one)
+    inside = found.join(wanted, "span_id").join(pieces, "source").where(F.contains("piece", "span")).select("size", "overlap", "span_id").distinct().withColumn("chunk", F.lit(True))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in configs])).alias("c")
+    all_ = wanted.select("span_id", each).select("span_id", "c.*").join(found.select("span_id").distinct().withColumn("doc", F.lit(True)), "span_id", "left").join(inside, ["size", "overlap", "span_id"], "left")
+    return all_.select("size", "overlap", "span_id", F.when(F.col("chunk"), "OK").when(F.col("doc"), "SPLIT").otherwise("MISSING").alias("status"))
+
+
 def ceilings(spans: DataFrame, docs: DataFrame, configs: list[tuple[int, int]], k: int = 5) -> DataFrame:
     """Per (size, overlap): questions of which a span fits one chunk, and of which one could fit k adjacent chunks."""
-    out = None
-    for size, overlap in configs:
-        held = validate_contexts(spans, docs, chunk_documents(docs, size, overlap)).where("status = 'OK'").agg(F.count("*").alias("in_one_chunk"))
-        reach = (k - 1) * (size - overlap) + size
-        fits = spans.agg(F.count_if(F.length(norm_text(F.col("span"))) <= reach).alias("within_k"), F.count("*").alias("n"))
-        one = held.crossJoin(fits).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "n", "in_one_chunk", "within_k")  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    lengths = spans.select("span_id", F.length(norm_text(F.col("span"))).alias("length"))
+    reach = (k - 1) * (F.col("size") - F.col("overlap")) + F.col("size")
+    rows = statuses(spans, docs, configs).join(lengths, "span_id")
+    return rows.groupBy("size", "overlap").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "OK").alias("in_one_chunk"), F.count_if(F.col("length") <= reach).alias("within_k"))
