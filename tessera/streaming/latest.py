@@ -29,3 +29,9 @@ def windowed_counts(events: DataFrame, time: str, by: str, window: str = "1 hour
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replace_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of what a stateful stream holds: each batch writes it whole, so a batch that runs again changes nothing."""
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
