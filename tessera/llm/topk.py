@@ -98,8 +98,20 @@ def build_index(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     return materialize(quantised(rows, vec_id, vector).mapInArrow(_index, INDEX), "impact_index")
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, parts: list, floor: np.ndarray, k: int, few: int = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (positions, exact scores) of all rows of the block that may be among its best k; floor: scores that k rows elsewhere are known to reach."""
+def dense_levels(n: int, parts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments as (members, dimensions, matrix), of the members and dimensions that they hold."""
+    out = []
+    for _, who, dim, value in parts:
+        rows, dims = np.zeros(n, bool), np.zeros(int(dim.max(initial=-1)) + 1, bool)
+        rows[who], dims[dim] = True, True
+        matrix = np.zeros((int(rows.sum()), int(dims.sum())))
+        matrix[(np.cumsum(rows) - 1)[who], (np.cumsum(dims) - 1)[dim]] = value
+        out.append((np.flatnonzero(rows), np.flatnonzero(dims), matrix))
+    return out
+
+
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: list, floor: np.ndarray, k: int, few: int = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``levels``: as from ``dense_levels``. For each query the (positions, exact scores) of all rows of the block that may be among its best k; floor: scores that k rows elsewhere are known to reach."""
     q, x = queries.astype(np.float64), vectors.astype(np.float64)
     norms, left = np.sqrt((q**2).sum(1)), (x**2).sum(1)
     out: list = [None] * len(q)
@@ -109,23 +121,25 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     active = np.arange(len(q))
     score = np.zeros((len(q), len(x)))
     own = ids[None] == query_ids[:, None]
-    for n, (_, who, dim, value) in enumerate(parts):
+    for n, (rows, dims, segment) in enumerate(levels):
         if not len(active):
             break
-        at = row_of[who]
+        at = row_of[rows]
         here = at >= 0
-        rows, r = np.unique(at[here], return_inverse=True)
-        dims, d = np.unique(dim[here], return_inverse=True)
-        segment = np.zeros((len(rows), len(dims)))
-        segment[r, d] = value[here]
-        score[:, rows] += q[np.ix_(active, dims)] @ segment.T
-        left[live[rows]] -= (segment**2).sum(1)
-        rest = np.maximum(left[live], 0) if n < len(parts) - 1 else np.zeros(len(live))
+        part = segment if here.all() else segment[here]
+        at = at[here]
+        gain = q[np.ix_(active, dims)] @ part.T
+        if len(at) == len(live):
+            score += gain
+        else:
+            score[:, at] += gain
+        left[rows] -= (segment**2).sum(1)
+        rest = np.maximum(left[live], 0) if n < len(levels) - 1 else np.zeros(len(live))
         slack = norms[active][:, None] * np.sqrt(rest)[None] * (1 + 1e-9)
         low = np.where(own, -np.inf, score - slack)
         need = floor[active] if len(live) < k else np.maximum(floor[active], np.partition(low, len(live) - k, 1)[:, len(live) - k])
         may = ~own & (score + slack >= need[:, None])
-        done = (may.sum(1) <= few) | (n == len(parts) - 1)
+        done = (may.sum(1) <= few) | (n == len(levels) - 1)
         for i in np.flatnonzero(done):
             found = live[may[i]]
             out[active[i]] = found, x[found] @ q[active[i]]
@@ -136,7 +150,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             live, score, own = live[stay], score[:, stay], own[:, stay]
             row_of = np.full(len(x), -1)
             row_of[live] = np.arange(len(live))
-    for i in active if not parts else ():
+    for i in active if not levels else ():
         at = np.flatnonzero(~own[i])
         out[i] = at, np.zeros(len(at))
     return out
@@ -194,12 +208,13 @@ def searcher(k: int):
         q = np.frombuffer(row["qvectors"], np.int64).reshape(-1, row["qdims"])
         width = max(x.shape[1], q.shape[1])
         x, q = np.pad(x, ((0, 0), (0, width - x.shape[1]))), np.pad(q, ((0, 0), (0, width - q.shape[1])))
-        parts = [(i, np.frombuffer(m, np.int32), np.frombuffer(d, np.int32), np.frombuffer(v, np.int64)) for i, m, d, v in zip(row["impacts"], row["members"], row["dimensions"], row["values"], strict=True)]
+        parts = ((i, np.frombuffer(m, np.int32), np.frombuffer(d, np.int32), np.frombuffer(v, np.int64)) for i, m, d, v in zip(row["impacts"], row["members"], row["dimensions"], row["values"], strict=True))
+        levels = dense_levels(len(ids), parts)
         size = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
         for at in range(0, len(q), QUERY_ROWS):
             part = slice(at, at + QUERY_ROWS)
             if size < 2**52:
-                found = search_block(best.query_ids[part], q[part], ids, x, parts, best.floor(part), best.k)
+                found = search_block(best.query_ids[part], q[part], ids, x, levels, best.floor(part), best.k)
             else:
                 found = exact_block(best.query_ids[part], q[part], ids, x)
             for i, (where, score) in enumerate(found, at):
