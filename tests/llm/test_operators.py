@@ -463,13 +463,42 @@ def test_topk_stops_on_proof():
     x = r.integers(-80, 80, (3000, 32))
     parts = list(topk.segments(x))
     assert [p[0] for p in parts] == sorted((p[0] for p in parts), reverse=True)
-    found = topk.search_block(np.arange(40), x[:40], np.arange(3000), x, parts, np.full(40, -np.inf), 5)
+    found = topk.search_block(np.arange(40), x[:40], np.arange(3000), x, topk.dense_levels(3000, parts), np.full(40, -np.inf), 5)
     for i, (at, score) in enumerate(found):
         best = sorted((-int(x[j] @ x[i]), j) for j in range(3000) if j != i)[:5]
         assert [(int(-score[k]), int(at[k])) for k in np.lexsort((at, -score))[:5]] == best
     assert np.mean([len(at) for at, _ in found]) < 400  # most members are proven out before the last segment
 
 
+def test_topk_blocks_and_repeats(spark, monkeypatch):
+    """Several blocks of queries and of the index in a task, few of them remembered; rows with one vec_id, of which one asks and all can be found."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 200)
+    monkeypatch.setattr(topk, "HELD", 2)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    r = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in r.normal(0, 1, 5)]) for i in range(300)] + [(50, [9.0] * 5), (51, [9.0] * 5), (51, [9.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    got = topk.search(topk.build_index(df), topk.quantised(df.where("vec_id % 10 = 0"))).collect()
+    ints = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows]
+    for q in range(0, 300, 10):
+        asked = min(v for i, v in ints if i == q)
+        want = sorted((-sum(a * b for a, b in zip(asked, v, strict=True)), i) for i, v in ints if i != q)[:5]
+        assert [(-x.score, x.vec_id) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == want
+
+
+def test_topk_memory_of_large_numbers():
+    """What a task keeps of each query is k rows, whatever the blocks' number and the scores' size."""
+    best = topk.Best(np.array([1, 2]), 3)
+    r = np.random.default_rng(0)
+    every = []
+    for _ in range(20):
+        names, scores = r.integers(0, 50, 9), r.integers(-(2**62), 2**62, 9)
+        best.add(1, names, scores)
+        every += [(-int(s), int(n)) for n, s in zip(names, scores, strict=True)]
+    assert [(-int(s), int(n)) for n, s in zip(best.ids[1], best.scores[1], strict=True)] == sorted(every)[:3]
+    assert not best.full[0].any() and best.rows().num_rows == 3
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(topk.build_index(df), topk.quantised(df)).count() == 0
@@ -610,6 +639,75 @@ def test_cnn_scores_do_not_depend_on_batches():
     assert np.allclose(model.scores(pa.array(texts, pa.string())), one, atol=1e-5)
 
 
+def test_cnn_against_a_plain_convolution():
+    """Every filter at every byte of every chunk, summed and maximised one by one; the head by its definition."""
+    model = cnn.Model(seed=3)
+    p = model.p
+    r = random.Random(0)
+    texts = ["", "a", "abcdef" * 20, "".join(chr(r.randint(97, 122)) for _ in range(700)), "é" * 300, "x" * 512, "y" * 506, "".join(chr(r.randint(32, 126)) for _ in range(1290))]
+    want = []
+    for t in texts:
+        data = t.encode()
+        halves = max(2, -(-(len(data) + cnn.WIDTH) // cnn.HALF))
+        padded = np.frombuffer(data.ljust(halves * cnn.HALF + cnn.WIDTH, b"\0"), np.uint8)
+        chunks = []
+        for c in range(halves - 1):
+            at = c * cnn.HALF
+            best = [max(sum(p["filters"][k, padded[i + k], f] for k in range(cnn.WIDTH)) for i in range(at, at + 2 * cnn.HALF)) for f in range(2)]
+            chunks.append(best)
+        want.append(chunks)
+    tables = cnn.pair_tables(p["filters"])
+    laid, first = cnn.layout(np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    maxima = cnn.half_maxima(laid, first, tables)
+    for i, chunks in enumerate(want):
+        got = [np.maximum(maxima[h], maxima[h + 1])[:2] for h in range(first[i], first[i + 1] - 1)]
+        assert np.allclose(got, chunks, atol=1e-4), texts[i][:20]
+        pooled = np.stack([np.maximum(maxima[h], maxima[h + 1]) for h in range(first[i], first[i + 1] - 1)]).astype(float)
+        a = np.maximum(np.maximum(pooled + p["bias"], 0) @ p["dense"] + p["dense_bias"], 0)
+        logit = float(np.concatenate([a.mean(0), a.max(0)]) @ p["out"] + p["out_bias"][0])
+        assert abs(model.scores(pa.array([texts[i]]))[0] - 1 / (1 + np.exp(-logit))) < 1e-5
+
+
+def test_machine_adds_all_pairs():
+    """Before the logistic: bias, weights of the distinct known terms, and the inner products of all pairs."""
+    r = np.random.default_rng(2)
+    model = toxicity.Model(0.3)
+    model.weights, model.vectors = r.normal(0, 1, 40), r.normal(0, 0.5, (40, toxicity.RANK))
+    sets = [np.sort(r.choice(40, k, replace=False)) for k in (0, 1, 2, 5, 17)]
+    got = model.raw(np.concatenate(sets).astype(np.int64), np.repeat(np.arange(5), [len(s) for s in sets]), 5)[0]
+    for s, x in zip(sets, got, strict=True):
+        pairs = sum(model.vectors[a] @ model.vectors[b] for i, a in enumerate(s) for b in s[i + 1 :])
+        assert abs(x - (0.3 + model.weights[s].sum() + pairs)) < 1e-9
+
+
+def test_machine_learns_what_only_pairs_tell():
+    """Two words that are each as common with either label: only together, or both absent, they mean label 1, so weights alone can't tell."""
+    r = random.Random(4)
+    filler = ["".join(r.choice("bcdfg") for _ in range(4)) for _ in range(12)]
+    texts, y = [], []
+    for i in range(4000):
+        insult, group = i % 2, i // 2 % 2
+        w = [r.choice(filler) for _ in range(3)] + ["zzinsult"] * insult + ["zzgroup"] * group
+        r.shuffle(w)
+        texts.append(" ".join(w))
+        y.append(float(insult == group))
+    model = toxicity.Model().fit(pa.array(texts[:3000]), np.array(y[:3000]), 0.0)
+    right = ((model.scores(pa.array(texts[3000:])) >= 0.5) == np.array(y[3000:])).mean()
+    model.vectors = model.vectors * 0
+    linear = ((model.scores(pa.array(texts[3000:])) >= 0.5) == np.array(y[3000:])).mean()
+    assert right > 0.95 and linear < 0.8, (right, linear)
+
+
+@pytest.mark.parametrize("run", [toxicity.score_toxicity, cnn.score_quality])
+def test_classifiers_with_clashing_columns(spark, run):
+    docs, labels, _ = labelled(spark, "toxic")
+    clash = docs.withColumn("score", F.lit("own")).withColumn("y", F.lit(5)).withColumn("held_out", F.lit("x")).withColumn("predicted", F.lit(None).cast("string"))
+    more = labels.withColumn("text", F.lit("own")).withColumn("y", F.lit("z")).withColumn("count", F.lit(1))
+    a, b = run(docs, labels), run(clash, more)
+    assert a.columns == b.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert Counter(tuple(r) for r in a.collect()) == Counter(tuple(r) for r in b.collect())
+
+
 def test_cnn_fits_on_every_chunk(monkeypatch):
     """All chunks of a long text reach the gradients, each as scoring sees it."""
     seen = defaultdict(set)
@@ -644,9 +742,10 @@ def test_cnn_gradients():
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
     grads = model._gradients(chunks, text, y)
-    for name in ("bias", "dense", "dense_bias", "out", "out_bias"):
+    for name in ("filters", "bias", "dense", "dense_bias", "out", "out_bias"):
         flat, g = model.p[name].reshape(-1), grads[name].reshape(-1)
-        for i in r.integers(0, len(flat), 4):
+        # of the filters' weights those that some chunk's maximum rests on
+        for i in r.choice(np.flatnonzero(g), 12) if name == "filters" else r.integers(0, len(flat), 4):
             was = flat[i]
             flat[i] = was + 1e-4
             up = loss()

@@ -91,7 +91,7 @@ def test_unigram_model_equals_the_library():
 
 
 def test_costs_are_compared(both):
-    """The shortest path over all segmentations, by brute force with the same weights, is the one that is found, and the only finite one."""
+    """The shortest path over all segmentations, by brute force with the same weights, is the one that is found; in words it is the only finite one."""
     ours, _ = both
 
     def paths(text, before=-1):
@@ -101,7 +101,7 @@ def test_costs_are_compared(both):
             i = ours.ids.get(text[:k], S.CHAR + ord(text) if k == 1 and len(text) == 1 else None)
             if i is not None:
                 for c, rest in paths(text[k:], i):
-                    yield ours.weight(before, i) + c, [i, *rest]
+                    yield (0.0 if before < 0 else ours.weight(before, i)) + c, [i, *rest]
 
     for text in ["thinking", "unseen", "abra", "Ideas", "returns"]:
         finite = [p for c, p in paths(S.MARK + text) if c < S.INFINITY]
