@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, materialize, slices_for, words
 
 BUCKETS, BUDGET = 12, 32768
+SLICE_TOKENS = 4_000_000  # of carried texts, some 30 MB
 COLUMNS = ("doc_id", "n_tokens", "bucket", "bucket_bound", "batch", "slot", "padding")
 
 
@@ -93,10 +94,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
         own = docs.select(F.col(doc_id).alias("doc_id"), length.alias("n_tokens"), *[F.col(f"`{c}`").alias(name) for name, c in rest.items()])
     lengths = materialize(own, "lengths", compression="zstd")
     bounds = length_bounds(lengths, buckets=buckets) or [1]
+    total, rows = lengths.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    slices = slices_for(total, per=SLICE_TOKENS) if carry else slices_for(rows)
     bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
     bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     per_batch = F.element_at(F.array(*[F.lit(max(1, budget // b)).cast("long") for b in bounds]), F.col("bucket") + 1)
-    ranked = gapless_rank(lengths.withColumn("bucket", bucket), "bucket", [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n_tokens")], "rank", F.xxhash64("doc_id", F.lit("slice")), slices_for(lengths.count()))
+    ranked = gapless_rank(lengths.withColumn("bucket", bucket), "bucket", [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n_tokens")], "rank", F.xxhash64("doc_id", F.lit("slice")), slices)
     return ranked.select(
         "doc_id",
         "n_tokens",
