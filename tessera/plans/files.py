@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import requests as R
 from ..functions import text as T
-from ..operators import gates, splits
+from ..operators import gates, security, splits
 from ..operators import verdicts as O
 from ..sources import sinks, tables
 from ..sources.scratch import new_path
@@ -69,6 +69,28 @@ def frozen_recording(spark, d):
     return spark.read.parquet(path)
 
 
+def recorded_answers(spark, d):
+    """Recorded answers in the shape of their file, read by its schema."""
+    path = new_path(spark, "answers")
+    even = F.col("item_id") % 2 == 0
+    chunk = F.struct(F.lit("s").alias("source"), F.lit(0.25).alias("distance"), F.col("text"))
+    rows = table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer"), F.when(even, "in_corpus_gap").alias("refusal_type"),
+        F.struct(even.alias("refused"), F.when(F.col("item_id") % 3 == 0, F.lit(False)).alias("fabricated")).alias("labels"), F.array_repeat(chunk, (F.col("item_id") % 3).cast("int")).alias("retrieved"),
+    )
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)))).write.text(path)
+    read = tables.read_json(spark, path, tables.ANSWERS)
+    faults = tables.answer_breaches(read).groupBy("question").agg(F.count("*").alias("breaches"))
+    out = read.join(faults, "question", "left")
+    return out.select("question", "source", "refusal_type", "labels.refused", "labels.fabricated", "labels.misdirected", F.size("retrieved").cast("long").alias("n"), F.coalesce("breaches", F.lit(0)).alias("breaches"), F.md5(F.get("retrieved", F.lit(0))["text"]).alias("first_md5"))
+
+
+def address_mentions(spark, d):
+    """Answers that name an address, in any case of letters."""
+    hit = security.mentions_address(F.col("text"), "http://")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("mentions"))
+
+
 def drift_runs(spark, d):
     """Whole runs become a drift table; a limited one does not."""
     path, none = new_path(spark, "drift"), new_path(spark, "none")
@@ -168,7 +190,7 @@ def stream_once(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        library_score_files, split_file, cache_round_trip, pinned_table, frozen_recording, drift_runs, saved_labels, upserted_chunks, class_json, in_split, to_judge, retry_waits, ligatures_repaired, nested_lines, attack_lines, stream_latest, stream_once,
+        library_score_files, split_file, cache_round_trip, pinned_table, frozen_recording, recorded_answers, address_mentions, drift_runs, saved_labels, upserted_chunks, class_json, in_split, to_judge, retry_waits, ligatures_repaired, nested_lines, attack_lines, stream_latest, stream_once,
     )
 }
 
@@ -182,6 +204,9 @@ ORACLES = {
     "cache_round_trip": f"WITH {_J._ENT}, {_ENTRIES} SELECT model, count(*) AS n, sum(judged)::BIGINT AS judged, count(*) FILTER (decision) AS yes FROM n GROUP BY model",
     "pinned_table": _J.ORACLES["pins_diff"],
     "frozen_recording": f"SELECT doc_id::VARCHAR AS question, md5(text) AS answer_md5, substr(sha256('{PROMPT}'), 1, 12) AS prompt, 'qwen3:8b' AS model FROM documents",
+    "recorded_answers": """SELECT item_id::VARCHAR AS question, NULL::VARCHAR AS source, CASE WHEN item_id % 2 = 0 THEN 'in_corpus_gap' END AS refusal_type, item_id % 2 = 0 AS refused, CASE WHEN item_id % 3 = 0 THEN false END AS fabricated,
+  NULL::BOOLEAN AS misdirected, (item_id % 3)::BIGINT AS n, (item_id % 3 = 0)::BIGINT AS breaches, CASE WHEN item_id % 3 > 0 THEN md5(text) END AS first_md5 FROM benchmark""",
+    "address_mentions": "SELECT lang, count(*) AS n, count(*) FILTER (contains(lower(text), 'http://')) AS mentions FROM documents GROUP BY lang",
     "drift_runs": f"WITH {_J._RUNS} SELECT count(*) AS n, count(*) FILTER (refused) AS refused, true AS written, false AS limited_written FROM runs",
     "saved_labels": "SELECT d.doc_id AS question, CASE WHEN l.quality = 1 THEN 'refused' ELSE 'open' END AS labels, md5(text) AS answer_md5 FROM documents d LEFT JOIN labels l USING (doc_id)",
     "upserted_chunks": f"WITH {_R._CHUNKS} SELECT chunk_id, md5(CASE WHEN lang = 'fr' THEN upper(c.text) ELSE c.text END) AS text_md5 FROM chunks c JOIN documents d ON d.doc_id = c.doc_id UNION ALL SELECT 'new-' || item_id, md5(text) FROM benchmark",

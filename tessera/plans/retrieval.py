@@ -125,10 +125,6 @@ def of(found: DataFrame, name: str, k: int | None = None) -> DataFrame:
     return one if k is None else one.where(F.col("rank") <= k)
 
 
-def dense_ranking(spark, d, k=fusion.DEPTH):
-    return of(with_texts(spark, d, {"dense": dense_places(spark, d, k)}), "dense")
-
-
 def lexical_ranking(spark, d, k=fusion.DEPTH, strip=True):
     asked = questions(spark, d)
     return of(with_texts(spark, d, {"bm25": lexical_places(question_index(spark, d), asked, k, strip)}), "bm25")
