@@ -311,7 +311,12 @@ def test_folded_registers_are_those_of_fewer_buckets():
     assert (minhash.fold(minhash.sketch(h)[None])[0] == want).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_components(spark, monkeypatch, hot):
+    """Also with nodes counted as hot from three neighbours on."""
+    if hot:
+        monkeypatch.setattr(components, "HOT", 3)
+        monkeypatch.setattr(components, "LOOKED_AT", 1)
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201 + i) for i in range(50)] + [(7, 7)]
     parent = {}
