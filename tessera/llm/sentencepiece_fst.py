@@ -8,20 +8,22 @@ for each piece that ends there; encoding is the shortest path in the tropical
 semiring: the cost of a position is the minimum over its arcs of the cost of where
 the arc begins plus the arc's weight.
 
-For a unigram model an arc weighs the negative score; sums are in doubles, and of equal
-paths the one with the longer last piece wins (the library adds in 32 bits, so costs closer than that may order otherwise there). For a BPE model what counts
-is which neighbours can stand together: an arc weighs 0 after a piece with which
-merging leaves exactly the two, and infinity after any other. Every
-prefix then has exactly one path of finite weight, which is what merging in the
-order of scores gives, so one state a position is enough. No weight is below 0, so
-the minimum is proved once an arc of cost 0 is found.
+For a unigram model an arc weighs the negative score (sums are in doubles, the library's
+in 32 bits, so costs that are closer than that may order otherwise there). For a BPE model
+what counts is which neighbours can stand together: an arc weighs 0 after a piece with
+which merging leaves exactly the two, and infinity after any other, so the result of
+merging in the order of scores is a path of weight 0. Of equal costs the arc of the longer
+piece wins; no weight of a BPE model is below 0, so its minimum is proved once an arc of
+cost 0 is found. Runs of one character have several paths of weight 0; there the longer last piece is what merging
+leaves, as far as comparison with the library shows.
 
 Specifications with a character map, word or character models, white space as a
 suffix, and user-defined or unused pieces are refused with an error.
 
 The lattice falls apart between a character and a following mark where no piece
 crosses, and at ASCII characters that no piece has; the parts repeat, so a worker
-keeps the paths of the ``KEPT`` parts seen last. The driver reads the model file;
+keeps the paths of the ``KEPT`` parts seen last, and new parts are composed in their
+order, so that the costs of a common beginning are found once. The driver reads the model file;
 tasks get the compiled transducer.
 
 Defined cases: a null or empty text has no ids; texts are encoded whole; the mark
@@ -36,6 +38,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +69,7 @@ class Transducer:
     squeeze: bool = False
     halves: dict[str, tuple[str, str]] | None = None
     paths: dict = field(default_factory=dict)
-    pairs: dict = field(default_factory=dict)
+    weights: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
@@ -83,12 +86,14 @@ class Transducer:
         for piece, (a, b) in sorted((self.halves or {}).items(), key=lambda x: len(x[0])):
             if min(worth(a), worth(b)) <= worth(piece) or a in self.unordered or b in self.unordered:
                 self.unordered.add(piece)
-        # every ending of a piece that merging makes, with the piece's id, or -1 for what is an ending only
-        self.endings: dict[str, int] = {}
-        for piece in self.halves or ():
-            for k in range(len(piece) - 1):
-                self.endings.setdefault(piece[k:], -1)
-            self.endings[piece] = self.ids[piece]
+        # pieces that merging makes as a trie read backwards: a node is (the id of the piece that ends the reading here or -1, nodes by the next character)
+        self.trie: tuple[int, dict] = (-1, {})
+        for piece in sorted(self.halves or (), key=len):
+            node, above = self.trie, {}
+            for char in reversed(piece):
+                above = node[1]
+                node = above.get(char) or above.setdefault(char, (-1, {}))
+            above[piece[0]] = (self.ids[piece], node[1])
         # bytes that are no text of their own stand as lone surrogates until all are joined
         self.shown = list(self.pieces)
         for byte, i in enumerate(self.byte_id):
@@ -128,7 +133,7 @@ class Transducer:
             if i is not None:
                 yield begin, i
 
-    # weights
+    # merging
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Symbols after merging characters by score, leftmost first among equals; and the last two that were merged."""
         symbols, last = list(text), None
@@ -168,14 +173,15 @@ class Transducer:
     def symbol(self, i: int) -> str:
         return self.pieces[i] if i < CHAR else chr(i - CHAR)
 
-    def together(self, left: int, right: int) -> bool:
-        """Whether merging two symbols' characters side by side leaves exactly the two: no merge across them comes while both of its parts stand there."""
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        a, b = self.symbol(left), self.symbol(right)
+    def weight(self, before: int, i: int) -> float:
+        """Of a piece's arc after another piece: 0 if merging both pieces' characters side by side leaves exactly the two (no merge across them comes while both of its parts stand there), else infinity."""
+        if len(self.weights) >= KEPT_PAIRS:
+            self.weights.clear()
+        a, b = self.symbol(before), self.symbol(i)
         by_merging = a in self.unordered or b in self.unordered
-        known = self.pairs[left << 21 | right] = self.merged(a + b)[0] == [a, b] if by_merging else self._together(a, b)
-        return known
+        apart = self.merged(a + b)[0] == [a, b] if by_merging else self._together(a, b)
+        found = self.weights[before << 21 | i] = 0.0 if apart else INFINITY
+        return found
 
     def _together(self, a: str, b: str) -> bool:
         ids, score = self.ids, self.score
@@ -189,40 +195,41 @@ class Transducer:
 
     # shortest path
     def path(self, part: str) -> list[int]:
-        return self._bpe(part) if self.kind == "bpe" else self._unigram(part)
-
-    def weight(self, before: int, i: int) -> float:
-        """Of a piece's arc after another piece; -1 stands for the start."""
-        if before < 0:
-            return 0.0
-        ok = self.pairs.get(before << 21 | i)
-        return 0.0 if (self.together(before, i) if ok is None else ok) else INFINITY
-
-    def _bpe(self, part: str) -> list[int]:
-        """Costs and last pieces of positions, from left to right."""
-        n, endings, ids, weight = len(part), self.endings, self.ids, self.weight
-        cost, last = [0.0] + [INFINITY] * n, [-1] * (n + 1)
-        for end in range(1, n + 1):
-            # arcs that end here: the trie read backwards as far as some piece ends so
-            found, size = [], 2
-            while size <= end:
-                i = endings.get(part[end - size : end])
-                if i is None:
-                    break
-                if i >= 0:
-                    found.append((size, i))
-                size += 1
-            char = part[end - 1]
-            found.reverse()
-            found.append((1, ids.get(char, CHAR + ord(char))))
-            for size, i in found:
-                c = cost[end - size]
-                if c < INFINITY:
-                    c += weight(last[end - size], i)
-                    if c < cost[end]:
-                        cost[end], last[end] = c, i
-                        if c == 0.0:
-                            break
+        return self._bpe(part, "", [0.0], [-1]) if self.kind == "bpe" else self._unigram(part)
+
+    def _bpe(self, part: str, before_it: str, cost: list[float], last: list[int]) -> list[int]:
+        """``cost`` and ``last`` hold the costs and last pieces of the positions of ``before_it`` and are brought to those of ``part``: a position depends on what stands before it only, so a common beginning is kept.
+
+        Arcs that end at a position come from the trie read backwards, as far as some piece ends so.
+        """
+        n, root, weights = len(part), self.trie[1].get, self.weights.get
+        same, most = 0, min(n, len(before_it))
+        while same < most and part[same] == before_it[same]:
+            same += 1
+        del cost[same + 1 :], last[same + 1 :]
+        for end in range(same + 1, n + 1):
+            i, begin = self.ids.get(part[end - 1], -1), end - 1
+            arcs = [(begin, i if i >= 0 else CHAR + ord(part[begin]))]
+            node = root(part[begin])
+            while begin and node is not None:
+                begin -= 1
+                node = node[1].get(part[begin])
+                if node is not None and node[0] >= 0:
+                    arcs.append((begin, node[0]))
+            best, piece = INFINITY, -1
+            for begin, i in reversed(arcs):
+                before = last[begin]
+                if before < 0:
+                    c = cost[begin]
+                else:
+                    w = weights(before << 21 | i)
+                    c = cost[begin] + (self.weight(before, i) if w is None else w)
+                if c < best:
+                    best, piece = c, i
+                    if c == 0.0:
+                        break
+            cost.append(best)
+            last.append(piece)
         if cost[n] == INFINITY:
             raise ValueError(f"no path through {part[:80]!r}")
         out, end = [], n
@@ -255,19 +262,26 @@ class Transducer:
         return [i for ids in out[::-1] for i in ids]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        paths = self.paths
-        for part in self.parts.findall(self.normalise(text)):
-            ids = paths.get(part)
-            if ids is None:
-                ids = self.path(part)
-                if len(part) <= 64:
-                    if len(paths) >= KEPT:
-                        for old in [k for k, _ in zip(paths, range(KEPT // 4), strict=False)]:
-                            del paths[old]
-                    paths[part] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Each part that is not kept is composed once, in the order of parts, so that neighbours share their beginnings."""
+        split = [self.parts.findall(self.normalise(t)) for t in texts]
+        paths, own = self.paths, {}
+        known = [list(map(paths.get, parts)) for parts in split]
+        gaps = [[k for k, ids in enumerate(got) if ids is None] for got in known]
+        before_it, cost, last = "", [0.0], [-1]
+        for part in sorted({parts[k] for parts, at in zip(split, gaps, strict=True) for k in at}):
+            own[part] = self._bpe(part, before_it, cost, last) if self.kind == "bpe" else self._unigram(part)
+            before_it = part
+        for parts, got, at in zip(split, known, gaps, strict=True):
+            for k in at:
+                got[k] = own[parts[k]]
+        paths.update((p, ids) for p, ids in own.items() if len(p) <= 64)
+        if len(paths) > KEPT:
+            for old in list(islice(paths, len(paths) - KEPT * 3 // 4)):
+                del paths[old]
+        return [list(chain.from_iterable(got)) for got in known]
 
     def decode(self, ids: list[int]) -> str:
         """Back through the transducer: runs of byte pieces are UTF-8, marks are spaces, the first mark is the prefix. Bad bytes give U+FFFD."""
@@ -336,7 +350,7 @@ def encode_table(docs: DataFrame, model: Transducer, doc_id: str = "doc_id", tex
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids = [fst.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = fst.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
@@ -370,9 +384,8 @@ def summarise(docs: DataFrame, model: Transducer, doc_id: str = "doc_id", text:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 out: list[list] = [[], [], [], []]
-                for t in part.column(1).to_pylist():
-                    t = t or ""
-                    ids = fst.encode(t)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for t, ids in zip(texts, fst.encode_all(texts), strict=True):
                     flat = np.array(ids, "<i4")
                     row = len(ids), int(((flat >= low) & (flat <= high)).sum()), zlib.crc32(flat.tobytes()), fst.decode(ids) == t
                     for to, v in zip(out, row, strict=True):
