@@ -69,13 +69,13 @@ def strip_stopwords(spark, d):
     return questions(spark, d).select("qid", T.strip_stopwords(F.col("question")).alias("stripped"))
 
 
-def question_index(spark, d) -> lexical.Index:
-    """The index of all tokens that questions have: the one pass over the corpus that cuts it into tokens."""
-    return lexical.build(chunked(spark, d), lexical.asked_terms(questions(spark, d), strip=False))
+def question_index(spark, d, strip=False) -> lexical.Index:
+    """The index of all tokens that questions have, or of those that are no stop words: the one pass over the corpus that cuts it into tokens."""
+    return lexical.build(chunked(spark, d), lexical.asked_terms(questions(spark, d), strip))
 
 
 def bm25(spark, d, k=fusion.K, strip=True):
-    return lexical.search(question_index(spark, d), questions(spark, d), k, strip)
+    return lexical.search(question_index(spark, d, strip), questions(spark, d), k, strip)
 
 
 def bm25_topk(spark, d):
@@ -127,11 +127,11 @@ def of(found: DataFrame, name: str, k: int | None = None) -> DataFrame:
 
 def lexical_ranking(spark, d, k=fusion.DEPTH, strip=True):
     asked = questions(spark, d)
-    return of(with_texts(spark, d, {"bm25": lexical_places(question_index(spark, d), asked, k, strip)}), "bm25")
+    return of(with_texts(spark, d, {"bm25": lexical_places(question_index(spark, d, strip), asked, k, strip)}), "bm25")
 
 
 def both(spark, d, strip) -> DataFrame:
-    return with_texts(spark, d, {"dense": dense_places(spark, d), "lexical": lexical_places(question_index(spark, d), questions(spark, d), strip=strip)})
+    return with_texts(spark, d, {"dense": dense_places(spark, d), "lexical": lexical_places(question_index(spark, d, strip), questions(spark, d), strip=strip)})
 
 
 def rrf_fusion(spark, d):
