@@ -9,7 +9,7 @@ collisions expected by chance, estimates their Jaccard similarity; pairs that ca
 still reach the threshold are compared on their full shingle sets.
 
 Documents with the same set are one class (a 128-bit digest of the set), so exact
-copies never meet in a band. No table of pairs is written at any point:
+copies never meet in a band.
 
 1. Within a band bucket a task compares sketches and writes a forest of possible
    pairs, at most one row a class. The forests' components are the clusters.
@@ -19,10 +19,14 @@ copies never meet in a band. No table of pairs is written at any point:
 3. Parts of a large cluster are joined by the leaders of their largest components;
    buckets that then still hold several components are dealt to cells of two parts,
    in which every pair of two components is compared on full sets. So ``BLOCK`` changes no result.
+4. What bands and estimates miss follows. In one order of all shingles, frequent
+   ones last, two sets that reach the threshold share one of their first
+   n - ceil(t n) + 1. Where classes not compared yet (of two clusters, or of a large one
+   without a common band) share one, and neither sizes, places nor sketches (``disproved``)
+   exclude a link, they are compared on full sets. Only of these pairs a table is written.
 
-Recall: two sets of Jaccard t share a band with 1 - (1 - t^4)^32; at t = 0.75
-that misses 5 pairs in a million, and less above. Everything that shares a band and
-that the estimate doesn't rule out is decided on full sets.
+Recall is 1 but for chances of 1e-15 a pair and collisions of 64-bit hashes. Bands alone miss 5 pairs in a million
+at similarity 0.75, and some 20 in a million of three shingles against the same and a fourth.
 
 Defined cases: texts that are null, empty or without words have no set, no link,
 and stay; repeated rows are copies of each other; a null doc_id never names a
@@ -47,7 +51,9 @@ BLOCK, CELL_SHINGLES = 2048, 1 << 21  # classes and shingles of a part
 TREES = 500_000  # classes whose trees a task remembers between buckets
 SENT_CLASSES = 500_000  # of some 100 bytes, sent to all tasks at most
 WHOLE = 2  # the side of rows that meet all rows of their cell
+SAMPLED, SEEN, OFTEN = 8192, 3, 50_000  # classes looked at for frequent shingles, in how many of them one is frequent, how many are kept; they only set an order
 SIGMAS, SLACK = 5.5, 0.015
+CHANCE = 1e-15
 
 
 def compress(v: np.ndarray) -> np.ndarray:
@@ -124,6 +130,32 @@ def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, thresho
     return fits & (j >= t - SLACK - SIGMAS * np.sqrt(t * (1 - t) * unseen / np.maximum(used, 1)))
 
 
+def disproved(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Pairs that cannot reach the threshold.
+
+    A register that differs has a shingle of one set alone, and linked sets have at most (1 - t) / (1 + t) of
+    n + m such. Of longer sets that says nothing; there a linked pair's share of equal registers, a sample of its union without
+    replacement, stays above t - sqrt(ln(1 / ``CHANCE``) / 2 / registers) but for ``CHANCE`` (Hoeffding).
+    """
+    used, same = ((x | y) != 0).sum(1), ((x == y) & (x != 0)).sum(1)
+    certain = (100 + threshold) * (x != y).sum(1) > (100 - threshold) * (n + m)
+    return certain | (same < threshold / 100 * used - np.sqrt(-np.log(CHANCE) / 2 * used))
+
+
+def first_shingles(own: np.ndarray, often: np.ndarray, threshold: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 of an ascending set: others by hash, then those of ``often`` (ascending hashes, their places). Sets that reach the threshold share one."""
+    kept = len(own) + threshold * len(own) // -100 + 1
+    if not often.size:
+        return own[:kept]
+    at = np.minimum(np.searchsorted(often[0], own), often.shape[1] - 1)
+    return own[np.argsort(np.where(often[0][at] == own, often[1][at], 0), kind="stable")[:kept]]
+
+
+def largest_partner(n: int, places: np.ndarray, threshold: int) -> np.ndarray:
+    """The most shingles that a set linked to one of n shingles has, if their first common one stands at a place: no more than n - place are common."""
+    return ((100 + threshold) * (n - places) - threshold * n) // threshold
+
+
 def _sketches(batches):
     import pyarrow as pa
 
@@ -371,6 +403,125 @@ def _first_of_class(batches):
         yield batch.filter(pa.array(ok, pa.bool_()))
 
 
+def _all_shingles(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for _, own in shingle_sets(batch.column("text"), SHINGLE):
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["key"])
+
+
+def _first(often: np.ndarray, threshold: int):
+    """Rows (cls, grp, text) to one row for each first shingle: key, cls, grp, n, and the size of the largest set that it can link to."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, keys, n, most = [], [], [], []
+            for i, own in shingle_sets(batch.column("text"), SHINGLE):
+                first = first_shingles(own, often, threshold)
+                rows.append(np.full(len(first), i))
+                keys.append(first.view(np.int64))
+                n.append(np.full(len(first), len(own)))
+                most.append(largest_partner(len(own), np.arange(len(first)), threshold))
+            if rows:
+                of = pa.array(np.concatenate(rows))
+                arrays = [pa.array(np.concatenate(keys)), batch.column("cls").take(of), batch.column("grp").take(of), pa.array(np.concatenate(n)), pa.array(np.concatenate(most))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "cls", "grp", "n", "most"])
+
+    return run
+
+
+_FIRST = "key long, cls binary, grp long, n long, most long"
+
+
+def _digits(batches):
+    """Rows (cls, regs) to classes and their registers as half bytes; equal registers stay equal, and 0 is kept for an empty one."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if len(batch):
+            regs = _registers(batch.column("regs"))
+            digits = np.where(regs == 0, 0, regs % 15 + 1).astype(np.uint8)
+            packed = digits[:, ::2] | digits[:, 1::2] << 4
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([d.tobytes() for d in packed], pa.binary())], names=["cls", "digits"])
+
+
+def _allowed(rows):
+    """Arrays (x, y) of places of rows of one key and cell, of two groups, that sizes and places allow to be linked; rows of each distance at once."""
+    at = np.arange(len(rows))
+    key, i, j, grp, n, most, side = (rows.column(c).to_numpy() for c in ("key", "i", "j", "grp", "n", "most", "side"))
+    starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
+    size = np.diff([*starts, len(rows)])
+    left = np.repeat(starts + size, size) - at
+    for step in range(1, int(size.max())):
+        x = at[left > step]
+        y = x + step
+        ok = (grp[y] != grp[x]) & (n[y] <= most[x]) & (n[x] <= most[y]) & ((side[y] != side[x]) | (side[x] == WHOLE))
+        yield x[ok], y[ok]
+
+
+def _with_partner(batches):
+    """Of rows sorted by key and cell those that have an allowed partner."""
+    import pyarrow as pa
+
+    for rows in whole_groups(batches, ("key", "i", "j")):
+        some = np.zeros(len(rows), bool)
+        for x, y in _allowed(rows):
+            some[x] = some[y] = True
+        yield from rows.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _meetings(threshold: int):
+    """Rows sorted by key and cell to allowed pairs of classes that the half bytes of registers leave open. Classes of one large cluster that share a band have been compared."""
+
+    def run(batches):
+        seen: set = set()
+        for rows in whole_groups(batches, ("key", "i", "j")):
+            n = rows.column("n").to_numpy()
+            cls = rows.column("cls").to_pylist()
+            packed = np.frombuffer(b"".join(rows.column("digits").to_pylist()), np.uint8).reshape(-1, REGISTERS // 2)
+            digits = np.concatenate([packed & 15, packed >> 4], 1)
+            cluster = rows.column("cluster").to_pylist() if "cluster" in rows.column_names else []
+            bands = [k and frozenset(k) for k in rows.column("keys").to_pylist()] if cluster else []
+            out: list = []
+            for x, y in _allowed(rows):
+                for k in range(0, len(x), 8192):
+                    a, b = x[k : k + 8192], y[k : k + 8192]
+                    ok = ~disproved(digits[a], digits[b], n[a], n[b], threshold)
+                    for p, q in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                        pair = min(cls[p], cls[q]), max(cls[p], cls[q])
+                        if pair in seen:
+                            continue
+                        if not cluster or cluster[p] is None or cluster[p] != cluster[q] or bands[p].isdisjoint(bands[q]):
+                            seen.add(pair)
+                            out.append(pair)
+                if len(seen) > TREES:
+                    seen.clear()
+                if len(out) >= 4096:
+                    yield _pairs(out)
+                    out = []
+            yield _pairs(out)
+
+    return run
+
+
+def _not_disproved(threshold: int):
+    """Pairs with the sketches and sizes of both, to the pairs that those leave open."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+                open_ = ~disproved(_registers(batch.column("x")), _registers(batch.column("y")), n, m, threshold)
+                yield batch.select(["a", "b", "m"]).filter(pa.array(open_))
+
+    return run
+
+
 _PAIR = "a binary, b binary"
 _PLACED = "grp binary, cell string, side int, cls binary, root binary, text string"
 
@@ -426,10 +577,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialize(_links(slim, placed.drop("parts", "part", "n"), threshold), "links")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = placed.where("parts > 1")
-    if not large.isEmpty():
-        roots = connected_components(links.unionByName(_across_parts(slim, large, members, links, threshold)))
-
-    named = _rooted(classes.select("cls", "rep").withColumn("root", F.col("cls")), roots)
+    split = not large.isEmpty()
+    if split:
+        links = links.unionByName(_across_parts(slim, large, members, links, threshold))
+        roots = connected_components(links)
+
+    cluster_of = placed.select("cls", F.col("grp").alias("cluster"), (F.col("parts") > 1).alias("large"))
+    named = _rooted(classes.select("cls", "rep", "h", "n", F.col("cls").alias("root")), roots).join(cluster_of, "cls", "left")
+    # classes of one group have all been compared
+    named = named.withColumn("grp", F.xxhash64(F.when(F.col("large"), F.col("root")).otherwise(F.coalesce("cluster", "cls"))))
+    named = materialize(named.withColumn("cluster", F.when(F.col("large"), F.xxhash64("cluster"))).select("cls", "rep", "h", "n", "root", "grp", "cluster"), "named")
+    missed = materialize(_links(slim, materialize(_missed(slim, named, classes, split, threshold), "stars"), threshold), "missed")
+    if not missed.isEmpty():
+        named = _rooted(named, connected_components(missed))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = materialize(named.join(smallest, "root").select("cls", "component_id"), "components")
     out = rows.select("doc_id", "n", "cls").join(final, "cls", "left")
@@ -437,6 +597,57 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _texts_of(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, a written table of classes with rep and h, with their texts."""
+    wanted, _ = sent_if_few(wanted, SENT_CLASSES)
+    return slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep"]) & (slim["h"] == wanted["h"])).select(*(wanted[c] for c in wanted.columns), "text")
+
+
+def _often(slim: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Ascending hashes of shingles that many of some ``SAMPLED`` classes have, and their places, from 1 for the rarest."""
+    of = 1_000_000
+    share = -(-SAMPLED * of // max(classes.count(), 1))
+    drawn = materialize(classes.where(F.pmod(F.xxhash64("cls"), F.lit(of)) < share).select("cls", "rep", "h"), "drawn")
+    seen = _texts_of(slim, drawn).select("text").mapInArrow(_all_shingles, "key long").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= SEEN)
+    most = seen.orderBy(F.desc("m"), "key").limit(OFTEN).collect()
+    hashes = np.array([r.key for r in reversed(most)], np.int64).view(U)
+    order = np.argsort(hashes)
+    return np.stack([hashes[order], order.astype(U) + U(1)])
+
+
+def _by_key(met: DataFrame) -> DataFrame:
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _missed(slim: DataFrame, named: DataFrame, classes: DataFrame, split: bool, threshold: int) -> DataFrame:
+    """Classes under the cells in which they meet those of other groups that they may be linked with and have not been compared with.
+
+    named: a written table (cls, rep, h, n, root, grp, cluster); cluster is null but for large clusters, and ``split`` says whether there are any.
+    """
+    often = _often(slim, classes)
+    first = _texts_of(slim, named.select("cls", "rep", "h", "grp")).select("cls", "grp", "text").mapInArrow(_first(often, threshold), _FIRST)
+    spread = first.select("key", "grp").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
+    spread, _ = sent_if_few(materialize(spread.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "spread"))
+    dealt = first.join(spread, "key").withColumn("at", _part("parts"))
+    at = F.col("at")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(at, k).alias("i"), F.greatest(at, k).alias("j"), F.when(k == at, WHOLE).when(at < k, 0).otherwise(1).alias("side")))
+    met = dealt.withColumn("p", F.explode(cells)).select("key", "cls", "grp", "n", "most", "p.i", "p.j", "p.side")
+    digits, _ = sent_if_few(materialize(classes.select("cls", "regs").mapInArrow(_digits, "cls binary, digits binary"), "digits"), SENT_CLASSES // 5)
+    met = _by_key(met).mapInArrow(_with_partner, f"{_FIRST}, i int, j int, side int").join(digits, "cls")
+    if split:
+        bands = named.where("cluster is not null").select("cls", "cluster").join(classes.select("cls", "n", "regs"), "cls").mapInArrow(_bands, "cls binary, cluster long, n long, regs binary, keys array<long>")
+        met = met.join(bands.select("cls", "cluster", "keys"), "cls", "left")
+    pairs = _by_key(met).mapInArrow(_meetings(threshold), _PAIR).distinct()
+    known = classes.select("cls", "regs", "n")
+    both = pairs.join(known.toDF("a", "x", "n"), "a").join(known.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    pairs = materialize(both.mapInArrow(_not_disproved(threshold), "a binary, b binary, m long"), "pairs")
+    stars = pairs.groupBy("a").agg(F.count("*").alias("c"), F.sum("m").alias("s")).select("a", _parts("c", "s").alias("parts"))
+    centres = stars.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("cls"))
+    others = pairs.join(stars, "a").select(F.col("a").alias("grp"), F.col("b").alias("cls"), "parts").select("grp", _part("parts").alias("part"), F.lit(1).alias("side"), "cls")
+    cells = centres.unionByName(others).join(named.select("cls", "root", "rep", "h"), "cls")
+    return cells.select("grp", F.col("part").cast("string").alias("cell"), "side", "cls", "root", "rep", "h")
+
+
 def _across_parts(slim: DataFrame, large: DataFrame, members: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
     """Further links, between the parts of large clusters (``large``, placed rows), which ``links`` has joined within."""
     columns = ("grp", "cell", "side", "cls", "root", "rep", "h")

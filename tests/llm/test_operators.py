@@ -229,6 +229,98 @@ def test_dense_groups_write_rows_in_proportion(spark, monkeypatch, block):
         assert totals[1200][1] < 6 * totals[300][1]
 
 
+def near_pairs(n, seed=3):
+    """Pairs of texts at similarity 0.75 and above: eight words and the first seven, and longer ones with a word replaced or cut."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"w{r.randrange(10**9)}" for _ in range(r.choice([8, 8, 8, 40, 120]))]
+        other = w[:-1] if len(w) == 8 else [*w[: len(w) // 2], f"x{i}", *w[len(w) // 2 + 1 :]]
+        out += [(2 * i, " ".join(w), "", "", 0), (2 * i + 1, " ".join(other), "", "", 0)]
+    return out
+
+
+@pytest.mark.parametrize(("block", "sampled"), [(2048, 8192), (3, 20)])
+@pytest.mark.parametrize("missed", ["bands", "estimates"])
+def test_links_that_bands_or_estimates_miss_are_found(spark, monkeypatch, missed, block, sampled):
+    """No pair shares a band, or none passes the estimate: the components are still those of brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SAMPLED", sampled, raising=False)
+    rows = near_pairs(40) + [(100 + i, t, "", "", 0) for i, t, *_ in corpus(4)] + [(1000 + i, t, "", "", 0) for i, t, *_ in dense_group(40)]
+    rows = [(i, t, *rest) for i, (_, t, *rest) in enumerate(rows)]
+    if missed == "bands":
+        monkeypatch.setattr(minhash, "_bands", _no_bands())
+    else:
+        real = minhash._near
+        monkeypatch.setattr(minhash, "_near", lambda threshold: _none_possible(real(threshold)))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(plain(spark, rows)).collect()} == components_by_force(rows)[0]
+
+
+def _no_bands():
+    def there(batches):
+        import pyarrow
+
+        for batch in batches:
+            yield batch.append_column("keys", pyarrow.array([[]] * len(batch), pyarrow.list_(pyarrow.int64())))
+
+    return there
+
+
+def _none_possible(run):
+    """run on a worker with estimates that rule out every pair."""
+
+    def there(batches):
+        from tessera.llm import minhash as module
+
+        was, module.possible = module.possible, lambda x, *_: np.zeros(len(x), bool)
+        try:
+            yield from run(batches)
+        finally:
+            module.possible = was
+
+    return there
+
+
+def test_three_shingles_that_share_no_band(spark):
+    """Eight words and the first seven, chosen so that the fourth shingle spoils the one band that the others share."""
+    r, found = random.Random(0), None
+    while found is None:
+        texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(8)) for _ in range(4096)]
+        texts += [t.rsplit(" ", 1)[0] for t in texts]
+        sets = [s for _, s in tokens_np.shingle_sets(pa.array(texts), minhash.SHINGLE)]
+        low = [((s & np.uint64(minhash.FOLDED - 1)).astype(int) // (minhash.FOLDED // minhash.BANDS)) for s in sets[:4096]]
+        for k in (k for k, b in enumerate(low) if len(set(b.tolist())) == 1):
+            keys = minhash.band_keys(np.stack([minhash.sketch(sets[k]), minhash.sketch(sets[k + 4096])]))
+            if not ((keys[0] == keys[1]) & (keys[0] != 0)).any():
+                found = [texts[k], texts[k + 4096]]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(found)]
+    assert components_by_force(rows)[0] == {0: 0, 1: 0}
+    assert [r.component_id for r in minhash.near_duplicates(plain(spark, rows)).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_shingles_and_disproof_lose_no_link(seed):
+    """Linked sets share a first shingle whose places allow their sizes, in any order, and no sketch disproves them."""
+    r = np.random.default_rng(seed)
+    universe = np.unique(r.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+    known = np.sort(r.permutation(universe)[: 100 * seed])
+    often = np.stack([known, r.permutation(len(known)).astype(np.uint64) + np.uint64(1)])
+    linked = 0
+    for _ in range(1500):
+        a = r.permutation(universe)[: r.integers(1, 120)]
+        b = np.concatenate([a[r.random(len(a)) < r.choice([0.8, 0.9, 1])], r.permutation(universe)[: r.integers(0, 2 + len(a) // 8)]])
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if not len(b) or 100 * common < 75 * (len(a) + len(b) - common):
+            continue
+        linked += 1
+        x, y = minhash.first_shingles(a, often, 75), minhash.first_shingles(b, often, 75)
+        meets = [(i, y.tolist().index(h)) for i, h in enumerate(x.tolist()) if h in y]
+        assert any(len(b) <= minhash.largest_partner(len(a), i, 75) and len(a) <= minhash.largest_partner(len(b), j, 75) for i, j in meets)
+        assert not minhash.disproved(minhash.sketch(a)[None], minhash.sketch(b)[None], np.array([len(a)]), np.array([len(b)]), 75)[0]
+    assert linked > 100
+
+
 def test_forest_ties_all_that_possible_pairs_connect():
     r = np.random.default_rng(5)
     base = [np.unique(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(6)]
