@@ -110,7 +110,7 @@ def upserted_chunks(spark, d):
     """Chunks of French documents come again in capitals, those of a new source are added; all others stay."""
     now = retrieval.chunked(spark, d).select("chunk_id", "text")
     french = table(spark, d, "documents").where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("source"))
-    again = retrieval.chunked(spark, d).join(french, "source", "left_semi").select("chunk_id", F.upper("text").alias("text"))
+    again = retrieval.chunked(spark, d).join(french, "source", "left_semi").select("chunk_id", T.upper(F.col("text")).alias("text"))
     added = table(spark, d, "benchmark").select(F.concat(F.lit("new-"), F.col("item_id").cast("string")).alias("chunk_id"), "text")
     return sinks.upsert(now, again.unionByName(added), "chunk_id").select("chunk_id", F.md5("text").alias("text_md5"))
 
