@@ -238,3 +238,43 @@ def test_counts_are_observed(spark):
     watch = Observation("flow")
     rows = spark.range(10).observe(watch, F.count("*").alias("rows"))
     assert reports.observe_counts(rows, "named", even=F.col("id") % 2 == 0).count() == 10 and watch.get["rows"] == 10
+
+
+@pytest.mark.parametrize("changed", [{}, {"BLOCK": 7}, {"ASKED": 3, "PAIRS": 5}, {"SENT_WEIGHTS": 3}, {"SENT_TERMS": 2}])
+def test_search_in_blocks(spark, monkeypatch, tmp_path, changed):
+    """Blocks of any size, few questions or sums at once, and the join for many weights find the same; nearly all texts tie, and no more than k rows a question leave a task."""
+    for name, value in changed.items():
+        monkeypatch.setattr(lexical, name, value)
+    r = random.Random(5)
+    corpus = [" ".join(r.choice("alpha beta gamma of İstanbul x-y 3.5".split()) for _ in range(r.randint(0, 9))) for _ in range(40)] + ["alpha beta"] * 40
+    asked = ["alpha beta", "gamma of alpha alpha", "istanbul", "3.5 x-y", "none such", "beta", "İSTANBUL beta"]
+    d, q = docs(spark, *corpus), spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    cols = ["qid", "rank", "source", "score"]
+    lexical.store(lexical.Windows(d), str(tmp_path / "ix"))
+    built = lexical.build(lexical.Windows(d), lexical.asked_terms(q, False))
+    full = [t for t in corpus if t]
+    want = {n: [(i, s) for i, s in bm25([t.replace("İ", "i") for t in full], w.replace("İ", "i"), False)[:5]] for n, w in enumerate(asked)}
+    at = [n for n, t in enumerate(corpus) if t]
+    for index in (built, lexical.load(spark, str(tmp_path / "ix"), q), lexical.load(spark, str(tmp_path / "ix"))):
+        got = {}
+        for x in sorted(lexical.search(index, q, 5, False).select(cols).collect()):
+            got.setdefault(x.qid, []).append((int(x.source), pytest.approx(x.score, abs=1e-8)))
+        assert got == {n: [(at[i], s) for i, s in w] for n, w in want.items() if w}
+    plan = lexical.search(built, q, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("MapInArrow" in plan) == ("SENT_WEIGHTS" not in changed)
+    parts = built.table.rdd.getNumPartitions()
+    if "SENT_WEIGHTS" not in changed:
+        weights = lexical.weighed(built, q, False).collect()
+        found = built.table.mapInArrow(lexical._winners(lexical._sent(weights, {n: n for n in range(len(asked))}), 3.0, 5, False), "q int, score double, source string, i int, chunk_id string")
+        assert 0 < found.count() <= parts * 5 * len(asked)
+
+
+def test_windows_are_the_chunks(spark):
+    r = random.Random(6)
+    d = docs(spark, *["".join(r.choice("ab é😀\n.") for _ in range(n)) for n in (0, 1, 3, 4, 5, 11, 12, 13, 14, 15, 40, 97)], None)
+    for size, overlap in [(16, 4), (5, 4), (3, 0), (800, 160)]:
+        index = lexical.build(lexical.Windows(d, size, overlap))
+        want = chunks.chunk_documents(d, size, overlap)
+        rows = index.table.selectExpr("inline(arrays_zip(source, i, chunk_id))")
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select("source", "i", "chunk_id").collect()))
+        assert sorted(map(tuple, lexical.postings(lexical.Windows(d, size, overlap)).collect())) == sorted(map(tuple, lexical.postings(want).collect())) == sorted(map(tuple, index.postings.select("chunk_id", "term", "tf").collect()))
