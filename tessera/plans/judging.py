@@ -153,11 +153,13 @@ def score_cuts(spark, d):
 
 
 def split_records(spark, d):
-    docs = table(spark, d, "documents")
+    """Documents as records of a split; texts are compared by SHA-256 and length, so they are read once and never shuffled. Written once, since a split reads its records several times."""
+    text = F.struct(F.unhex(F.sha2("text", 256)).alias("hash"), F.length("text").alias("n"))
+    docs = materialize(table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "source", text.alias("text")), "digests")
     first = docs.groupBy("text").agg(F.min("doc_id").alias("of"))
     rows = docs.join(first, "text").select(F.col("doc_id").alias("question"), F.col("doc_id").alias("pos"), "lang", "source", F.when(F.col("of") != F.col("doc_id"), F.col("of")).alias("paraphrase_of"))
     kind = F.when(F.col("source") == "src4", "multi_hop")
-    return rows.withColumn("stratum", splits.stratum(F.col("lang") != "de", kind, F.col("source") == "src5", F.lit("out_of_corpus")))
+    return materialize(rows.withColumn("stratum", splits.stratum(F.col("lang") != "de", kind, F.col("source") == "src5", F.lit("out_of_corpus"))), "records")
 
 
 def split_assignment(spark, d):
