@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import norm_text
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, sent_if_few
+from ..sources.shipping import ship_package
 
 SIZE, OVERLAP = 800, 160
 SENT_SPANS = 2000
+SEARCHED = 1 << 20  # bytes that are searched at once, or one text
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: str = "source", text: str = "text") -> DataFrame:
@@ -48,16 +52,82 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct("text").alias("n_texts"), F.sum(F.length("text")).alias("n_chars"), F.max("i").cast("long").alias("last_i"))
 
 
+def _hits(spans: list[str]):
+    """Rows (source, text) to (n, source), where the normalised text holds span n.
+
+    Of each span of 16 bytes or more its middle 16 are looked for at every place of
+    many texts at once, by a product of theirs; where it stands, the span's bytes are
+    compared. Shorter spans are searched one by one.
+    """
+    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def mixed(data: bytes):
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        return words[:-8] * a + (words[8:] ^ (words[:-8] >> np.uint64(29))) * b
+
+    raw = [s.encode() for s in spans]
+    short = [n for n, s in enumerate(raw) if len(s) < 16]
+    keys: dict[int, list[int]] = {}
+    for n, s in enumerate(raw):
+        if len(s) >= 16:
+            at = (len(s) - 16) // 2
+            keys.setdefault(int(mixed(s[at : at + 16])[0]), []).append(n)
+    known, maybe = np.array(sorted(keys), np.uint64), np.zeros(1 << 20, bool)
+    maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+
+    def search(sources, bodies):
+        found = {(n, i) for i, body in enumerate(bodies) for n in short if raw[n] in body}
+        data = b"\n".join(bodies)  # no span holds a line end, so none goes from one text to the next
+        if len(known) and len(data) >= 16:
+            product = mixed(data)
+            at = np.flatnonzero(maybe[(product >> np.uint64(44)).view(np.int64)])
+            at = at[known[np.minimum(np.searchsorted(known, product[at]), len(known) - 1)] == product[at]]
+            starts = np.cumsum([0, *(len(x) + 1 for x in bodies)])
+            for place, text in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
+                for n in keys[int(product[place])]:
+                    start = place - (len(raw[n]) - 16) // 2
+                    if start >= 0 and (n, text) not in found and data[start : start + len(raw[n])] == raw[n]:
+                        found.add((n, text))
+        return [n for n, _ in found], [sources[i] for _, i in found]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows():
+            n, source = search(sources, bodies)
+            return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(source, pa.string())], names=["n", "source"])
+
+        sources, bodies, size = [], [], 0
+        for batch in batches:
+            for r in range(len(batch)):
+                sources.append(batch.column(0)[r].as_py())
+                bodies.append(" ".join(batch.column(1)[r].as_py().split()).encode())  # as ``norm_text`` does it
+                size += len(bodies[-1])
+                if size >= SEARCHED:
+                    yield rows()
+                    sources, bodies, size = [], [], 0
+        if bodies:
+            yield rows()
+
+    return run
+
+
 def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """texts (source, body), wanted (span_id, span), both normalised, to the (span_id, source) where a body holds a span.
+    """texts (source, body), wanted (span_id, span), the spans normalised, to the (span_id, source) where a body, normalised, holds a span.
 
     Up to ``SENT_SPANS`` spans are sent to all tasks and every body is searched
-    for each. Beyond, a span is looked for only where its rarest inner word
+    for all of them at once. Beyond, a span is looked for only where its rarest inner word
     stands: inner words lie between spaces in the span, so they are whole words
     of any body that holds it. Spans without an inner word are searched plainly.
     """
-    if wanted.limit(SENT_SPANS + 1).count() <= SENT_SPANS:
-        return texts.join(F.broadcast(wanted), F.contains("body", "span")).select("span_id", "source")
+    spark = texts.sparkSession
+    asked = wanted.where("span is not null").select("span_id", "span").limit(SENT_SPANS + 1).collect()
+    if len(asked) <= SENT_SPANS:
+        ship_package(spark)
+        names = spark.createDataFrame([(n, r.span_id) for n, r in enumerate(asked)], T.StructType([T.StructField("n", T.IntegerType()), T.StructField("span_id", wanted.schema["span_id"].dataType)]))
+        bodies = texts.where("body is not null").select(F.col("source").cast("string"), "body")
+        return bodies.mapInArrow(_hits([r.span for r in asked]), "n int, source string").join(F.broadcast(names), "n").select("span_id", "source")
+    texts = texts.select("source", norm_text(F.col("body")).alias("body"))
     inner = wanted.withColumn("w", F.split("span", " ")).withColumn("w", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
     words = inner.select("span_id", F.explode(F.array_distinct("w")).alias("word"))
     held = texts.select("source", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
@@ -90,9 +160,10 @@ def validate_contexts(spans: DataFrame, docs: DataFrame, chunks: DataFrame) -> D
 
     Chunks are looked at only in documents that hold a span, joined by source.
     """
-    wanted = spans.select("span_id", norm_text(F.col("span")).alias("span"))
-    found = occurrences(docs.select(F.col("source").cast("string").alias("source"), norm_text(F.col("text")).alias("body")), wanted)
-    parts = chunks.select("source", norm_text(F.col("text")).alias("piece"))
+    wanted = materialize(spans.select("span_id", norm_text(F.col("span")).alias("span")), "spans")
+    found = materialize(occurrences(docs.select(F.col("source").cast("string").alias("source"), F.col("text").alias("body")), wanted), "found")
+    held, _ = sent_if_few(materialize(found.select("source").distinct(), "sources"))
+    parts = chunks.join(held, "source", "left_semi").select("source", norm_text(F.col("text")).alias("piece"))
     inside = found.join(wanted, "span_id").join(parts, "source").where(F.contains("piece", "span")).select("span_id").distinct()
     flags = wanted.select("span_id").join(found.select("span_id").distinct().withColumn("doc", F.lit(True)), "span_id", "left").join(inside.withColumn("chunk", F.lit(True)), "span_id", "left")
     status = F.when(F.col("chunk"), "OK").when(F.col("doc"), "SPLIT").otherwise("MISSING")
@@ -103,8 +174,9 @@ def statuses(spans: DataFrame, docs: DataFrame, configs: list[tuple[int, int]])
     """(size, overlap, span_id, status) as ``validate_contexts`` gives it, for several window sizes: the corpus is searched once, and only documents that hold a span are cut."""
     wanted = materialize(spans.select("span_id", norm_text(F.col("span")).alias("span")), "spans")
     bodies = docs.select(F.col("source").cast("string").alias("source"), "text")
-    found = materialize(occurrences(bodies.select("source", norm_text(F.col("text")).alias("body")), wanted), "found")
-    held = materialize(bodies.join(found.select("source").distinct(), "source", "left_semi"), "held")
+    found = materialize(occurrences(bodies.select("source", F.col("text").alias("body")), wanted), "found")
+    sources, _ = sent_if_few(materialize(found.select("source").distinct(), "sources"))
+    held = materialize(bodies.join(sources, "source", "left_semi"), "held")
     pieces = None
     for size, overlap in configs:
         one = chunk_documents(held, size, overlap).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "source", norm_text(F.col("text")).alias("piece"))

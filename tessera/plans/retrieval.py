@@ -182,7 +182,7 @@ def bm25_scores(spark, d):
 
 def validate_contexts(spark, d):
     s = table(spark, d, "benchmark").select(F.col("item_id").alias("span_id"), F.col("text").alias("span"))
-    return C.validate_contexts(s, documents(spark, d), chunked(spark, d))
+    return C.statuses(s, documents(spark, d), [(C.SIZE, C.OVERLAP)]).select("span_id", "status")
 
 
 def chunk_sweep_ceilings(spark, d):

@@ -278,3 +278,18 @@ def test_windows_are_the_chunks(spark):
         rows = index.table.selectExpr("inline(arrays_zip(source, i, chunk_id))")
         assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select("source", "i", "chunk_id").collect()))
         assert sorted(map(tuple, lexical.postings(lexical.Windows(d, size, overlap)).collect())) == sorted(map(tuple, lexical.postings(want).collect())) == sorted(map(tuple, index.postings.select("chunk_id", "term", "tf").collect()))
+
+
+@pytest.mark.parametrize("searched", [1, 60, 1 << 20])
+def test_long_spans_in_many_texts(spark, monkeypatch, searched):
+    """Spans of more and less than 16 bytes at edges of texts, with equal middles, in several texts and twice in one; white space of any kind; all spans are searched in one pass, without a join of texts and spans."""
+    monkeypatch.setattr(chunks, "SEARCHED", searched)
+    r = random.Random(9)
+    bodies = ["".join(r.choice("abé😀 ") for _ in range(r.randint(0, 80))) for _ in range(40)]
+    bodies += ["x" * 40, "y" * 16, "\u3000lead and\ttrail of it\n", "one two three four five", "one two three four five one two three four five", "NE two three four fivE", None]
+    plain = [None if b is None else " ".join(b.split()) for b in bodies]
+    wanted = [p[a : a + n].strip() for p in plain if p for a, n in ((0, 20), (len(p) - 18, 18), (3, 16), (2, 15)) if a >= 0] + ["x" * 16, "x" * 41, "lead and trail of it", "one two three four five", "NE two three four fivE", "", "no such text in any of these", None]
+    given = spark.createDataFrame(list(enumerate(bodies)), "source string, body string"), spark.createDataFrame(list(enumerate(wanted)), "span_id long, span string")
+    found = chunks.occurrences(*given)
+    assert {(x.span_id, int(x.source)) for x in found.collect()} == {(n, i) for n, w in enumerate(wanted) if w is not None for i, b in enumerate(plain) if b is not None and w in b}
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
