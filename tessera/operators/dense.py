@@ -18,7 +18,7 @@ from ..sources.scratch import materialize
 from ..sources.shipping import ship_package
 
 DIGITS = 9
-BLOCK_BYTES, BLOCK_ROWS, HELD = 2 << 20, 4096, 64
+BLOCK_BYTES, BLOCK_ROWS, HELD, GROUPS, SLICE = 2 << 20, 4096, 64, 256, 256
 
 
 def usable(vector: Column) -> Column:
@@ -71,31 +71,44 @@ def blocks(rows: DataFrame, row_id: str, vector: str = "embedding") -> DataFrame
     return materialize(slim.mapInArrow(_gathered, "ids binary, dims long, vectors binary"), "blocks")
 
 
-def nearest(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str):
-    """For each question the rounded distances and ids of the block's rows that may be among its best k.
+def nearest(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str, least: np.ndarray):
+    """(question's row, rounded distance, id) of what may be among the best k of the block's rows and of those held, whose k-th distances are ``least``.
 
-    One matrix product gives distances up to its rounding; rows within that of the
-    k-th are measured again by differences, so equal rows tie exactly.
+    One matrix product gives distances up to its rounding. The k-th least of the least
+    distances of ``GROUPS`` groups of rows is no less than the k-th of all, so nothing is
+    sorted; rows within the rounding of that are measured again by differences, so
+    equal rows tie exactly.
     """
     qq, xx = (asked**2).sum(1), (x**2).sum(1)
-    dots = asked @ x.T
     if metric == "l2sq":
-        rough = qq[:, None] + xx[None] - 2 * dots
-        slack = 1e-12 * (qq[:, None] + xx.max(initial=0)) + 10.0**-DIGITS
+        rough, shift = asked @ (-2 * x.T), qq  # less the question's own square
+        rough += xx
+        slack = 1e-12 * (qq + xx.max(initial=0)) + 10.0**-DIGITS
     else:
-        rough = 1 - dots / np.maximum(np.sqrt(xx)[None] * np.sqrt(qq)[:, None], 1e-300)
-        slack = np.full((len(asked), 1), 1e-9)
+        rough, shift = 1 - asked @ x.T / np.maximum(np.sqrt(xx)[None] * np.sqrt(qq)[:, None], 1e-300), 0.0
+        slack = np.full(len(asked), 1e-9)
+    bound, groups = least, max(k, GROUPS)
     if k < len(x):
-        near = rough <= np.partition(rough, k - 1, 1)[:, k - 1 : k] + 2 * slack
+        each = len(x) // groups
+        few = rough[:, : each * groups].reshape(len(asked), each, groups).min(1) if each > 1 else rough
+        bound = np.minimum(bound, np.partition(few, k - 1, 1)[:, k - 1] + shift)
+    row, at = np.divmod(np.flatnonzero(rough <= (bound - shift + 2 * slack)[:, None]), max(1, len(x)))
+    if metric == "l2sq":
+        d = ((x[at] - asked[row]) ** 2).sum(1)
     else:
-        near = np.ones(rough.shape, bool)
-    for i, q in enumerate(asked):
-        at = np.flatnonzero(near[i])
-        if metric == "l2sq":
-            d = ((x[at] - q) ** 2).sum(1)
-        else:
-            d = 1 - (x[at] @ q) / np.maximum(np.sqrt(xx[at]) * np.sqrt(qq[i]), 1e-300)
-        yield np.round(d, DIGITS), ids[at]
+        d = 1 - (x[at] * asked[row]).sum(1) / np.maximum(np.sqrt(xx[at]) * np.sqrt(qq[row]), 1e-300)
+    return row, np.round(d, DIGITS), ids[at]
+
+
+def _merged(held, found, k: int):
+    """The best k of each question among (row, distance, id) of both, and the k-th distances."""
+    row, d, own = (np.concatenate(v) for v in zip(held[:3], found, strict=True))
+    order = np.lexsort((own, d, row))
+    row, d, own = row[order], d[order], own[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    least = held[3].copy()
+    least[row[rank == k - 1]] = d[rank == k - 1]
+    return row[rank < k], d[rank < k], own[rank < k], least
 
 
 def _tiles(k: int, metric: str):
@@ -105,9 +118,8 @@ def _tiles(k: int, metric: str):
         import pyarrow as pa
 
         def rows(qids, best):
-            n = [len(d) for d, _ in best]
-            columns = np.repeat(qids, n), np.concatenate([own for _, own in best]), np.concatenate([d for d, _ in best])
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "vec_id", "distance"])
+            columns = (np.concatenate(v) for v in zip(*((qids[at + part[0]], part[2], part[1]) for at, part in zip(range(0, len(qids), SLICE), best, strict=True)), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "vec_id", "distance"])
 
         held: OrderedDict = OrderedDict()
         for batch in batches:
@@ -117,12 +129,8 @@ def _tiles(k: int, metric: str):
                 width = max(qdims, dims)
                 asked = np.pad(np.frombuffer(qv, np.float64).reshape(len(qids), qdims), ((0, 0), (0, width - qdims)))
                 x = np.pad(np.frombuffer(xv, np.float64).reshape(len(ids), dims), ((0, 0), (0, width - dims)))
-                best = held.pop(name, None) or [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
-                for at in range(0, len(qids), 256):
-                    for i, (d, own) in enumerate(nearest(asked[at : at + 256], x, ids, k, metric), at):
-                        d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
-                        order = np.lexsort((own, d))[:k]
-                        best[i] = d[order], own[order]
+                best = held.pop(name, None) or [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.full(len(qids[at : at + SLICE]), np.inf)) for at in range(0, len(qids), SLICE)]
+                best = [_merged(part, nearest(asked[at : at + SLICE], x, ids, k, metric, part[3]), k) for at, part in zip(range(0, len(qids), SLICE), best, strict=True)]
                 held[name] = best
                 if len(held) > HELD:
                     old, best = held.popitem(last=False)

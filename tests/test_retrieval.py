@@ -293,3 +293,26 @@ def test_long_spans_in_many_texts(spark, monkeypatch, searched):
     found = chunks.occurrences(*given)
     assert {(x.span_id, int(x.source)) for x in found.collect()} == {(n, i) for n, w in enumerate(wanted) if w is not None for i, b in enumerate(plain) if b is not None and w in b}
     assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+@pytest.mark.parametrize("groups", [1, 3, 128])
+def test_nearest_without_sorting(monkeypatch, metric, groups):
+    """With groups of any number, with what is held already, with many ties and zero vectors: the best are those of brute force, and few rows beside them are measured again."""
+    import numpy as np
+
+    monkeypatch.setattr(dense, "GROUPS", groups)
+    r = np.random.default_rng(3)
+    for n, k, high in [(900, 5, 1000), (40, 7, 2), (3, 5, 3), (300, 1, 2)]:
+        q, x, ids = r.integers(-high, high, (20, 6)).astype(float), r.integers(-high, high, (n, 6)).astype(float), r.permutation(n)
+        both = np.sqrt((x**2).sum(1))[None] * np.sqrt((q**2).sum(1))[:, None]
+        d = ((q[:, None] - x[None]) ** 2).sum(2) if metric == "l2sq" else np.round(1 - (q @ x.T) / np.maximum(both, 1e-300), 9)
+        held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.full(20, np.inf)
+        for half in (slice(0, n // 3), slice(n // 3, n)):
+            found = dense.nearest(q, x[half], ids[half], k, metric, held[3])
+            assert high < 1000 or groups < 128 or len(found[0]) < 20 * 12
+            held = dense._merged(held, found, k)
+        for i in range(20):
+            want = sorted(zip(d[i].tolist(), ids.tolist(), strict=True))[:k]
+            got = list(zip(held[1][held[0] == i].tolist(), held[2][held[0] == i].tolist(), strict=True))
+            assert [n for _, n in got] == [n for _, n in want] and got == [(pytest.approx(a, abs=1e-9), n) for a, n in want]
